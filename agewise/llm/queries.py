@@ -9,11 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agewise.llm.bpe import encode_decode
-from agewise.llm.common import table
+from agewise.llm.common import held_out, shared_dir, table
 from agewise.llm.lines import dedup_lines
+from agewise.llm.mixing import mix_sources, word_count
+from agewise.llm.quality import fit_discriminant, score_quality
 from agewise.llm.repetition import repetition_rules
 from agewise.llm.simhash import simhash_classes
+from agewise.llm.toxicity import fit_toxicity, score_toxicity
 from agewise.llm.urls import filter_urls
+from agewise.llm.vectors import near_vectors
+from agewise.llm.warc import read_bundles, write_bundles
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, text, label) of the labelled rows that a model may learn from."""
+    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return texts.join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
+
+
+def _scored(found: DataFrame, threshold: float) -> DataFrame:
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_discriminant(labelled(spark, sf_dir, "quality"))
+    return _scored(score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), model), 0.7)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "epoch", word_count(F.col("text")).alias("n_tokens"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,15 +49,33 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = shared_dir(spark, "warc")
+    index = write_bundles(table(spark, sf_dir, "pages"), directory)
+    if index.isEmpty():
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = read_bundles(spark, directory, index)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(labelled(spark, sf_dir, "toxic"))
+    return _scored(score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), model), 0.3)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,10 +87,42 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op5_byte_bpe, op7_simhash, op9_line_dedup, op10_repetition)}
-
+    return {f.__name__: f for f in QUERIES}
+
+
+QUERIES = (
+    op1_quality,
+    op2_mixing,
+    op3_url_filter,
+    op4_warc,
+    op5_byte_bpe,
+    op6_vectors,
+    op7_simhash,
+    op8_toxicity,
+    op9_line_dedup,
+    op10_repetition,
+)
 
 ORACLES = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, true AS intact
+FROM f
+""",
+    "op6_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, link.b FROM reach r JOIN link ON link.a = r.b)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
+       (SELECT min(b) FROM reach WHERE reach.a = v.vec_id) AS component_id,
+       v.vec_id = (SELECT min(b) FROM reach WHERE reach.a = v.vec_id) AS kept
+FROM v
+""",
     "op9_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line,

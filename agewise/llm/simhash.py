@@ -177,3 +177,118 @@ def simhash_classes(
     return prints.join(of_fp, "fp").select(
         id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def word_prints(text: str, count: int) -> list[int]:
+    """``count`` independent SimHashes of the set of a text's words, A-Z lower-cased; zeros without words."""
+    words = list(set(text.encode().lower().split()))
+    if not words:
+        return [0] * count
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(w, 0) for w in words), dtype=np.uint64, count=len(words))
+    out = []
+    for k in range(count):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(x), 65536):
+            ones += np.unpackbits(x[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def resemblance(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of the sets of two texts' shingles; two texts without words are alike."""
+    x, y = set(shingles(a, words)), set(shingles(b, words))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def near_copy_classes(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: float = 0.8,
+    prints: int = 6,
+    max_apart: float = 0.17,
+) -> DataFrame:
+    """(t1, t2, id, keep_id, keep1, keep2): the distinct texts (two hashes), their smallest id, and id and hashes of the
+    text that stands for their class of near copies.
+
+    A change of one word changes five shingles, so whole-text SimHashes of texts at the limit of 0.8 differ in some ten bits.
+    The fingerprints joined here are ``prints`` independent SimHashes of a text's set of words, which differ in about four,
+    and any of them may bring two texts together by a Golay key. Candidates whose fingerprints differ in more than
+    ``max_apart`` of all bits are left out; the others are verified by the Jaccard similarity of their ``words``-word
+    shingles. Texts that share a key are first compared with the smallest of them; once classes are formed from those, only
+    texts of different classes are compared with each other, so a large group is not paired out.
+
+    Nulls count as empty texts; texts without words are copies of each other. Null ids come last when a class's smallest id
+    stands for it.
+    """
+    need(docs, [id_col, text_col])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    t1, t2 = F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.drop(columns="text").assign(fps=[word_prints(t, prints) for t in part["text"]])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), t1, t2, text.alias("text"))
+    hashed = rows.mapInPandas(work, "id long, t1 long, t2 long, fps array<long>")
+    nodes = hashed.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("fps").alias("fps"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    each = nodes.select("node", "fps", F.posexplode("fps").alias("s", "fp"))
+    turned = F.col("key") + F.shiftleft(F.col("s").cast("long"), 44)
+    index = golay_keys(each, "fp", False, ["node", "fps", "s"]).select(turned.alias("key"), F.col("node").alias("b"), F.col("fps").alias("fb"))
+    probe = golay_keys(each, "fp", True, ["node", "fps", "s"]).select(turned.alias("key"), F.col("node").alias("a"), F.col("fps").alias("fa"))
+    index, probe = materialise(index, "index"), materialise(probe, "probe")
+    apart = F.aggregate(F.zip_with("fa", "fb", bits_apart), F.lit(0), lambda x, y: x + y)
+    close = (F.col("a") != F.col("b")) & (apart <= max_apart * 64 * prints)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    hubs = index.groupBy("key").agg(F.min_by("b", "b").alias("b"), F.min_by("fb", "b").alias("fb"))
+    first = probe.join(hubs, "key").where(close).select(*pair).distinct()
+
+    def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ok = [resemblance(x, y, words) >= similarity for x, y in zip(part["ta"], part["tb"], strict=True)]
+            yield part.loc[np.array(ok, dtype=bool), ["a", "b"]]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        keys = nodes.join(used, "node").select("node", "id", "t1", "t2")
+        texts = rows.join(keys.withColumnRenamed("id", "least"), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least")))
+        texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return materialise(both.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long"), "alike")
+
+    links = verified(first)
+    parts = connected_components(links, "a", "b")
+    named = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    named = materialise(named, "named")
+    left = probe.join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a")
+    right = index.join(named.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+    rest = left.join(right, "key").where(close & (F.col("ca") != F.col("cb"))).select(*pair).distinct()
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    more = verified(rest)
+    parts = connected_components(links.unionByName(more), "a", "b")
+    named = materialise(nodes.join(parts, "node", "left").select("t1", "t2", "id", F.coalesce("component", "node").alias("c")), "named")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("t1"), F.col("t2")))
+    kept = named.groupBy("c").agg(best.alias("k")).select("c", F.col("k.id").alias("keep_id"), F.col("k.t1").alias("keep1"), F.col("k.t2").alias("keep2"))
+    return named.join(kept, "c").select("t1", "t2", "id", "keep_id", "keep1", "keep2")
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each class of :func:`near_copy_classes`: that of the smallest id. Of rows that repeat its id
+    and text, one stays. Own columns t1 and t2 are kept under their names."""
+    classes = near_copy_classes(docs, id_col=id_col, text_col=text_col, **how)
+    chosen = classes.select(F.col("keep1").alias("__1"), F.col("keep2").alias("__2"), F.col("keep_id").alias("__id")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = F.struct(F.coalesce(F.col("__id"), F.lit(0)).alias("id"), F.col("__id").isNull().alias("none"))
+    mine = docs.withColumns({"__1": F.xxhash64(text), "__2": F.xxhash64(F.lit(7), text), "__id": F.col(id_col).cast("long")})
+    found = mine.withColumn("__k", held).join(chosen.select("__1", "__2", held.alias("__k")), ["__1", "__2", "__k"])
+    return found.dropDuplicates(["__1", "__2", "__k"]).select(*docs.columns)
