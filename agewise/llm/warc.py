@@ -154,7 +154,8 @@ def write_bundles(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("__digest", F.sha2("payload", 256))
     firsts = mark_revisits(pages, id_col=id_col, html_col=html_col, min_bytes=min_bytes)
-    rows = rows.join(firsts, "__digest", "left").withColumn(
+    # payloads are dealt by digest at every size; the marks, without payloads, are what each task holds in memory
+    rows = rows.join(firsts.hint("shuffle_hash"), "__digest", "left").withColumn(
         "revisit", F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col("page_id"))
     )
 
