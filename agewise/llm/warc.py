@@ -23,15 +23,15 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 32 << 20
 EPOCH = datetime(2000, 1, 1, tzinfo=UTC)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record with ASCII-safe headers. A revisit has no block; its payload is the one it refers to."""
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """One WARC/1.1 record of a payload of ``size`` bytes. A revisit has no block; its payload is the one it refers to."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {EPOCH:%Y-%m-%dT%H:%M:%SZ}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
     ]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
@@ -152,9 +152,19 @@ def write_bundles(
     need(pages, [id_col, url_col, html_col])
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("__digest", F.sha2("payload", 256))
+    packed = "page_id long, url string, packed binary, size long, __digest string"
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = zstandard.ZstdCompressor(level=3)
+        for part in parts:
+            bodies = part.pop("payload")
+            yield part.astype({"page_id": "Int64"}).assign(
+                packed=[tool.compress(b) for b in bodies], size=[len(b) for b in bodies], __digest=[hashlib.sha256(b).hexdigest() for b in bodies]
+            )
+
+    # payloads travel compressed, dealt by digest at every size
+    rows = rows.mapInPandas(pack, packed)
     firsts = mark_revisits(pages, id_col=id_col, html_col=html_col, min_bytes=min_bytes)
-    # payloads are dealt by digest at every size; the marks, without payloads, are what each task holds in memory
     rows = rows.join(firsts.hint("shuffle_hash"), "__digest", "left").withColumn(
         "revisit", F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col("page_id"))
     )
@@ -162,7 +172,7 @@ def write_bundles(
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, folder = fs.FileSystem.from_uri(directory)
         where.create_dir(folder, recursive=True)
-        bundle = BundleWriter()
+        bundle, undo = BundleWriter(), zstandard.ZstdDecompressor()
 
         def flush() -> pd.DataFrame:
             nonlocal bundle
@@ -179,19 +189,19 @@ def write_bundles(
             return out
 
         for part in parts:
-            for page, url, body, digest, first, revisit in zip(
-                part["page_id"], part["url"], part["payload"], part["__digest"], part["__first"], part["revisit"], strict=True
+            for page, url, body, size, digest, first, revisit in zip(
+                *(part[c] for c in ("page_id", "url", "packed", "size", "__digest", "__first", "revisit")), strict=True
             ):
                 page = None if pd.isna(page) else int(page)
-                body = bytes(body)
                 first = int(first) if revisit else None
-                bundle.add((page, len(body)), record(page, url, body, digest, first, bool(revisit)))
+                body = b"" if revisit else undo.decompress(body)
+                bundle.add((page, size), record(page, url, body, size, digest, first, bool(revisit)))
                 if bundle.bytes >= BUNDLE_BYTES:
                     yield flush()
         if bundle.index:
             yield flush()
 
-    columns = rows.select("page_id", "url", "payload", "__digest", F.col("__first").cast("long").alias("__first"), "revisit")
+    columns = rows.select("page_id", "url", "packed", "size", "__digest", F.col("__first").cast("long").alias("__first"), "revisit")
     return materialise(columns.mapInPandas(work, INDEX), "warc-index")
 
 
