@@ -205,18 +205,16 @@ def write_bundles(
     return materialise(columns.mapInPandas(work, INDEX), "warc-index")
 
 
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean, bundle string"
 
 
 def read_bundles(spark: SparkSession, paths: list[str] | str, bundles: DataFrame | None = None) -> DataFrame:
     """Every record of the bundles in ``paths``: its id, its payload's length and digest, type, what it refers to, address,
     and whether a response's payload has the digest and length of its header. ``bundles`` (a column bundle) keeps the
-    files that it names. Spark reads whole bundles, of BUNDLE_BYTES and one frame at most; frames are undone one by one.
+    records of the files that it names. Spark reads whole bundles, of BUNDLE_BYTES and one frame at most; frames are undone one by one.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(paths)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    if bundles is not None:
-        files = files.join(bundles.select(F.element_at(F.split("bundle", "/"), -1).alias("name")).distinct(), "name", "left_semi")
 
     def number(text: str | None) -> int | None:
         inner = (text or "").removeprefix("<urn:page:").removesuffix(">")
@@ -225,7 +223,7 @@ def read_bundles(spark: SparkSession, paths: list[str] | str, bundles: DataFrame
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         undo = zstandard.ZstdDecompressor()
         for part in parts:
-            for data in part["content"]:
+            for name, data in zip(part["name"], part["content"], strict=True):
                 for at, packed, size in seek_table(data):
                     out = []
                     for _, head, block in parse_records(undo.decompress(data[at : at + packed], max_output_size=size)):
@@ -235,8 +233,12 @@ def read_bundles(spark: SparkSession, paths: list[str] | str, bundles: DataFrame
                         intact = not response or (len(block) == length and hashlib.sha256(block).hexdigest() == digest)
                         url = head.get("warc-target-uri")
                         url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                        out.append((number(head["warc-record-id"]), length, digest, head["warc-type"], number(head.get("warc-refers-to")), url, intact))
+                        out.append((number(head["warc-record-id"]), length, digest, head["warc-type"], number(head.get("warc-refers-to")), url, intact, name))
                     frame = pd.DataFrame(out, columns=[c.split()[0] for c in RECORDS.split(", ")])
                     yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return files.select("content").mapInPandas(work, RECORDS)
+    found = files.mapInPandas(work, RECORDS)
+    if bundles is None:
+        return found
+    # the records, not the files, meet the names, so that no payload is shuffled
+    return found.join(bundles.select(F.element_at(F.split("bundle", "/"), -1).alias("bundle")).distinct(), "bundle", "left_semi")
