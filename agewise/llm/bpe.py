@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from agewise.llm.common import need
 
 #: Words that each Python worker keeps with their ids, twice: those met lately, and those met before.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 150_000
 #: Characters of text worked on at once, and words for one recursive query.
-CHUNK_CHARS = 4_000_000
-QUERY_WORDS = 60_000
+CHUNK_CHARS = 1_500_000
+QUERY_WORDS = 30_000
 #: A word of more bytes is merged with a heap: one contraction per step makes the query quadratic in its length.
 LONG_BYTES = 200
 
@@ -69,7 +69,7 @@ class Encoder:
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
         left, right, merged = np.array(pairs, dtype=np.int32).T
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.execute("SET preserve_insertion_order = false")
         self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
         tokens = list(self.ranks)
