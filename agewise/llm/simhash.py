@@ -240,16 +240,19 @@ def near_copy_classes(
     hashed = rows.mapInPandas(work, "id long, t1 long, t2 long, fps array<long>")
     nodes = hashed.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("fps").alias("fps"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    each = nodes.select("node", "fps", F.posexplode("fps").alias("s", "fp"))
+    each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
     turned = F.col("key") + F.shiftleft(F.col("s").cast("long"), 44)
-    index = golay_keys(each, "fp", False, ["node", "fps", "s"]).select(turned.alias("key"), F.col("node").alias("b"), F.col("fps").alias("fb"))
-    probe = golay_keys(each, "fp", True, ["node", "fps", "s"]).select(turned.alias("key"), F.col("node").alias("a"), F.col("fps").alias("fa"))
-    index, probe = materialise(index, "index"), materialise(probe, "probe")
-    apart = F.aggregate(F.zip_with("fa", "fb", bits_apart), F.lit(0), lambda x, y: x + y)
-    close = (F.col("a") != F.col("b")) & (apart <= max_apart * 64 * prints)
+    index = golay_keys(each, "fp", False, ["node", "s"]).select(turned.alias("key"), F.col("node").alias("b"), F.col("fp").alias("fb"))
+    probe = golay_keys(each, "fp", True, ["node", "s"]).select(turned.alias("key"), F.col("node").alias("a"), F.col("fp").alias("fa"))
+    index = materialise(index, "index")
+    # one print may differ more than all together
+    close = (F.col("a") != F.col("b")) & (bits_apart("fa", "fb") <= 1.5 * max_apart * 64)
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    hubs = index.groupBy("key").agg(F.min_by("b", "b").alias("b"), F.min_by("fb", "b").alias("fb"))
-    first = probe.join(hubs, "key").where(close).select(*pair).distinct()
+    hubs = index.groupBy("key").agg(F.min(F.struct("b", "fb")).alias("hub"), F.count("*").alias("n"))
+    hubs = hubs.select("key", "hub.*", "n")
+    # few probe keys are index keys of another text; only those go on
+    live = materialise(probe.join(hubs, "key").where((F.col("n") > 1) | (F.col("a") != F.col("b"))), "live")
+    first = live.where(close).select(*pair).distinct()
 
     def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -257,7 +260,11 @@ def near_copy_classes(
             yield part.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
+        fps = nodes.select("node", "fps")
+        pairs = pairs.join(fps.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a")
+        pairs = pairs.join(fps.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
+        apart = F.aggregate(F.zip_with("fa", "fb", bits_apart), F.lit(0), lambda x, y: x + y)
+        pairs = materialise(pairs.where(apart <= max_apart * 64 * prints).select("a", "b"), "pairs")
         used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         keys = nodes.join(used, "node").select("node", "id", "t1", "t2")
         texts = rows.join(keys.withColumnRenamed("id", "least"), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least")))
@@ -270,7 +277,7 @@ def near_copy_classes(
     parts = connected_components(links, "a", "b")
     named = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
     named = materialise(named, "named")
-    left = probe.join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a")
+    left = live.where(F.col("n") > 1).select("key", "a", "fa").join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a")
     right = index.join(named.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
     rest = left.join(right, "key").where(close & (F.col("ca") != F.col("cb"))).select(*pair).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
