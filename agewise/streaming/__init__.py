@@ -1,0 +1 @@
+"""Incremental variants of the batch aggregates."""
