@@ -9,19 +9,20 @@ from collections.abc import Iterator
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from agewise.llm.common import need
 
 #: Words that each Python worker keeps with their ids, twice: those met lately, and those met before.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Characters of text worked on at once, and words for one recursive query.
-CHUNK_CHARS = 1_500_000
-QUERY_WORDS = 30_000
+CHUNK_CHARS = 800_000
+QUERY_WORDS = 15_000
 #: A word of more bytes is merged with a heap: one contraction per step makes the query quadratic in its length.
 LONG_BYTES = 200
 
@@ -69,7 +70,7 @@ class Encoder:
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
         left, right, merged = np.array(pairs, dtype=np.int32).T
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.db.execute("SET preserve_insertion_order = false")
         self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
         tokens = list(self.ranks)
@@ -179,31 +180,37 @@ def encode_decode(
     need(docs, [id_col, text_col])
     extra = ", ids array<long>, decoded string" if with_ids else ""
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = docs.schema[id_col].dataType
+    wanted = pa.schema(
+        [("id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+        + ([("ids", pa.list_(pa.int64())), ("decoded", pa.string())] if with_ids else [])
+    )
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
         for part in parts:
-            texts, k = [t or "" for t in part["text"]], 0
-            while k < len(texts):
-                words, size, first = [], 0, k
-                while k < len(texts) and (k == first or size + len(texts[k]) <= CHUNK_CHARS):
-                    words.append(tool.split.findall(texts[k]))
-                    size += len(texts[k])
-                    k += 1
+            sizes = pc.fill_null(pc.binary_length(part["text"]), 0).to_numpy(zero_copy_only=False)
+            k = 0
+            while k < len(part):
+                # as many texts as make a chunk, one at least; only these become Python strings
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[k : k + 4096]), CHUNK_CHARS, side="right")))
+                texts = part.slice(k, n)
+                words = [tool.split.findall(t or "") for t in texts["text"].to_pylist()]
                 tool.learn(set().union(*words))
                 ids = [b"".join(map(tool.ids.__getitem__, w)) for w in words]
                 decoded = [b"".join(map(tool.decoded.__getitem__, w)) for w in words]
-                out = {
-                    "id": part["id"].iloc[first:k].array,
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded],
-                }
+                out = [
+                    texts["id"],
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+                ]
                 if with_ids:
-                    out["ids"] = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in ids]
-                    out["decoded"] = [x.decode("utf-8", "replace") for x in decoded]
-                yield pd.DataFrame(out)
+                    out.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                    out.append(pa.array([x.decode("utf-8", "replace") for x in decoded], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, schema=wanted)
+                k += n
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.mapInPandas(work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    found = rows.mapInArrow(work, f"id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
     return found.withColumnRenamed("id", id_col)
