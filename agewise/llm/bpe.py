@@ -69,13 +69,24 @@ class Encoder:
             for k in range(1, len(t))
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
-        left, right, merged = np.array(pairs, dtype=np.int32).T
+        self.pairs = np.array(pairs, dtype=np.int32).T
+        self.db: duckdb.DuckDBPyConnection | None = None
+
+    def open(self) -> None:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.db.execute("SET preserve_insertion_order = false")
+        left, right, merged = self.pairs
         self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
         tokens = list(self.ranks)
         self._table("vocab", pa.table({"id": pa.array([self.ranks[t] for t in tokens], pa.int32()), "bytes": pa.array(tokens, pa.binary())}))
 
+    def close(self) -> None:
+        """Between tasks a worker keeps its words, not the database's memory."""
+        if self.db:
+            self.db.close()
+            self.db = None
+        pa.default_memory_pool().release_unused()
+
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("__rows", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM __rows")
@@ -102,6 +113,8 @@ class Encoder:
                 self.decoded[word] = b"".join(found)
             else:
                 query.append((word, raw))
+        if query and not self.db:
+            self.open()
         for k in range(0, len(query), QUERY_WORDS):
             self._merge(query[k : k + QUERY_WORDS])
 
@@ -210,6 +223,7 @@ def encode_decode(
                     out.append(pa.array([x.decode("utf-8", "replace") for x in decoded], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, schema=wanted)
                 k += n
+        tool.close()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.mapInArrow(work, f"id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

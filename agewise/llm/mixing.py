@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agewise.llm.common import WHITE, need
+from agewise.llm.common import WHITE, materialise, need
 
 #: The most sources whose totals the driver works with; more raise an error.
 MAX_SOURCES = 100_000
@@ -90,7 +90,8 @@ def mix_sources(
     own = [c for c in docs.columns if c.lower() != "epoch"]
     count = word_count(F.col(text_col)) if tokens is None else tokens
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    sized = docs.select(name.alias("__s"), count.alias("__t"))
+    row = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    sized = materialise(docs.select(name.alias("__s"), count.cast("long").alias("__t"), row.alias("__h")), "sized")
     stats = sized.groupBy("__s").agg(F.sum("__t").alias("t"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -106,21 +107,23 @@ def mix_sources(
         plan.append((s, int(epochs), float((epochs - int(epochs)) * t), max(1, -(-r["n"] // block_docs))))
     spark = docs.sparkSession
     plans = F.broadcast(spark.createDataFrame(plan, "__s string, __full int, __need double, __n long"))
-    row = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    placed = (
-        docs.select(*own, name.alias("__s"), count.alias("__t"), row.alias("__h"))
-        .join(plans, "__s")
-        .withColumn("__b", F.pmod("__h", F.col("__n")))
-    )
-    order = Window.partitionBy("__s").orderBy(F.xxhash64("__b", F.lit(seed + 1)), "__b").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = placed.groupBy("__s", "__b").agg(F.sum("__t").alias("__bt"), F.first("__need").alias("__bn"))
-    blocks = blocks.withColumn("__end", F.sum("__bt").over(order)).where((F.col("__end") - F.col("__bt") < F.col("__bn")) & (F.col("__bn") > 0))
-    blocks = blocks.select("__s", "__b", F.when(F.col("__end") > F.col("__bn"), F.col("__bn") - F.col("__end") + F.col("__bt")).alias("__left"), F.lit(1).alias("__in"))
-    with_block = placed.join(blocks, ["__s", "__b"], "left")
-    inner = with_block.where(F.col("__left").isNull()).withColumn("__more", F.coalesce("__in", F.lit(0)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(plans, "__s").withColumn("__b", F.pmod("__h", F.col("__n"))).withColumn("__o", F.xxhash64("__b", F.lit(seed + 1)))
+
+    order = Window.partitionBy("__s").orderBy("__o", "__b").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = placed(sized).where(F.col("__need") > 0).groupBy("__s", "__o", "__b").agg(F.sum("__t").alias("__bt"), F.first("__need").alias("__bn"))
+    blocks = blocks.withColumn("__end", F.sum("__bt").over(order)).where(F.col("__end") >= F.col("__bn"))
+    # one row a source: the block at the border of its budget, and what is left for it
+    cuts = blocks.groupBy("__s").agg(F.min(F.struct("__o", "__b", (F.col("__bn") - F.col("__end") + F.col("__bt")).alias("left"))).alias("__cut"))
+    dealt = placed(docs.select(*own, name.alias("__s"), row.alias("__h"))).join(F.broadcast(cuts), "__s", "left")
+    here, before = F.col("__o") == F.col("__cut.__o"), F.col("__o") < F.col("__cut.__o")
+    at_border = F.coalesce(here & (F.col("__b") == F.col("__cut.__b")), F.lit(False))
+    whole = F.coalesce(before | (here & (F.col("__b") < F.col("__cut.__b"))), F.lit(False))
+    inner = dealt.where(~at_border).withColumn("__more", whole.cast("int"))
     rows = Window.partitionBy("__s", "__b").orderBy(F.xxhash64("__h", F.lit(seed + 2)), F.col(id_col)).rowsBetween(Window.unboundedPreceding, 0)
-    border = with_block.where(F.col("__left").isNotNull()).withColumn(
-        "__more", (F.sum("__t").over(rows) - F.col("__t") < F.col("__left")).cast("int")
-    )
+    size = count.cast("long")
+    border = dealt.where(at_border).withColumn("__t", size)
+    border = border.withColumn("__more", (F.sum("__t").over(rows) - F.col("__t") < F.col("__cut.left")).cast("int")).drop("__t")
     taken = inner.unionByName(border).withColumn("__times", F.col("__full") + F.col("__more")).where(F.col("__times") > 0)
     return taken.select(*own, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("epoch"))
