@@ -104,7 +104,7 @@ def mix_sources(
         s, t = r["__s"], r["t"] or 0
         epochs = weights[s] * budget / t if s in weights else 1.0
         epochs = round(epochs) if abs(epochs - round(epochs)) < 1e-9 else epochs
-        plan.append((s, int(epochs), float((epochs - int(epochs)) * t), max(1, -(-r["n"] // block_docs))))
+        plan.append((s, int(epochs), round(float((epochs - int(epochs)) * t), 6), max(1, -(-r["n"] // block_docs))))
     spark = docs.sparkSession
     plans = F.broadcast(spark.createDataFrame(plan, "__s string, __full int, __need double, __n long"))
 
