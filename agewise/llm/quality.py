@@ -93,10 +93,20 @@ def _with_statistics(docs: DataFrame, text_col: str, keep: dict[str, Column]) ->
     return rows.mapInPandas(work, f"{kept}, x array<double>")
 
 
-def fit_discriminant(labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", shrink: float = 0.1, softness: float = 4.0) -> Discriminant:
-    """Fit on every row with label 0 or 1. Spark sums the moments; the driver gets one row for each class and cell."""
+def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) of every row: narrow rows, that can meet labels without a shuffle of texts."""
+    need(docs, [id_col, text_col])
+    return _with_statistics(docs, text_col, {id_col: F.col(id_col)})
+
+
+def fit_discriminant(
+    labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", stat_col: str | None = None, shrink: float = 0.1, softness: float = 4.0
+) -> Discriminant:
+    """Fit on every row with label 0 or 1, from its text or from its statistics in ``stat_col``. Spark sums the moments; the
+    driver gets one row for each class and cell."""
     k = len(FEATURES)
-    rows = _with_statistics(labelled.where(F.col(label_col).isin(0, 1)), text_col, {"y": F.col(label_col).cast("int")})
+    rows, y = labelled.where(F.col(label_col).isin(0, 1)), F.col(label_col).cast("int")
+    rows = rows.select(y.alias("y"), F.col(stat_col).alias("x")) if stat_col else _with_statistics(rows, text_col, {"y": y})
 
     def moments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, 1 + k + k * k))
@@ -140,3 +150,15 @@ def score_quality(docs: DataFrame, model: Discriminant, *, text_col: str = "text
             yield part.assign(**{score_col: model.score(np.stack(x)) if x else np.zeros(0)})
 
     return rows.mapInPandas(work, schema)
+
+
+def score_statistics(stats: DataFrame, model: Discriminant, *, id_col: str = "doc_id", score_col: str = "score") -> DataFrame:
+    """(id, score) from :func:`document_statistics`."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x = np.stack(part["x"].to_list()) if len(part) else np.zeros((0, len(FEATURES)))
+            yield pd.DataFrame({id_col: part[id_col].array, score_col: model.score(x)})
+
+    kind = stats.schema[id_col].dataType.simpleString()
+    return stats.select(id_col, "x").mapInPandas(work, f"`{id_col}` {kind}, `{score_col}` double")

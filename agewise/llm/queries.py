@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agewise.llm.bpe import encode_decode
-from agewise.llm.common import held_out, shared_dir, table
+from agewise.llm.common import held_out, materialise, shared_dir, table
 from agewise.llm.lines import dedup_lines
 from agewise.llm.mixing import mix_sources, word_count
-from agewise.llm.quality import fit_discriminant, score_quality
+from agewise.llm.quality import document_statistics, fit_discriminant, score_statistics
 from agewise.llm.repetition import repetition_rules
 from agewise.llm.simhash import simhash_classes
 from agewise.llm.toxicity import fit_toxicity, score_toxicity
@@ -21,11 +21,14 @@ from agewise.llm.vectors import near_vectors
 from agewise.llm.warc import read_bundles, write_bundles
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows that a model may learn from."""
+#: The rows of each label that the toxicity classifier learns from at most.
+SAMPLE = 2000
+
+
+def known_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, label) of the labelled rows that a model may learn from."""
     labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return texts.join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
+    return labels.select("doc_id", F.col(label).alias("label"))
 
 
 def _scored(found: DataFrame, threshold: float) -> DataFrame:
@@ -35,8 +38,9 @@ def _scored(found: DataFrame, threshold: float) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_discriminant(labelled(spark, sf_dir, "quality"))
-    return _scored(score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), model), 0.7)
+    stats = materialise(document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = fit_discriminant(stats.join(known_labels(spark, sf_dir, "quality"), "doc_id"), stat_col="x")
+    return _scored(score_statistics(stats, model), 0.7)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +76,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_toxicity(labelled(spark, sf_dir, "toxic"))
+    labels = known_labels(spark, sf_dir, "toxic")
+    share = labels.agg(F.avg("label")).first()[0]
+    chosen = [labels.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(SAMPLE) for y in (0, 1)]
+    # at most SAMPLE rows of each label, so the texts need no shuffle
+    sample = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    model = fit_toxicity(materialise(sample, "sample"), per_class=SAMPLE, toxic_share=share)
     return _scored(score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), model), 0.3)
 
 

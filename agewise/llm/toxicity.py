@@ -158,7 +158,7 @@ def train(
     return made
 
 
-def fit_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", per_class: int = 2000, size: int = 1) -> Compressors:
+def fit_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", per_class: int = 2000, size: int = 1, toxic_share: float | None = None) -> Compressors:
     """Train on at most ``per_class`` rows of each label 0 and 1, those of the smallest hashes of their ids and texts."""
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(
         F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col), F.lit(5), F.col(text_col)).alias("h")
@@ -166,7 +166,9 @@ def fit_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     sample = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h").limit(per_class).collect()]
     total = sum(n.values())
-    return train([r["t"] or "" for r in sample], [r["y"] for r in sample], size=size, toxic_share=n.get(1, 0) / total if total else None)
+    if toxic_share is None and total:
+        toxic_share = n.get(1, 0) / total
+    return train([r["t"] or "" for r in sample], [r["y"] for r in sample], size=size, toxic_share=toxic_share)
 
 
 _gains: dict[bytes, dict[bytes, int]] = {}

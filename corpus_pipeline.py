@@ -10,7 +10,7 @@ from agewise.llm.bpe import encode_decode
 from agewise.llm.common import held_out, materialise, table
 from agewise.llm.lines import dedup_lines
 from agewise.llm.mixing import mix_sources
-from agewise.llm.quality import fit_discriminant, score_quality
+from agewise.llm.quality import document_statistics, fit_discriminant, score_quality
 from agewise.llm.simhash import drop_near_copies
 
 #: A document goes if the classifier's score is lower.
@@ -20,8 +20,8 @@ LEAST_QUALITY = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from the labelled ones among them, doesn't reject."""
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    scored = score_quality(docs, fit_discriminant(known), score_col="__score")
+    known = document_statistics(docs).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    scored = score_quality(docs, fit_discriminant(known, stat_col="x"), score_col="__score")
     return scored.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
