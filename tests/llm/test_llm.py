@@ -249,8 +249,9 @@ def test_toxicity_on_held_out_rows(spark):
 
     assert _held(spark, "toxic", 0.3, op8_toxicity) > 0.9
     rng = random.Random(7)
-    plain = [" ".join(words(rng, 20)) for _ in range(60)]
-    model = toxicity.train([t + " you idiot scum" for t in plain[:30]] + plain[30:], [1] * 30 + [0] * 30)
+    # with fewer texts no word is sure enough to enter the toxic dictionary
+    plain = [" ".join(words(rng, 20)) for _ in range(300)]
+    model = toxicity.train([t + " you idiot scum" for t in plain[:150]] + plain[150:], [1] * 150 + [0] * 150)
     s = [r["score"] for r in toxicity.score_toxicity(docs(spark, ["idiot scum", None, "", "calm day"]), model).orderBy("doc_id").collect()]
     assert s[0] > 0.5 > max(s[1:])
 
