@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import combinations
@@ -205,6 +206,43 @@ def resemblance(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def rare_shingle_pairs(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, step: float = 1.05) -> DataFrame:
+    """(a, b), a < b: every pair of rows of ``texts`` (node, c, text) of different c that can reach ``similarity``, and few others.
+
+    A set of m shingles and one of n >= m at a Jaccard similarity t share s = t / (1 + t) * (m + n) or more, so in any common
+    order of shingles the first m - s + 1 of one meet the first n - s + 1 of the other. The order here is the rarest first,
+    by counts over all of ``texts``: edits of a copy are rare, so copies that are too different meet nowhere, however many
+    they are. Sizes are banded by powers of ``step``, which makes the bound tight. Texts without words count as copies.
+    """
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [list({xxhash.xxh64_intdigest(x, 1) - 2**63 for x in shingles(t, words)} or {0}) for t in part["text"]]
+            yield part.drop(columns="text").assign(sh=found)
+
+    held = materialise(texts.select("node", "c", "text").mapInPandas(work, "node long, c long, sh array<long>"), "shingles")
+    each = held.select("node", F.explode("sh").alias("sh"))
+    counts = each.groupBy("sh").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    order = F.struct(F.coalesce("f", F.lit(1)).alias("f"), "sh")
+    ranked = each.join(counts, "sh", "left").groupBy("node").agg(F.sort_array(F.collect_list(order)).alias("order"))
+    n, share = F.col("n"), similarity / (1 + similarity)
+    ranked = held.select("node", "c", F.size("sh").alias("n")).join(ranked, "node")
+    ranked = materialise(ranked.withColumn("band", F.floor(F.log("n") / math.log(step) + 1e-9).cast("int")), "ranked")
+
+    def leading(df: DataFrame, least: Column) -> DataFrame:
+        """The leading shingles that must meet those of a text of ``least`` shingles or more; those of one text go."""
+        first = (n - F.ceil(share * (n + least) - 1e-6) + 1).cast("int")
+        kept = df.withColumn("x", F.explode(F.slice("order", 1, F.greatest(F.least(first, n), F.lit(1)))))
+        return kept.where(F.col("x.f") > 1).select("node", "c", "n", "band", F.col("x.sh").alias("sh"))
+
+    small = leading(ranked, n).toDF("a", "ca", "na", "band", "sh")
+    lowest = F.floor(F.log(similarity * n) / math.log(step) - 1e-9).cast("int")
+    banded = ranked.withColumn("band", F.explode(F.sequence(F.greatest(lowest, F.lit(0)), "band")))
+    large = leading(banded, F.greatest(F.pow(F.lit(step), F.col("band")), similarity * n)).toDF("b", "cb", "nb", "band", "sh")
+    meet = small.join(large, ["band", "sh"]).where((F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")))
+    return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copy_classes(
     docs: DataFrame,
     *,
@@ -222,8 +260,9 @@ def near_copy_classes(
     The fingerprints joined here are ``prints`` independent SimHashes of a text's set of words, which differ in about four,
     and any of them may bring two texts together by a Golay key. Candidates whose fingerprints differ in more than
     ``max_apart`` of all bits are left out; the others are verified by the Jaccard similarity of their ``words``-word
-    shingles. Texts that share a key are first compared with the smallest of them; once classes are formed from those, only
-    texts of different classes are compared with each other, so a large group is not paired out.
+    shingles. Texts that share a key are first compared with one of them, that which meets most others by its keys. Once
+    classes are formed from those, texts that share a key with another class are compared by :func:`rare_shingle_pairs`,
+    which finds all that can be similar enough, so a large group is not paired out.
 
     Nulls count as empty texts; texts without words are copies of each other. Null ids come last when a class's smallest id
     stands for it.
@@ -248,8 +287,11 @@ def near_copy_classes(
     # one print may differ more than all together
     close = (F.col("a") != F.col("b")) & (bits_apart("fa", "fb") <= 1.5 * max_apart * 64)
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    hubs = index.groupBy("key").agg(F.min(F.struct("b", "fb")).alias("hub"), F.count("*").alias("n"))
-    hubs = hubs.select("key", "hub.*", "n")
+    sizes = index.groupBy("key").agg(F.count("*").alias("n"))
+    weights = index.join(sizes.where(F.col("n") > 1), "key").groupBy("b").agg(F.sum("n").alias("w"))
+    weighed = index.join(weights, "b", "left").withColumn("w", -F.coalesce("w", F.lit(0)))
+    hubs = weighed.groupBy("key").agg(F.min(F.struct("w", "b", "fb")).alias("hub"), F.count("*").alias("n"))
+    hubs = hubs.select("key", "hub.b", "hub.fb", "n")
     # few probe keys are index keys of another text; only those go on
     live = materialise(probe.join(hubs, "key").where((F.col("n") > 1) | (F.col("a") != F.col("b"))), "live")
     first = live.where(close).select(*pair).distinct()
@@ -259,6 +301,11 @@ def near_copy_classes(
             ok = [resemblance(x, y, words) >= similarity for x, y in zip(part["ta"], part["tb"], strict=True)]
             yield part.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
+    def texts_of(used: DataFrame) -> DataFrame:
+        keys = nodes.join(used, "node").select("node", "id", "t1", "t2")
+        texts = rows.join(keys.withColumnRenamed("id", "least"), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least")))
+        return texts.groupBy("node").agg(F.first("text").alias("text"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         fps = nodes.select("node", "fps")
         pairs = pairs.join(fps.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a")
@@ -266,9 +313,7 @@ def near_copy_classes(
         apart = F.aggregate(F.zip_with("fa", "fb", bits_apart), F.lit(0), lambda x, y: x + y)
         pairs = materialise(pairs.where(apart <= max_apart * 64 * prints).select("a", "b"), "pairs")
         used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = nodes.join(used, "node").select("node", "id", "t1", "t2")
-        texts = rows.join(keys.withColumnRenamed("id", "least"), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least")))
-        texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        texts = materialise(texts_of(used), "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return materialise(both.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long"), "alike")
@@ -277,9 +322,12 @@ def near_copy_classes(
     parts = connected_components(links, "a", "b")
     named = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
     named = materialise(named, "named")
-    left = live.where(F.col("n") > 1).select("key", "a", "fa").join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a")
-    right = index.join(named.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-    rest = left.join(right, "key").where(close & (F.col("ca") != F.col("cb"))).select(*pair).distinct()
+    left = live.where(F.col("n") > 1).select("key", F.col("a").alias("node")).join(named, "node")
+    members = index.select("key", F.col("b").alias("node")).join(named, "node")
+    within = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    open_ = materialise(left.join(within, "key").where((F.col("c") != F.col("low")) | (F.col("c") != F.col("high"))).select("key", "node"), "open")
+    used = open_.select("node").unionByName(members.join(open_.select("key").distinct(), "key", "left_semi").select("node")).distinct()
+    rest = rare_shingle_pairs(texts_of(used).join(named, "node"), words=words, similarity=similarity)
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = verified(rest)
     parts = connected_components(links.unionByName(more), "a", "b")

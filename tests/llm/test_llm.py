@@ -152,6 +152,21 @@ def test_near_copies(spark):
     assert simhash.drop_near_copies(table.limit(0)).count() == 0
 
 
+def test_rare_shingle_pairs_miss_no_similar_pair(spark):
+    rng = random.Random(6)
+    base, texts = words(rng, 120, 4000), ["", "one two", "one two three four five"]
+    for k in range(60):
+        w = list(base)
+        for _ in range(k % 6):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(40)}"
+        texts.append(" ".join(w[: len(w) - k % 17]))
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node long, c long, text string")
+    got = {tuple(r) for r in simhash.rare_shingle_pairs(rows).collect()}
+    want = {p for p in combinations(range(3, len(texts)), 2) if simhash.resemblance(texts[p[0]], texts[p[1]], 5) >= 0.8}
+    assert len(want) > 100 and want <= got
+    assert simhash.rare_shingle_pairs(rows.limit(0)).count() == 0
+
+
 def test_lines(spark):
     texts = ["Shared Line\nown %d\n shared line\t" % k for k in range(10)] + ["shared line", None, "", "x\n\n\ny", "rare\nrare"]
     table = docs(spark, texts).withColumn("n_lines", F.lit(9)).unionByName(spark.createDataFrame([(None, "SHARED LINE\nz", 1)], "doc_id long, text string, n_lines int"))
