@@ -206,39 +206,64 @@ def resemblance(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def rare_shingle_pairs(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, step: float = 1.05) -> DataFrame:
-    """(a, b), a < b: every pair of rows of ``texts`` (node, c, text) of different c that can reach ``similarity``, and few others.
-
-    A set of m shingles and one of n >= m at a Jaccard similarity t share s = t / (1 + t) * (m + n) or more, so in any common
-    order of shingles the first m - s + 1 of one meet the first n - s + 1 of the other. The order here is the rarest first,
-    by counts over all of ``texts``: edits of a copy are rare, so copies that are too different meet nowhere, however many
-    they are. Sizes are banded by powers of ``step``, which makes the bound tight. Texts without words count as copies.
-    """
+def shingle_ranks(texts: DataFrame, *, words: int = 5) -> DataFrame:
+    """(node, n, single, order) for ``texts`` (node, text): the number of different shingles, the share of those that no other
+    text has, and all as structs (f, sh) of count and hash, the rarest first. Texts without words have one shingle, the same."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [list({xxhash.xxh64_intdigest(x, 1) - 2**63 for x in shingles(t, words)} or {0}) for t in part["text"]]
             yield part.drop(columns="text").assign(sh=found)
 
-    held = materialise(texts.select("node", "c", "text").mapInPandas(work, "node long, c long, sh array<long>"), "shingles")
+    held = materialise(texts.select("node", "text").mapInPandas(work, "node long, sh array<long>"), "shingles")
     each = held.select("node", F.explode("sh").alias("sh"))
     counts = each.groupBy("sh").agg(F.count("*").alias("f")).where(F.col("f") > 1)
-    order = F.struct(F.coalesce("f", F.lit(1)).alias("f"), "sh")
-    ranked = each.join(counts, "sh", "left").groupBy("node").agg(F.sort_array(F.collect_list(order)).alias("order"))
-    n, share = F.col("n"), similarity / (1 + similarity)
-    ranked = held.select("node", "c", F.size("sh").alias("n")).join(ranked, "node")
-    ranked = materialise(ranked.withColumn("band", F.floor(F.log("n") / math.log(step) + 1e-9).cast("int")), "ranked")
-
-    def leading(df: DataFrame, least: Column) -> DataFrame:
-        """The leading shingles that must meet those of a text of ``least`` shingles or more; those of one text go."""
-        first = (n - F.ceil(share * (n + least) - 1e-6) + 1).cast("int")
-        kept = df.withColumn("x", F.explode(F.slice("order", 1, F.greatest(F.least(first, n), F.lit(1)))))
-        return kept.where(F.col("x.f") > 1).select("node", "c", "n", "band", F.col("x.sh").alias("sh"))
-
-    small = leading(ranked, n).toDF("a", "ca", "na", "band", "sh")
-    lowest = F.floor(F.log(similarity * n) / math.log(step) - 1e-9).cast("int")
-    banded = ranked.withColumn("band", F.explode(F.sequence(F.greatest(lowest, F.lit(0)), "band")))
-    large = leading(banded, F.greatest(F.pow(F.lit(step), F.col("band")), similarity * n)).toDF("b", "cb", "nb", "band", "sh")
+    f = F.coalesce("f", F.lit(1))
+    ranked = each.join(counts, "sh", "left").groupBy("node").agg(
+        F.count("*").alias("n"), F.avg((f == 1).cast("int")).alias("single"), F.sort_array(F.collect_list(F.struct(f.alias("f"), "sh"))).alias("order")
+    )
+    return materialise(ranked, "ranks")
+
+
+def _leading(ranks: DataFrame, least: Column, similarity: float) -> DataFrame:
+    """The leading shingles of each text of which one must be among those of a similar text of ``least`` shingles or more;
+    shingles of one text go."""
+    n = F.col("n")
+    first = (n - F.ceil(similarity / (1 + similarity) * (n + least) - 1e-6) + 1).cast("int")
+    kept = ranks.withColumn("x", F.explode(F.slice("order", 1, F.greatest(F.least(first, n.cast("int")), F.lit(1)))))
+    return kept.where(F.col("x.f") > 1).select("node", "c", "n", "single", "band", F.col("x.sh").alias("sh"))
+
+
+def _banded(ranks: DataFrame, similarity: float, step: float, wide: bool) -> DataFrame:
+    """Leading shingles by band of sizes (powers of ``step``): each text in its own band as the smaller of two, or, if
+    ``wide``, in all bands of texts that may be similar to it, as the larger."""
+    n = F.col("n")
+    band = F.floor(F.log("n") / math.log(step) + 1e-9).cast("int")
+    if not wide:
+        return _leading(ranks.withColumn("band", band), n, similarity)
+    lowest = F.greatest(F.floor(F.log(similarity * n) / math.log(step) - 1e-9).cast("int"), F.lit(0))
+    ranks = ranks.withColumn("band", F.explode(F.sequence(lowest, band)))
+    return _leading(ranks, F.greatest(F.pow(F.lit(step), F.col("band")), similarity * n), similarity)
+
+
+def central_pairs(ranks: DataFrame, *, similarity: float = 0.8, step: float = 1.05) -> DataFrame:
+    """(a, b), a < b: each text of ``ranks`` (with its class c) beside that text of another class which, of all with one of its
+    leading shingles, has the fewest shingles of its own. No more pairs than leading shingles."""
+    large = _banded(ranks, similarity, step, wide=True)
+    hubs = large.groupBy("band", "sh").agg(F.min(F.struct("single", "node", "c")).alias("hub"))
+    met = large.join(hubs, ["band", "sh"]).where(F.col("c") != F.col("hub.c"))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def rare_shingle_pairs(ranks: DataFrame, *, similarity: float = 0.8, step: float = 1.05) -> DataFrame:
+    """(a, b), a < b: every pair of texts of ``ranks`` (with its class c) in different classes that can reach ``similarity``.
+
+    A set of m shingles and one of n >= m at a Jaccard similarity t share s = t / (1 + t) * (m + n) or more, so in any common
+    order of shingles the first m - s + 1 of one meet the first n - s + 1 of the other. The order is the rarest first: edits of
+    a copy are rare, so copies that differ too much meet little. Bands of sizes make the bound tight.
+    """
+    small = _banded(ranks, similarity, step, wide=False).select(F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), "band", "sh")
+    large = _banded(ranks, similarity, step, wide=True).select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), "band", "sh")
     meet = small.join(large, ["band", "sh"]).where((F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")))
     return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -261,8 +286,9 @@ def near_copy_classes(
     and any of them may bring two texts together by a Golay key. Candidates whose fingerprints differ in more than
     ``max_apart`` of all bits are left out; the others are verified by the Jaccard similarity of their ``words``-word
     shingles. Texts that share a key are first compared with one of them, that which meets most others by its keys. Once
-    classes are formed from those, texts that share a key with another class are compared by :func:`rare_shingle_pairs`,
-    which finds all that can be similar enough, so a large group is not paired out.
+    classes are formed from those, texts that share a key with another class are compared by :func:`central_pairs`, which
+    joins most of them, and then by :func:`rare_shingle_pairs`, which finds all others that can be similar enough; so a large
+    group is not paired out.
 
     Nulls count as empty texts; texts without words are copies of each other. Null ids come last when a class's smallest id
     stands for it.
@@ -318,20 +344,23 @@ def near_copy_classes(
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return materialise(both.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long"), "alike")
 
+    def classes_by(links: DataFrame) -> DataFrame:
+        parts = connected_components(links, "a", "b")
+        return materialise(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "named")
+
     links = verified(first)
-    parts = connected_components(links, "a", "b")
-    named = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
-    named = materialise(named, "named")
+    named = classes_by(links)
     left = live.where(F.col("n") > 1).select("key", F.col("a").alias("node")).join(named, "node")
     members = index.select("key", F.col("b").alias("node")).join(named, "node")
     within = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     open_ = materialise(left.join(within, "key").where((F.col("c") != F.col("low")) | (F.col("c") != F.col("high"))).select("key", "node"), "open")
     used = open_.select("node").unionByName(members.join(open_.select("key").distinct(), "key", "left_semi").select("node")).distinct()
-    rest = rare_shingle_pairs(texts_of(used).join(named, "node"), words=words, similarity=similarity)
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = verified(rest)
-    parts = connected_components(links.unionByName(more), "a", "b")
-    named = materialise(nodes.join(parts, "node", "left").select("t1", "t2", "id", F.coalesce("component", "node").alias("c")), "named")
+    ranks = shingle_ranks(texts_of(used), words=words)
+    central = central_pairs(ranks.join(named, "node"), similarity=similarity).join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(central))
+    named = classes_by(links)
+    more = verified(rare_shingle_pairs(ranks.join(named, "node"), similarity=similarity))
+    named = nodes.select("node", "t1", "t2", "id").join(classes_by(links.unionByName(more)), "node")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("t1"), F.col("t2")))
     kept = named.groupBy("c").agg(best.alias("k")).select("c", F.col("k.id").alias("keep_id"), F.col("k.t1").alias("keep1"), F.col("k.t2").alias("keep2"))
     return named.join(kept, "c").select("t1", "t2", "id", "keep_id", "keep1", "keep2")

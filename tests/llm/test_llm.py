@@ -161,10 +161,12 @@ def test_rare_shingle_pairs_miss_no_similar_pair(spark):
             w[rng.randrange(len(w))] = f"edit{rng.randrange(40)}"
         texts.append(" ".join(w[: len(w) - k % 17]))
     rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node long, c long, text string")
-    got = {tuple(r) for r in simhash.rare_shingle_pairs(rows).collect()}
+    ranks = simhash.shingle_ranks(rows).join(rows.select("node", "c"), "node")
+    got = {tuple(r) for r in simhash.rare_shingle_pairs(ranks).collect()}
     want = {p for p in combinations(range(3, len(texts)), 2) if simhash.resemblance(texts[p[0]], texts[p[1]], 5) >= 0.8}
     assert len(want) > 100 and want <= got
-    assert simhash.rare_shingle_pairs(rows.limit(0)).count() == 0
+    assert all(a < b for a, b in simhash.central_pairs(ranks).collect())
+    assert simhash.rare_shingle_pairs(ranks.limit(0)).count() == 0
 
 
 def test_lines(spark):
