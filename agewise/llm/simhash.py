@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: (segment looked up with errors, segment compared whole).
 TABLES = ((0, 2), (1, 0), (2, 1))
+#: Shingles are counted in so many buckets (as a power of two), to order them by their rarity.
+SKETCH_BITS = 20
+#: Rows whose texts a Python worker holds as strings at a time.
+CHUNK_ROWS = 200
 
 
 @cache
@@ -206,66 +211,136 @@ def resemblance(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def shingle_ranks(texts: DataFrame, *, words: int = 5) -> DataFrame:
-    """(node, n, single, order) for ``texts`` (node, text): the number of different shingles, the share of those that no other
-    text has, and all as structs (f, sh) of count and hash, the rarest first. Texts without words have one shingle, the same."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The different shingles of :func:`shingles` as sorted 64-bit hashes, made of the hashes of their words; zero without words."""
+    w = text.encode().lower().split()
+    if not w:
+        return np.zeros(1, dtype=np.uint64)
+    if len(w) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 1)], dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
+    x = np.zeros(len(w) - words + 1, dtype=np.uint64)
+    for k in range(words):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(x)]
+        x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.unique(x)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [list({xxhash.xxh64_intdigest(x, 1) - 2**63 for x in shingles(t, words)} or {0}) for t in part["text"]]
-            yield part.drop(columns="text").assign(sh=found)
-
-    held = materialise(texts.select("node", "text").mapInPandas(work, "node long, sh array<long>"), "shingles")
-    each = held.select("node", F.explode("sh").alias("sh"))
-    counts = each.groupBy("sh").agg(F.count("*").alias("f")).where(F.col("f") > 1)
-    f = F.coalesce("f", F.lit(1))
-    ranked = each.join(counts, "sh", "left").groupBy("node").agg(
-        F.count("*").alias("n"), F.avg((f == 1).cast("int")).alias("single"), F.sort_array(F.collect_list(F.struct(f.alias("f"), "sh"))).alias("order")
-    )
-    return materialise(ranked, "ranks")
-
-
-def _leading(ranks: DataFrame, least: Column, similarity: float) -> DataFrame:
-    """The leading shingles of each text of which one must be among those of a similar text of ``least`` shingles or more;
-    shingles of one text go."""
-    n = F.col("n")
-    first = (n - F.ceil(similarity / (1 + similarity) * (n + least) - 1e-6) + 1).cast("int")
-    kept = ranks.withColumn("x", F.explode(F.slice("order", 1, F.greatest(F.least(first, n.cast("int")), F.lit(1)))))
-    return kept.where(F.col("x.f") > 1).select("node", "c", "n", "single", "band", F.col("x.sh").alias("sh"))
-
-
-def _banded(ranks: DataFrame, similarity: float, step: float, wide: bool) -> DataFrame:
-    """Leading shingles by band of sizes (powers of ``step``): each text in its own band as the smaller of two, or, if
-    ``wide``, in all bands of texts that may be similar to it, as the larger."""
-    n = F.col("n")
-    band = F.floor(F.log("n") / math.log(step) + 1e-9).cast("int")
-    if not wide:
-        return _leading(ranks.withColumn("band", band), n, similarity)
-    lowest = F.greatest(F.floor(F.log(similarity * n) / math.log(step) - 1e-9).cast("int"), F.lit(0))
-    ranks = ranks.withColumn("band", F.explode(F.sequence(lowest, band)))
-    return _leading(ranks, F.greatest(F.pow(F.lit(step), F.col("band")), similarity * n), similarity)
-
-
-def central_pairs(ranks: DataFrame, *, similarity: float = 0.8, step: float = 1.05) -> DataFrame:
-    """(a, b), a < b: each text of ``ranks`` (with its class c) beside that text of another class which, of all with one of its
-    leading shingles, has the fewest shingles of its own. No more pairs than leading shingles."""
-    large = _banded(ranks, similarity, step, wide=True)
-    hubs = large.groupBy("band", "sh").agg(F.min(F.struct("single", "node", "c")).alias("hub"))
-    met = large.join(hubs, ["band", "sh"]).where(F.col("c") != F.col("hub.c"))
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK_ROWS):
+            yield batch.slice(at, CHUNK_ROWS)
+
+
+def shingle_levels(texts: DataFrame, *, words: int = 5) -> np.ndarray:
+    """For each of 2^SKETCH_BITS buckets of shingles (column text), a measure that grows with the number of texts that hold
+    one of them."""
+    chunks = 256
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        for part in _chunks(batches):
+            for t in part["text"].to_pylist():
+                np.add.at(held, _bucket(shingle_hashes(t, words)), np.uint32(1))
+        own = [pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in np.split(held, chunks)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(own, ["k", "v"])
+
+    def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        held = sum(np.frombuffer(v, dtype=np.uint32).astype(np.int64) for v in group["v"])
+        return pd.DataFrame({"k": [key[0]], "v": [(256 * np.log2(1 + held)).astype(np.uint16).tobytes()]})
+
+    found = texts.select("text").mapInArrow(count, "k int, v binary").groupBy("k").applyInPandas(total, "k int, v binary").collect()
+    out = np.zeros((chunks, (1 << SKETCH_BITS) // chunks), dtype=np.uint16)
+    for r in found:
+        out[r["k"]] = np.frombuffer(r["v"], dtype=np.uint16)
+    return out.reshape(-1)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def lead(text: str, levels: np.ndarray, words: int, similarity: float) -> tuple[int, float, np.ndarray]:
+    """Number of a text's different shingles, their mean level, and its leading ones by level and hash: as many as needed so
+    that any text at ``similarity`` or more has one of them among its own leading ones."""
+    h = shingle_hashes(text, words)
+    own = levels[_bucket(h)]
+    first = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
+    return len(h), float(own.mean()), h[np.lexsort((h, own))[:first]].view(np.int64)
+
+
+def _leads(texts: list[str], levels: np.ndarray, words: int, similarity: float) -> dict[str, pa.Array]:
+    n, common, leads = zip(*(lead(t, levels, words, similarity) for t in texts), strict=True)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in leads])])
+    values = pa.array(np.concatenate(leads))
+    return {"n": pa.array(n, pa.int32()), "common": pa.array(common, pa.float64()), "lead": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+
+
+def shingle_ranks(texts: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, n, common, lead) for ``texts`` (node, text), see :func:`lead`."""
+    levels = texts.sparkSession.sparkContext.broadcast(shingle_levels(texts, words=words))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _chunks(batches):
+            yield pa.RecordBatch.from_pydict({"node": part["node"], **_leads(part["text"].to_pylist(), levels.value, words, similarity)})
+
+    return materialise(texts.select("node", "text").mapInArrow(work, "node long, n int, common double, lead array<long>"), "ranks")
+
+
+def _led(ranks: DataFrame) -> DataFrame:
+    """A row for each leading shingle sh, with its place i."""
+    own = [c for c in ranks.columns if c in ("node", "c", "n", "common")]
+    return ranks.select(*own, F.posexplode("lead").alias("i", "sh"))
+
+
+def _open(led: DataFrame) -> DataFrame:
+    """Leading shingles that texts of different classes c have."""
+    ends = led.groupBy("sh").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") < F.col("high"))
+    return led.join(ends, "sh", "left_semi")
+
+
+def _least_common(na: Column, nb: Column, similarity: float) -> Column:
+    return F.ceil(similarity / (1 + similarity) * (na + nb) - 1e-6)
+
+
+def _within_reach(na: str, ia: str, nb: str, ib: str, similarity: float) -> Column:
+    """Whether places ia and ib of two texts can be those of the first shingle they share if they are similar."""
+    s = _least_common(F.col(na), F.col(nb), similarity)
+    return (F.col(ia) + s <= F.col(na)) & (F.col(ib) + s <= F.col(nb))
+
+
+def _central(opened: DataFrame, similarity: float) -> DataFrame:
+    hubs = opened.groupBy("sh").agg(F.min(F.struct((-F.col("common")).alias("x"), "node", "c", "n", "i")).alias("hub"))
+    met = opened.join(hubs, "sh").where((F.col("c") != F.col("hub.c")) & _within_reach("n", "i", "hub.n", "hub.i", similarity))
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def rare_shingle_pairs(ranks: DataFrame, *, similarity: float = 0.8, step: float = 1.05) -> DataFrame:
+def _rare(opened: DataFrame, similarity: float) -> DataFrame:
+    small, large = (opened.select("sh", *(F.col(c).alias(c + x) for c in ("node", "c", "n", "i"))) for x in "ab")
+    small = small.where(F.col("ia") + _least_common(F.col("na"), F.col("na"), similarity) <= F.col("na"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb")))
+    left, right = small.alias("l"), large.alias("r")
+    on = (F.col("l.sh") == F.col("r.sh")) & (F.col("ca") != F.col("cb")) & ordered & _within_reach("na", "ia", "nb", "ib", similarity)
+    meet = left.join(right, on)
+    return meet.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+
+
+def central_pairs(ranks: DataFrame, *, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a < b: pairs of :func:`rare_shingle_pairs` with that text which, of all with a leading shingle, has the commonest
+    shingles. No more pairs than leading shingles."""
+    return _central(_open(_led(ranks)), similarity)
+
+
+def rare_shingle_pairs(ranks: DataFrame, *, similarity: float = 0.8) -> DataFrame:
     """(a, b), a < b: every pair of texts of ``ranks`` (with its class c) in different classes that can reach ``similarity``.
 
-    A set of m shingles and one of n >= m at a Jaccard similarity t share s = t / (1 + t) * (m + n) or more, so in any common
-    order of shingles the first m - s + 1 of one meet the first n - s + 1 of the other. The order is the rarest first: edits of
-    a copy are rare, so copies that differ too much meet little. Bands of sizes make the bound tight.
+    A set of m shingles and one of n at a Jaccard similarity t share s = t / (1 + t) * (m + n) or more, so in any common
+    order of shingles the first they share is among the first m - s + 1 of one and the first n - s + 1 of the other. The
+    order is the rarest first, by counts of buckets: edits of a copy are rare, so copies that differ too much meet little.
     """
-    small = _banded(ranks, similarity, step, wide=False).select(F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), "band", "sh")
-    large = _banded(ranks, similarity, step, wide=True).select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), "band", "sh")
-    meet = small.join(large, ["band", "sh"]).where((F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")))
-    return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _rare(_open(_led(ranks)), similarity)
 
 
 def near_copy_classes(
@@ -281,14 +356,13 @@ def near_copy_classes(
     """(t1, t2, id, keep_id, keep1, keep2): the distinct texts (two hashes), their smallest id, and id and hashes of the
     text that stands for their class of near copies.
 
-    A change of one word changes five shingles, so whole-text SimHashes of texts at the limit of 0.8 differ in some ten bits.
-    The fingerprints joined here are ``prints`` independent SimHashes of a text's set of words, which differ in about four,
-    and any of them may bring two texts together by a Golay key. Candidates whose fingerprints differ in more than
-    ``max_apart`` of all bits are left out; the others are verified by the Jaccard similarity of their ``words``-word
-    shingles. Texts that share a key are first compared with one of them, that which meets most others by its keys. Once
-    classes are formed from those, texts that share a key with another class are compared by :func:`central_pairs`, which
-    joins most of them, and then by :func:`rare_shingle_pairs`, which finds all others that can be similar enough; so a large
-    group is not paired out.
+    Every pair of texts whose ``words``-word shingles have a Jaccard similarity of ``similarity`` or more ends in one class.
+    Cheap links come first: fingerprints, ``prints`` independent SimHashes of a text's set of words, bring texts together by
+    Golay keys, and texts that share a key are compared with one of them, that which meets most others by its keys; there
+    fingerprints that differ in more than ``max_apart`` of all bits are left to what follows. All distinct texts, whether they
+    share a key or not, then meet by their leading shingles: those of different classes are compared by :func:`central_pairs`,
+    which joins most of a large group, and then by :func:`rare_shingle_pairs`, which finds all others that can be similar
+    enough. Every link is verified by its similarity.
 
     Nulls count as empty texts; texts without words are copies of each other. Null ids come last when a class's smallest id
     stands for it.
@@ -297,13 +371,17 @@ def near_copy_classes(
     text = F.coalesce(F.col(text_col), F.lit(""))
     t1, t2 = F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.drop(columns="text").assign(fps=[word_prints(t, prints) for t in part["text"]])
-
     rows = docs.select(F.col(id_col).cast("long").alias("id"), t1, t2, text.alias("text"))
-    hashed = rows.mapInPandas(work, "id long, t1 long, t2 long, fps array<long>")
-    nodes = hashed.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("fps").alias("fps"))
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(rows, words=words))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _chunks(batches):
+            held = part["text"].to_pylist()
+            fps = pa.array([word_prints(t, prints) for t in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({c: part[c] for c in ("id", "t1", "t2")} | {"fps": fps} | _leads(held, levels.value, words, similarity))
+
+    hashed = rows.mapInArrow(work, "id long, t1 long, t2 long, fps array<long>, n int, common double, lead array<long>")
+    nodes = hashed.groupBy("t1", "t2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fps", "n", "common", "lead")))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
     turned = F.col("key") + F.shiftleft(F.col("s").cast("long"), 44)
@@ -316,50 +394,46 @@ def near_copy_classes(
     sizes = index.groupBy("key").agg(F.count("*").alias("n"))
     weights = index.join(sizes.where(F.col("n") > 1), "key").groupBy("b").agg(F.sum("n").alias("w"))
     weighed = index.join(weights, "b", "left").withColumn("w", -F.coalesce("w", F.lit(0)))
-    hubs = weighed.groupBy("key").agg(F.min(F.struct("w", "b", "fb")).alias("hub"), F.count("*").alias("n"))
-    hubs = hubs.select("key", "hub.b", "hub.fb", "n")
-    # few probe keys are index keys of another text; only those go on
-    live = materialise(probe.join(hubs, "key").where((F.col("n") > 1) | (F.col("a") != F.col("b"))), "live")
-    first = live.where(close).select(*pair).distinct()
+    hubs = weighed.groupBy("key").agg(F.min(F.struct("w", "b", "fb")).alias("hub")).select("key", "hub.b", "hub.fb")
+    first = probe.join(hubs, "key").where(close).select(*pair).distinct()
 
-    def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            ok = [resemblance(x, y, words) >= similarity for x, y in zip(part["ta"], part["tb"], strict=True)]
-            yield part.loc[np.array(ok, dtype=bool), ["a", "b"]]
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _chunks(batches):
+            ok = [resemblance(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(part["ta"], part["tb"], strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def texts_of(used: DataFrame) -> DataFrame:
         keys = nodes.join(used, "node").select("node", "id", "t1", "t2")
         texts = rows.join(keys.withColumnRenamed("id", "least"), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least")))
         return texts.groupBy("node").agg(F.first("text").alias("text"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         fps = nodes.select("node", "fps")
         pairs = pairs.join(fps.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a")
         pairs = pairs.join(fps.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
         apart = F.aggregate(F.zip_with("fa", "fb", bits_apart), F.lit(0), lambda x, y: x + y)
-        pairs = materialise(pairs.where(apart <= max_apart * 64 * prints).select("a", "b"), "pairs")
+        return pairs.where(apart <= max_apart * 64 * prints).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
         used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         texts = materialise(texts_of(used), "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return materialise(both.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long"), "alike")
+        return materialise(both.select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "alike")
 
     def classes_by(links: DataFrame) -> DataFrame:
         parts = connected_components(links, "a", "b")
         return materialise(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "named")
 
-    links = verified(first)
-    named = classes_by(links)
-    left = live.where(F.col("n") > 1).select("key", F.col("a").alias("node")).join(named, "node")
-    members = index.select("key", F.col("b").alias("node")).join(named, "node")
-    within = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    open_ = materialise(left.join(within, "key").where((F.col("c") != F.col("low")) | (F.col("c") != F.col("high"))).select("key", "node"), "open")
-    used = open_.select("node").unionByName(members.join(open_.select("key").distinct(), "key", "left_semi").select("node")).distinct()
-    ranks = shingle_ranks(texts_of(used), words=words)
-    central = central_pairs(ranks.join(named, "node"), similarity=similarity).join(first, ["a", "b"], "left_anti")
+    links = verified(likely(first))
+    led = _led(nodes.select("node", "n", "common", "lead"))
+    met = led.groupBy("sh").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    shared = materialise(led.join(met, "sh", "left_semi"), "shared")
+    central = materialise(_central(_open(shared.join(classes_by(links), "node")), similarity), "central")
     links = links.unionByName(verified(central))
-    named = classes_by(links)
-    more = verified(rare_shingle_pairs(ranks.join(named, "node"), similarity=similarity))
+    rare = _rare(_open(shared.join(classes_by(links), "node")), similarity)
+    more = verified(rare.join(central, ["a", "b"], "left_anti"))
     named = nodes.select("node", "t1", "t2", "id").join(classes_by(links.unionByName(more)), "node")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("t1"), F.col("t2")))
     kept = named.groupBy("c").agg(best.alias("k")).select("c", F.col("k.id").alias("keep_id"), F.col("k.t1").alias("keep1"), F.col("k.t2").alias("keep2"))

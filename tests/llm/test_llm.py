@@ -169,6 +169,18 @@ def test_rare_shingle_pairs_miss_no_similar_pair(spark):
     assert simhash.rare_shingle_pairs(ranks.limit(0)).count() == 0
 
 
+def test_near_copies_by_blocks(spark):
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, 300, 4000)) for _ in range(40)]
+    for k in range(40):
+        w = texts[k].split()
+        cut = (12, 24, 27)[k % 3]
+        texts.append(" ".join(w[:-cut] + words(rng, cut, 4000)))
+        texts.append(" ".join(w + words(rng, (30, 45, 66)[k % 3], 4000)))
+    assert all(simhash.resemblance(texts[k // 2], texts[40 + k], 5) >= 0.8 for k in range(80))
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs(spark, texts)).collect()) == list(range(40))
+
+
 def test_lines(spark):
     texts = ["Shared Line\nown %d\n shared line\t" % k for k in range(10)] + ["shared line", None, "", "x\n\n\ny", "rare\nrare"]
     table = docs(spark, texts).withColumn("n_lines", F.lit(9)).unionByName(spark.createDataFrame([(None, "SHARED LINE\nz", 1)], "doc_id long, text string, n_lines int"))
