@@ -244,6 +244,17 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(n, n + 5))
 
 
+def test_every_group_of_near_vectors_is_reached():
+    rng = np.random.default_rng(8)
+    base = vectors.unit(rng.normal(size=(10, 64)))
+    x = vectors.unit(np.repeat(base, 140, axis=0) + rng.normal(size=(1400, 64)) * 0.01)
+    src, dst = vectors.build_graph(x, 24, 1.2)
+    assert not vectors.smallest_reachable(len(x), np.stack([src, dst], axis=1)).any()
+    want = (x @ x.T >= 0.93).sum() - len(x)
+    found = sum(len(f) for _, f in vectors.search(x, src, dst, np.arange(len(x)), 0.93, 24, 0.03))
+    assert want == 10 * 140 * 139 and found >= 0.99 * want
+
+
 def test_mixing(spark):
     rows = [(k, "a" if k < 900 else "b" if k < 990 else None, "w " * 10) for k in range(1000)] + [(1000, "empty", None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("epoch", F.lit(9))
