@@ -147,21 +147,25 @@ def smallest_reachable(n: int, pairs: np.ndarray) -> np.ndarray:
     return low
 
 
+#: A cell is split if its parts, with guests, have at most so many times its rows.
+MOST_COPIES = 3
+
+
 def assign(reps: DataFrame, shard_rows: int, sample_rows: int, margin: float, max_levels: int = 6) -> DataFrame:
     """(cell, rep, v, home): every vector in the shard of its nearest centre, home true, and in shards whose centre is
     within ``margin`` of that cosine.
 
-    Cells of more than ``shard_rows`` home rows are split again and again: centres come from at most ``sample_rows`` rows of
-    a cell, those of the smallest hashes. A cell that does not shrink, as it holds vectors that are almost alike, is left
-    whole after ``max_levels``.
+    Cells of more than ``shard_rows`` home rows are split again and again, ``max_levels`` times at most: centres come from at
+    most ``sample_rows`` rows of a cell, those of the smallest hashes. A cell whose parts would hold over ``MOST_COPIES``
+    times its rows, as it holds vectors that are almost alike, is left whole.
     """
     spark = reps.sparkSession
     now = reps.select(F.col("part").alias("cell"), "rep", "v", F.lit(True).alias("home"))
     settled: list[DataFrame] = []
     for _ in range(max_levels):
         now = materialise(now, "cells")
-        sizes = now.groupBy("cell").agg(F.count("*").alias("n"))
-        big = sizes.where(F.col("n") > shard_rows)
+        sizes = now.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+        big = sizes.where(F.col("homes") > shard_rows).select("cell", "n")
         todo = now.join(big, "cell")
         chance = F.col("n") * F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < sample_rows
 
@@ -188,6 +192,7 @@ def assign(reps: DataFrame, shard_rows: int, sample_rows: int, margin: float, ma
                     out.append(
                         pd.DataFrame(
                             {
+                                "parent": cell,
                                 "cell": [f"{cell}/{k}" for k in col],
                                 "rep": group["rep"].to_numpy()[row],
                                 "v": [group["v"].iloc[r] for r in row],
@@ -199,7 +204,12 @@ def assign(reps: DataFrame, shard_rows: int, sample_rows: int, margin: float, ma
                     yield pd.concat(out)
 
         split = now.join(lists, "cell").select("cell", "rep", "v", "home", "cs")
-        now = split.mapInPandas(deal, "cell string, rep long, v array<double>, home boolean")
+        dealt = split.mapInPandas(deal, "parent string, cell string, rep long, v array<double>, home boolean")
+        # only counts decide, before any copy is written
+        copies = dealt.groupBy(F.col("parent").alias("cell")).agg(F.count("*").alias("m")).join(big, "cell")
+        whole = materialise(copies.where(F.col("m") > MOST_COPIES * F.col("n")).select("cell"), "whole")
+        settled.append(now.join(whole, "cell"))
+        now = dealt.join(whole.withColumnRenamed("cell", "parent"), "parent", "left_anti").drop("parent")
     else:
         settled.append(materialise(now, "cells"))
         return _union(settled)
@@ -235,7 +245,8 @@ def near_vectors(
     vectors of a label are one node with a count, linked to each other. Nodes are dealt to overlapping cluster shards
     (:func:`assign`); each shard builds a robust-pruned graph; the adjacency lists of all shards are united, and in each shard
     every vector at home there is searched for over the united lists, from itself and the shard's medoid. Links found are verified by
-    their cosines, so none is false; :func:`audit_recall` measures how many are found.
+    their cosines, so none is false; :func:`audit_recall` measures how many are found. Shards of more than twice
+    ``shard_rows`` vectors have no graph: all their pairs are compared, a pair of blocks of vectors at a time.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with nothing.
     Vectors of unequal lengths are never compared. A null id counts as another vector, is never the smallest and has a null
@@ -253,7 +264,10 @@ def near_vectors(
     base = materialise(base.select("id", F.when(ok, clean).alias("v"), F.when(ok, part).alias("part")), "vectors")
     copies = base.where(F.col("part").isNotNull()).groupBy("part", "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     reps = materialise(copies.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    dealt = materialise(assign(reps, shard_rows, sample_rows, margin).join(reps.select("rep", "n"), "rep"), "dealt")
+    every = materialise(assign(reps, shard_rows, sample_rows, margin).join(reps.select("rep", "n"), "rep"), "dealt")
+    large = every.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > 2 * shard_rows)
+    large = materialise(large.withColumn("blocks", F.ceil(F.col("size") / shard_rows).cast("int")), "large")
+    dealt = every.join(large.select("cell"), "cell", "left_anti")
 
     def graph(group: pd.DataFrame) -> pd.DataFrame:
         x, ids = unit(np.array(group["v"].to_list())), group["rep"].to_numpy()
@@ -284,8 +298,30 @@ def near_vectors(
         low = smallest_reachable(len(ids), np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
         return pd.DataFrame({"rep": ids[home], "inner": inner, "low": ids[low[home]] if len(home) else [], "guests": guests})
 
-    found = with_lists.groupBy("cell").applyInPandas(links, "rep long, inner long, low long, guests array<long>")
-    found = materialise(found, "found")
+    def block_links(group: pd.DataFrame) -> pd.DataFrame:
+        asked, rows = group[group["query"]], group[~group["query"]]
+        a, b = asked["rep"].to_numpy(), rows["rep"].to_numpy()
+        if not len(a) or not len(b):
+            return pd.DataFrame({"rep": [], "inner": [], "low": [], "guests": []})
+        near = unit(np.array(asked["v"].to_list())) @ unit(np.array(rows["v"].to_list())).T >= threshold
+        near &= a[:, None] != b[None, :]
+        inside, n = rows["home"].to_numpy(), rows["n"].to_numpy()
+        own = near & inside
+        ids = np.unique(np.r_[a, b])
+        row, col = np.nonzero(own)
+        low = smallest_reachable(len(ids), np.stack([np.searchsorted(ids, a[row]), np.searchsorted(ids, b[col])], axis=1))
+        guests = [b[x] for x in near & ~inside]
+        return pd.DataFrame({"rep": a, "inner": own @ n, "low": ids[low[np.searchsorted(ids, a)]], "guests": guests})
+
+    schema = "rep long, inner long, low long, guests array<long>"
+    found = with_lists.groupBy("cell").applyInPandas(links, schema)
+    held = every.join(large, "cell").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
+    turn = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asked = held.where("home").select("cell", F.col("own").alias("i"), turn.alias("j"), "rep", "v", "n", "home", F.lit(True).alias("query"))
+    against = held.select("cell", turn.alias("i"), F.col("own").alias("j"), "rep", "v", "n", "home", F.lit(False).alias("query"))
+    blocks = asked.unionByName(against).groupBy("cell", "i", "j").applyInPandas(block_links, schema)
+    found = materialise(found.unionByName(blocks), "found")
+    counts = found.groupBy("rep").agg(F.sum("inner").alias("inner"))
     across = found.select("rep", F.explode("guests").alias("other"))
     across = materialise(across.unionByName(across.select(F.col("other").alias("rep"), F.col("rep").alias("other"))).distinct(), "across")
     outer = across.join(reps.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("outer"))
@@ -293,7 +329,7 @@ def near_vectors(
     edges = found.select(F.col("rep").alias("src"), F.col("low").alias("dst"))
     edges = edges.unionByName(across.select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     comp = connected_components(edges)
-    nodes = reps.join(found.select("rep", "inner"), "rep", "left").join(outer, "rep", "left").join(comp, reps["rep"] == comp["node"], "left")
+    nodes = reps.join(counts, "rep", "left").join(outer, "rep", "left").join(comp, reps["rep"] == comp["node"], "left")
     nodes = nodes.select("part", "v", "rep", "least", F.coalesce("component", "rep").alias("comp"), (F.col("n") - 1 + F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).alias("n_links"))
     nodes = materialise(nodes, "nodes")
     least = nodes.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -255,6 +255,24 @@ def test_every_group_of_near_vectors_is_reached():
     assert want == 10 * 140 * 139 and found >= 0.99 * want
 
 
+def test_a_tight_group_larger_than_a_shard(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=16)
+    near = np.concatenate([base + rng.normal(size=(300, 16)) * 0.22 * np.linalg.norm(base) / 4, rng.normal(size=(60, 16))])
+    rows = spark.createDataFrame([(k, list(map(float, v)), 1) for k, v in enumerate(near)], "vec_id long, embedding array<double>, label int")
+    reps = rows.select(F.lit("1").alias("part"), F.col("vec_id").alias("rep"), F.col("embedding").alias("v"))
+    cells = vectors.assign(reps, 40, 4096, 0.08)
+    assert cells.count() <= 4 * len(near) and cells.where("home").count() == len(near)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(rows, shard_rows=40).collect()}
+    x = vectors.unit(near)
+    link = (x @ x.T >= 0.93) & ~np.eye(len(near), dtype=bool)
+    low = vectors.smallest_reachable(len(near), np.argwhere(link))
+    assert link.sum() > 10000
+    assert all(got[k]["n_links"] <= link[k].sum() for k in range(len(near)))
+    assert sum(got[k]["n_links"] for k in range(len(near))) >= 0.97 * link.sum()
+    assert np.mean([got[k]["component_id"] == low[k] for k in range(len(near))]) > 0.97
+
+
 def test_mixing(spark):
     rows = [(k, "a" if k < 900 else "b" if k < 990 else None, "w " * 10) for k in range(1000)] + [(1000, "empty", None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("epoch", F.lit(9))
