@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -18,33 +18,59 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from agewise.llm.common import need
 
-#: Words that each Python worker keeps with their ids, twice: those met lately, and those met before.
-CACHE_WORDS = 100_000
-#: Characters of text worked on at once, and words for one recursive query.
-CHUNK_CHARS = 800_000
-QUERY_WORDS = 15_000
-#: A word of more bytes is merged with a heap: one contraction per step makes the query quadratic in its length.
-LONG_BYTES = 200
+#: Words that each Python worker keeps with their ids and bytes; with more, it begins anew.
+CACHE_WORDS = 400_000
+#: Characters of text worked on at once, and bytes of words for one recursive query.
+CHUNK_CHARS = 3_000_000
+QUERY_BYTES = 400_000
 
+#: A word is a list of ids, unnested to token positions at every step. All its pairs of the least rank are contracted, from
+#: the left, where none of the pairs that arise can rank before them (settled); else the leftmost alone. The key keeps a
+#: word's newest ids; a step works on the words that the last one changed.
 MERGE = """
-WITH RECURSIVE tokens(step, w, pos, id) AS (
-    SELECT 0, w, pos, id FROM start
-  UNION ALL
-    SELECT step + 1, t.w, CASE WHEN pos > spot THEN pos - 1 ELSE pos END, CASE WHEN pos = spot THEN merged ELSE id END
-    FROM tokens t JOIN (
-        SELECT w, (best & 65535)::INTEGER AS spot, (best >> 16)::INTEGER AS merged
+CREATE OR REPLACE TABLE coded AS
+WITH RECURSIVE words(w, ids) USING KEY (w) AS (
+    SELECT w, ids FROM start
+  UNION (
+    WITH met AS MATERIALIZED (
+        SELECT w, pos, merged, settled, p.l = p.r AS twin
         FROM (
-            SELECT a.w, min(m.merged::BIGINT << 16 | a.pos) AS best
-            FROM tokens a JOIN tokens b ON b.w = a.w AND b.pos = a.pos + 1 JOIN merges m ON m.l = a.id AND m.r = b.id
-            GROUP BY a.w
-        )
-    ) c ON c.w = t.w
-    WHERE pos <> spot + 1
-),
-last AS (SELECT w, max(step) AS step FROM tokens GROUP BY w)
-SELECT w, list(id ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS parts
-FROM tokens JOIN last USING (w, step) JOIN vocab USING (id)
-GROUP BY w
+            SELECT w, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, generate_subscripts(ids[2:], 1) AS pos
+            FROM words WHERE len(ids) > 1
+        ) p JOIN merges m ON m.l = p.l AND m.r = p.r
+    ), least AS MATERIALIZED (
+        SELECT w, pos, merged, settled, twin FROM met JOIN (SELECT w, min(merged) AS merged FROM met GROUP BY w) USING (w, merged)
+    ), apart AS (
+        SELECT w, pos, merged, settled FROM least WHERE NOT twin
+      UNION ALL  -- of a row of equal tokens, every other pair
+        SELECT w, pos, merged, settled
+        FROM (SELECT *, pos - row_number() OVER (PARTITION BY w ORDER BY pos) AS island FROM least WHERE twin)
+        QUALIFY row_number() OVER (PARTITION BY w, island ORDER BY pos) % 2 = 1
+    ), spots AS MATERIALIZED (
+        SELECT w, merged, min(pos) AS pos, CASE WHEN bool_and(settled) AND count(*) > 1 THEN list(pos) END AS more
+        FROM apart GROUP BY w, merged
+    )
+    SELECT w, ids[:pos - 1] || [merged] || ids[pos + 2:] FROM words JOIN spots USING (w) WHERE more IS NULL
+  UNION ALL
+    SELECT w, list(coalesce(s.merged, t.id) ORDER BY pos)
+    FROM (
+        SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
+        FROM words SEMI JOIN (SELECT w FROM spots WHERE more IS NOT NULL) USING (w)
+    ) t
+    LEFT JOIN (SELECT w, merged, unnest(more) AS pos FROM spots) s USING (w, pos)
+    ANTI JOIN (SELECT w, unnest(more) + 1 AS pos FROM spots) gone USING (w, pos)
+    GROUP BY w
+  )
+)
+SELECT w, ids FROM words
+"""
+
+DECODE = """
+SELECT w, ids, parts FROM coded JOIN (
+    SELECT w, list(bytes ORDER BY pos) AS parts
+    FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocab USING (id)
+    GROUP BY w
+) USING (w) ORDER BY w
 """
 
 
@@ -59,24 +85,21 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern)
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.known: dict[str, int] = {}
+        self.ids, self.bytes = _Lists(np.uint32), _Lists(np.uint8)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        pairs = [
-            (self.ranks[t[:k]], self.ranks[t[k:]], r)
-            for t, r in self.ranks.items()
-            for k in range(1, len(t))
-            if t[:k] in self.ranks and t[k:] in self.ranks
-        ]
+        halves = [(t[:k], t[k:], r) for t, r in self.ranks.items() for k in range(1, len(t))]
+        pairs = [(self.ranks[a], self.ranks[b], r) for a, b, r in halves if a in self.ranks and b in self.ranks]
         self.pairs = np.array(pairs, dtype=np.int32).T
+        # tokens that a token of lower rank begins or ends with: a pair with one of them may rank before it
+        self.unsettled = np.unique([self.ranks[p] for a, b, r in halves for p in (a, b) if self.ranks.get(p, -1) > r]).astype(np.int32)
         self.db: duckdb.DuckDBPyConnection | None = None
 
     def open(self) -> None:
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         left, right, merged = self.pairs
-        self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
+        self._table("merges", pa.table({"l": left, "r": right, "merged": merged, "settled": ~np.isin(merged, self.unsettled)}))
         tokens = list(self.ranks)
         self._table("vocab", pa.table({"id": pa.array([self.ranks[t] for t in tokens], pa.int32()), "bytes": pa.array(tokens, pa.binary())}))
 
@@ -93,71 +116,75 @@ class Encoder:
         self.db.unregister("__rows")
 
     def learn(self, words: set[str]) -> None:
-        """Add words to the cache; a word that is a token itself stays whole, as do all single tokens."""
-        if len(self.ids) + len(words) > CACHE_WORDS:
-            self.before = self.ids, self.decoded
-            self.ids, self.decoded = {}, {}
-        query: list[tuple[str, bytes]] = []
-        for word in words:
-            if word in self.ids:
-                continue
-            if word in self.before[0]:
-                self.ids[word], self.decoded[word] = self.before[0][word], self.before[1][word]
-                continue
-            raw = word.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.ids[word], self.decoded[word] = whole.to_bytes(4, "little"), raw
-            elif len(raw) > LONG_BYTES:
-                found = merge_long(raw, self.ranks)
-                self.ids[word] = np.array([self.ranks[p] for p in found], dtype="<u4").tobytes()
-                self.decoded[word] = b"".join(found)
-            else:
-                query.append((word, raw))
-        if query and not self.db:
+        """Add words that the worker has not met lately to its cache."""
+        new = list(words - self.known.keys())
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.ids, self.bytes, new = {}, _Lists(np.uint32), _Lists(np.uint8), list(words)
+        ends = np.cumsum([len(word.encode()) for word in new])
+        k = 0
+        while k < len(new):
+            n = max(1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + QUERY_BYTES, side="right")) - k)
+            ids, decoded = self.encode(new[k : k + n])
+            self.known.update(zip(new[k : k + n], range(len(self.known), len(self.known) + n), strict=True))
+            self.ids.add(*ids)
+            self.bytes.add(*decoded)
+            k += n
+
+    def encode(self, words: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids and decoded bytes of the words, each as (values, where the words end); a word that is a token itself is that token."""
+        if not self.db:
             self.open()
-        for k in range(0, len(query), QUERY_WORDS):
-            self._merge(query[k : k + QUERY_WORDS])
-
-    def _merge(self, words: list[tuple[str, bytes]]) -> None:
-        sizes = np.array([len(b) for _, b in words])
-        rows = np.frombuffer(b"".join(b for _, b in words), dtype=np.uint8)
-        at = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self._table(
-            "start",
-            pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(rows)) - at).astype(np.int32), "id": self.byte_ids[rows]}),
-        )
+        raw = [word.encode() for word in words]
+        whole = [(w, r) for w, r in enumerate(map(self.ranks.get, raw)) if r is not None]
+        for w, _ in whole:
+            raw[w] = b"\0"
+        flat = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+        for w, r in whole:
+            flat[ends[w]] = r
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        self._table("start", pa.table({"w": np.arange(len(words), dtype=np.int32), "ids": lists}))
         self.db.execute(MERGE)
-        for w, ids, parts in self.db.fetchall():
-            word = words[w][0]
-            self.ids[word] = np.array(ids, dtype="<u4").tobytes()
-            self.decoded[word] = b"".join(parts)
-
-
-def merge_long(raw: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The same merges, leftmost of the least rank first, with a heap over a linked list."""
-    n = len(raw)
-    part: list[bytes | None] = [raw[i : i + 1] for i in range(n)]
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap: list[tuple[int, int, bytes, bytes]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and (j := after[i]) >= 0 and (r := ranks.get(part[i] + part[j])) is not None:
-            heapq.heappush(heap, (r, i, part[i], part[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if part[i] != a or j < 0 or part[j] != b:
-            continue
-        part[i], part[j] = a + b, None
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        offer(before[i])
-        offer(i)
-    return [p for p in part if p is not None]
+        return self.decode()
+
+    def decode(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The ids of the table ``coded`` and their tokens' bytes in order."""
+        found = self.db.sql(DECODE).to_arrow_table()
+        ids, parts = (found[c].combine_chunks() for c in ("ids", "parts"))
+        tokens = parts.values.to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0, *map(len, tokens)])
+        data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        return (ids.values.to_numpy().astype(np.uint32), ids.offsets.to_numpy()[1:]), (data, ends[parts.offsets.to_numpy()[1:]])
+
+
+class _Lists:
+    """Lists of numbers, one after another."""
+
+    def __init__(self, kind: type):
+        self.flat, self.ends = np.zeros(1 << 16, dtype=kind), np.zeros(1 << 16, dtype=np.int64)
+        self.n = 0
+
+    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
+        at = int(self.ends[self.n])
+        if (most := at + len(values)) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:at], np.zeros(most, dtype=self.flat.dtype)])
+        if self.n + len(ends) >= len(self.ends):
+            self.ends = np.concatenate([self.ends[: self.n + 1], np.zeros(self.n + len(ends), dtype=np.int64)])
+        self.flat[at:most] = values
+        self.ends[self.n + 1 : self.n + 1 + len(ends)] = at + ends
+        self.n += len(ends)
+
+    def take(self, which: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """The lists ``which``, joined between each two of ``bounds``."""
+        first = self.ends[which]
+        stops = np.cumsum(self.ends[which + 1] - first)
+        at = np.arange(stops[-1] if len(stops) else 0)
+        if len(stops):
+            sizes = np.diff(stops, prepend=0)
+            at += np.repeat(first - (stops - sizes), sizes)
+        cuts = np.concatenate([[0], stops])[bounds]
+        flat = self.flat[at]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -184,8 +211,9 @@ def encode_decode(
     ``path`` is a rank file that every executor can read, ``pattern`` the expression whose matches are encoded
     separately. Each word that a worker has not met lately becomes token-position rows; a recursive query joins
     neighbours with the table of mergeable pairs and contracts the leftmost pair of least rank of every word, until no
-    word has one; ordered aggregation of the tokens' bytes decodes. Words over LONG_BYTES bytes are merged in the same
-    order with a heap. Word results are cached per worker with a bound on memory only; results don't depend on it.
+    word has one; a second query decodes the ids found by ordered aggregation of the tokens' bytes. Word results are
+    cached per worker with a bound on memory only; results don't depend on it. A word of n bytes takes up to n steps over
+    at most n rows; one of hundreds of thousands of random letters takes many minutes.
 
     A null text counts as empty: no tokens, hashes of empty strings. Ids may be null or repeat; other columns are not
     read. An empty table gives no rows.
@@ -206,21 +234,23 @@ def encode_decode(
             k = 0
             while k < len(part):
                 # as many texts as make a chunk, one at least; only these become Python strings
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[k : k + 4096]), CHUNK_CHARS, side="right")))
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[k : k + 8192]), CHUNK_CHARS, side="right")))
                 texts = part.slice(k, n)
                 words = [tool.split.findall(t or "") for t in texts["text"].to_pylist()]
                 tool.learn(set().union(*words))
-                ids = [b"".join(map(tool.ids.__getitem__, w)) for w in words]
-                decoded = [b"".join(map(tool.decoded.__getitem__, w)) for w in words]
+                bounds = np.cumsum([0, *map(len, words)])
+                which = np.fromiter(map(tool.known.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=bounds[-1])
+                del words
+                ids, decoded = tool.ids.take(which, bounds), tool.bytes.take(which, bounds)
                 out = [
                     texts["id"],
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
                 ]
                 if with_ids:
-                    out.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
-                    out.append(pa.array([x.decode("utf-8", "replace") for x in decoded], pa.string()))
+                    out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                    out.append(pa.array([x.tobytes().decode("utf-8", "replace") for x in decoded], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, schema=wanted)
                 k += n
         tool.close()

@@ -41,7 +41,10 @@ def test_components(spark):
 
 def test_bpe_equals_tiktoken(spark):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    rng = random.Random(10)
     texts = ["", None, "Hello world, it's 12 o'clock!", "aaaa" * 300, "Grüße  \n\n\tça va ña 漢字 🙂", "x" * 70_000, "<|endoftext|>", " \r\n "]
+    texts += ["".join(rng.choice("etaonis") for _ in range(n)) for n in (200, 201, 1500)] + ["漢字日本語" * 300]
+    texts += [" ".join("".join(rng.choice("aabxéZ") for _ in range(rng.randrange(1, 40))) for _ in range(300))] * 2
     got = {r["doc_id"]: r for r in bpe.encode_decode(docs(spark, texts), RANKS, public_tokenizers.PATTERN, with_ids=True).collect()}
     for k, t in enumerate(texts):
         want = enc.encode_ordinary(t or "")
@@ -49,6 +52,19 @@ def test_bpe_equals_tiktoken(spark):
         assert got[k]["ids_sha256"] == hashlib.sha256(np.array(want, dtype="<u4").tobytes()).hexdigest()
         assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode_decode(spark.createDataFrame([], DOC), RANKS, public_tokenizers.PATTERN).count() == 0
+    odd = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1)], "doc_id long, text string, n_tokens int")
+    assert [(r["doc_id"], r["n_tokens"]) for r in bpe.encode_decode(odd, RANKS, public_tokenizers.PATTERN).collect()] == [(None, 2)] * 2
+
+
+def test_bpe_decodes_ids(spark):
+    tool = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    (ids, ends), (decoded, stops) = tool.encode(["hello there", "x", "zqzqzq"])
+    assert decoded.tobytes() == b"hello therexzqzqzq" and list(stops) == [11, 12, 18]
+    tool.db.execute("UPDATE coded SET ids = [ids[1] + 1] || ids[2:] WHERE w = 0")
+    assert tool.decode()[1][0].tobytes() != decoded.tobytes()
+    # every token alone, and again as the pieces of a text
+    some = [t.decode() for t in list(tool.ranks)[::97] if t.decode("utf-8", "ignore").encode() == t]
+    assert list(tool.encode(some)[0][0]) == [tool.ranks[t.encode()] for t in some]
 
 
 def test_bpe_query_over_its_table(spark):
