@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count, islice
 
 import duckdb
 import numpy as np
@@ -20,8 +22,10 @@ from agewise.llm.common import need
 
 #: Words that each Python worker keeps with their ids and bytes; with more, it begins anew.
 CACHE_WORDS = 400_000
-#: Characters of text worked on at once, and bytes of words for one recursive query.
-CHUNK_CHARS = 3_000_000
+#: Characters of texts whose words are looked up together, and words put together at once.
+CHUNK_CHARS = 4_000_000
+TAKE_WORDS = 100_000
+#: Bytes of words for one recursive query.
 QUERY_BYTES = 400_000
 
 #: A word is a list of ids, unnested to token positions at every step. All its pairs of the least rank are contracted, from
@@ -79,20 +83,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _merges(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right, merged) of all pairs of tokens that make a token, and the tokens that one of lower rank begins or ends
+    with: a pair with one of these may rank before it."""
+    pairs, unsettled = array("i"), set()
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k], -1), ranks.get(token[k:], -1)
+            if a >= 0 and b >= 0:
+                pairs.extend((a, b, rank))
+            unsettled.update(x for x in (a, b) if x > rank)
+    return np.array(pairs, dtype=np.int32).reshape(-1, 3).T, np.array(sorted(unsettled), dtype=np.int32)
+
+
 class Encoder:
     """Ids and decoded bytes of words, by one in-memory DuckDB."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern)
-        self.known: dict[str, int] = {}
-        self.ids, self.bytes = _Lists(np.uint32), _Lists(np.uint8)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        halves = [(t[:k], t[k:], r) for t, r in self.ranks.items() for k in range(1, len(t))]
-        pairs = [(self.ranks[a], self.ranks[b], r) for a, b, r in halves if a in self.ranks and b in self.ranks]
-        self.pairs = np.array(pairs, dtype=np.int32).T
-        # tokens that a token of lower rank begins or ends with: a pair with one of them may rank before it
-        self.unsettled = np.unique([self.ranks[p] for a, b, r in halves for p in (a, b) if self.ranks.get(p, -1) > r]).astype(np.int32)
+        self.pairs, self.unsettled = _merges(self.ranks)
+        self.forget()
         self.db: duckdb.DuckDBPyConnection | None = None
 
     def open(self) -> None:
@@ -115,17 +127,23 @@ class Encoder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM __rows")
         self.db.unregister("__rows")
 
-    def learn(self, words: set[str]) -> None:
-        """Add words that the worker has not met lately to its cache."""
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.ids, self.bytes, new = {}, _Lists(np.uint32), _Lists(np.uint8), list(words)
+    def forget(self) -> None:
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids, self.bytes = _Lists(np.uint32), _Lists(np.uint8)
+
+    def places(self, text: str) -> np.ndarray:
+        """The places of a text's words among the known ones; new words get the next places and are to be learnt."""
+        words = self.split.findall(text)
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def learn(self) -> None:
+        """Encode and decode the words that were met since."""
+        new = list(islice(self.known, self.ids.n, None))
         ends = np.cumsum([len(word.encode()) for word in new])
         k = 0
         while k < len(new):
             n = max(1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + QUERY_BYTES, side="right")) - k)
             ids, decoded = self.encode(new[k : k + n])
-            self.known.update(zip(new[k : k + n], range(len(self.known), len(self.known) + n), strict=True))
             self.ids.add(*ids)
             self.bytes.add(*decoded)
             k += n
@@ -234,24 +252,28 @@ def encode_decode(
             k = 0
             while k < len(part):
                 # as many texts as make a chunk, one at least; only these become Python strings
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[k : k + 8192]), CHUNK_CHARS, side="right")))
-                texts = part.slice(k, n)
-                words = [tool.split.findall(t or "") for t in texts["text"].to_pylist()]
-                tool.learn(set().union(*words))
-                bounds = np.cumsum([0, *map(len, words)])
-                which = np.fromiter(map(tool.known.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=bounds[-1])
-                del words
-                ids, decoded = tool.ids.take(which, bounds), tool.bytes.take(which, bounds)
-                out = [
-                    texts["id"],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-                ]
-                if with_ids:
-                    out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
-                    out.append(pa.array([x.tobytes().decode("utf-8", "replace") for x in decoded], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, schema=wanted)
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[k : k + 16384]), CHUNK_CHARS, side="right")))
+                if len(tool.known) > CACHE_WORDS:
+                    tool.forget()
+                places = [tool.places(t or "") for t in part["text"].slice(k, n).to_pylist()]
+                tool.learn()
+                ends = np.cumsum([len(w) for w in places])
+                i = 0
+                while i < n:
+                    j = i + max(1, int(np.searchsorted(ends[i:] - (ends[i - 1] if i else 0), TAKE_WORDS, side="right")))
+                    which, bounds = np.concatenate(places[i:j]), np.cumsum([0, *map(len, places[i:j])])
+                    ids, decoded = tool.ids.take(which, bounds), tool.bytes.take(which, bounds)
+                    out = [
+                        part["id"].slice(k + i, j - i),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in ids], pa.string()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                    ]
+                    if with_ids:
+                        out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                        out.append(pa.array([x.tobytes().decode("utf-8", "replace") for x in decoded], pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, schema=wanted)
+                    i = j
                 k += n
         tool.close()
 
