@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from agewise.llm.common import need
 
 #: Words that each Python worker keeps with their ids and bytes; with more, it begins anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Characters of texts whose words are looked up together, and words put together at once.
 CHUNK_CHARS = 4_000_000
 TAKE_WORDS = 100_000

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,16 +82,29 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(gap / self.softness, -500, 500)))
 
 
+#: Texts that a Python worker holds as strings at a time.
+CHUNK_ROWS = 200
+
+
+def statistics_of(texts: pa.Array) -> np.ndarray:
+    """Rows of statistics of an array of texts, of which only some at a time become strings; null texts count as empty."""
+    rows = [statistics(t or "") for k in range(0, len(texts), CHUNK_ROWS) for t in texts.slice(k, CHUNK_ROWS).to_pylist()]
+    return np.stack(rows) if rows else np.zeros((0, len(FEATURES)))
+
+
 def _with_statistics(docs: DataFrame, text_col: str, keep: dict[str, Column]) -> DataFrame:
     """``keep`` and the array x of each row; null texts count as empty."""
-    rows = docs.select(*(c.alias(k) for k, c in keep.items()), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = docs.select(*(c.alias(k) for k, c in keep.items()), F.col(text_col).alias("__text"))
+    names = list(keep)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield part.drop(columns="__text").assign(x=[statistics(t) for t in part["__text"]])
+            x = statistics_of(part["__text"])
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(part[k] for k in names), lists], [*names, "x"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInPandas(work, f"{kept}, x array<double>")
+    return rows.mapInArrow(work, f"{kept}, x array<double>")
 
 
 def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,12 +158,12 @@ def score_quality(docs: DataFrame, model: Discriminant, *, text_col: str = "text
     rows = docs.select(*own)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{score_col}` double"])
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x = [statistics(t or "") for t in part[text_col]]
-            yield part.assign(**{score_col: model.score(np.stack(x)) if x else np.zeros(0)})
+            score = model.score(statistics_of(part[text_col]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*own, score_col])
 
-    return rows.mapInPandas(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def score_statistics(stats: DataFrame, model: Discriminant, *, id_col: str = "doc_id", score_col: str = "score") -> DataFrame:
