@@ -3,55 +3,113 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lanczos coefficients (g = 7, n = 9); fixed values.
-_LANCZOS = (
-    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
-    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
-)
+def _log_choose(n: float, k: float) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
-def lgamma(x: Column) -> Column:
-    """Log of the gamma function for x >= 1."""
-    z = x - 1
-    total = F.lit(_LANCZOS[0])
-    for k, c in enumerate(_LANCZOS[1:], 1):
-        total = total + F.lit(c) / (z + k)
-    t = z + 7.5
-    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(total)
+def _masses(n: int, a: int, b: int, start: int, step: int) -> Iterator[float]:
+    """Hypergeometric masses from ``start`` on in one direction, each from the last by their ratio."""
+    low, high = max(0, a + b - n), min(a, b)
+    k = start
+    if not low <= k <= high:
+        return
+    m = math.exp(_log_choose(a, k) + _log_choose(n - a, b - k) - _log_choose(n, b))
+    while True:
+        yield m
+        if step > 0:
+            if k >= high:
+                return
+            m *= (a - k) * (b - k) / ((k + 1) * (n - a - b + k + 1))
+        else:
+            if k <= low:
+                return
+            m *= k * (n - a - b + k) / ((a - k + 1) * (b - k + 1))
+        k += step
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
+def _upper_tail(k: int, a: int, b: int, n: int) -> float:
+    """P(X >= k): the shorter way of the tail, ended where its masses no longer count."""
+    mode = (a + 1) * (b + 1) // (n + 2)
+    low = max(0, a + b - n)
+    if k <= low:
+        return 1.0
+    if k > min(a, b):
+        return 0.0
+    total = 0.0
+    if k > mode:
+        for m in _masses(n, a, b, k, 1):
+            total += m
+            if m < total * 1e-17:
+                break
+        return min(1.0, total)
+    for m in _masses(n, a, b, k - 1, -1):
+        total += m
+        if m < total * 1e-17:
+            break
+    return max(0.0, 1.0 - total)
+
+
+def _two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Both ends' masses of at most the observed one; walks outward from it and from the mode's other side, so the steps are of the
+    distribution's spread, not of its support."""
+    n, rows, cols = a + b + c + d, a + b, a + c
+    if not n:
+        return 1.0
+    seen = math.exp(_log_choose(rows, a) + _log_choose(n - rows, cols - a) - _log_choose(n, cols))
+    most = seen * (1 + 1e-7)
+    mode = (rows + 1) * (cols + 1) // (n + 2)
+    side = 1 if a >= mode else -1
+    total = 0.0
+    for m in _masses(n, rows, cols, a, side):
+        if m <= most:
+            total += m
+        if m < total * 1e-17:
+            break
+    for m in _masses(n, rows, cols, a - side, -side):
+        if m <= most:
+            total += m
+            if m < total * 1e-17:
+                break
+    return min(1.0, total)
+
+
+def _counts(f: Callable[..., float]) -> Callable[..., pd.Series]:
+    def each(*columns: pd.Series) -> pd.Series:
+        found: dict[tuple, float | None] = {}
+        for x in set(zip(*columns, strict=True)):
+            found[x] = None if any(pd.isna(v) for v in x) else f(*map(int, x))
+        return pd.Series([found[x] for x in zip(*columns, strict=True)], dtype="float64")
+
+    return each
 
 
 def hypergeom_tail(overlap: Column, size_a: Column, size_b: Column, universe: Column) -> Column:
-    """P(X >= overlap) of the overlap of sets of the given sizes: a sum over the possible overlaps."""
+    """P(X >= overlap) of the overlap of sets of the given sizes, for aggregated rows; null where a count is."""
+
+    def tails(k: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        return _counts(_upper_tail)(k, a, b, n)
 
-    def mass(k: Column) -> Column:
-        return F.exp(log_choose(size_a, k) + log_choose(universe - size_a, size_b - k) - log_choose(universe, size_b))
+    return F.pandas_udf(tails, "double")(*(x.cast("double") for x in (overlap, size_a, size_b, universe)))
 
-    low = F.greatest(overlap, size_a + size_b - universe, F.lit(0)).cast("long")
-    high = F.least(size_a, size_b).cast("long")
-    ks = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), F.aggregate(F.transform(ks, lambda k: mass(k.cast("double"))), F.lit(0.0), lambda a, x: a + x))
+
+def fisher_exact_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """One-sided p of a 2x2 table: that of as many or more in the first cell."""
+    return hypergeom_tail(a, a + b, a + c, a + b + c + d)
 
 
 def fisher_exact_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Sum of the masses that are at most the observed one (relative tolerance 1e-7)."""
-    n, r, k0 = a + b + c + d, a + b, a + c
+    """Sum of the masses that are at most the observed one (relative tolerance 1e-7), for aggregated rows."""
 
-    def mass(k: Column) -> Column:
-        return F.exp(log_choose(r, k) + log_choose(n - r, k0 - k) - log_choose(n, k0))
+    def tails(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return _counts(_two_sided)(a, b, c, d)
 
-    seen = mass(a.cast("double"))
-    low, high = F.greatest(F.lit(0), r + k0 - n).cast("long"), F.least(r, k0).cast("long")
-    masses = F.transform(F.sequence(low, high), lambda k: mass(k.cast("double")))
-    return F.least(F.lit(1.0), F.aggregate(F.filter(masses, lambda m: m <= seen * (1 + 1e-7)), F.lit(0.0), lambda x, y: x + y))
+    return F.pandas_udf(tails, "double")(*(x.cast("double") for x in (a, b, c, d)))
 
 
 def dominant_odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -74,32 +132,39 @@ def chi2_2x2_yates(a: Column, b: Column, c: Column, d: Column) -> Column:
     return n * off * off / ((a + b) * (c + d) * (a + c) * (b + d))
 
 
+#: Buckets of values for each doubling of their size; there are at most some half a million over all doubles.
+_PER_OCTAVE = 256
+
+
+def _bucket(c: Column) -> Column:
+    """A whole number that never falls as ``c`` grows."""
+    size = F.floor(F.log2(F.abs(c)) * _PER_OCTAVE) + 1100 * _PER_OCTAVE
+    return F.when(c == 0, 0).when(c > 0, size).otherwise(-size)
+
+
+def cumulative_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, t, cum, total, bucket): for each different value, its rows, the rows up to it, and all rows; nulls are left out.
+
+    Equal values are one row from the first shuffle on. Running totals are taken within buckets of values of like size, and
+    over the buckets' totals, which are few at any size of the table."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value)).agg(F.count("*").alias("t")).withColumn("bucket", _bucket(F.col(value).cast("double")))
+    buckets = counts.groupBy("bucket").agg(F.sum("t").alias("s"))
+    order = Window.orderBy("bucket")
+    before = buckets.select("bucket", (F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
+    before = before.crossJoin(F.broadcast(buckets.agg(F.sum("s").alias("total"))))
+    run = F.sum("t").over(Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.join(before, "bucket").select(value, "t", (F.col("before") + run).alias("cum"), "total", "bucket")
+
+
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *keys: str) -> DataFrame:
-    """``q``: adjusted over all rows with a p. ``df`` holds results of tests, one row each: the running minimum is taken over
-    blocks by rank, so no window spans the table. ``keys`` order ties."""
-    ranked = df.where(F.col(p).isNotNull())
-    m = ranked.count()
-    if not m:
-        return df.withColumn(q, F.lit(None).cast("double"))
-    blocks = max(1, m // 50_000)
-    edges = [r for r in ranked.approxQuantile(p, [k / blocks for k in range(1, blocks)], 0.001)] if blocks > 1 else []
-    block = sum((F.when(F.col(p) > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
-    ranked = ranked.withColumn("__b", block)
-    sizes = {r["__b"]: r["count"] for r in ranked.groupBy("__b").count().collect()}
-    before, seen = {}, 0
-    for b in sorted(sizes):
-        before[b], seen = seen, seen + sizes[b]
-    start = F.coalesce(*[F.when(F.col("__b") == b, F.lit(n)) for b, n in before.items()])
-    order = Window.partitionBy("__b").orderBy(p, *keys)
-    ranked = ranked.withColumn("__raw", F.col(p) * m / (F.row_number().over(order) + start))
-    lows = {r["__b"]: r["low"] for r in ranked.groupBy("__b").agg(F.min("__raw").alias("low")).collect()}
-    after, low = {}, float("inf")
-    for b in sorted(lows, reverse=True):
-        after[b], low = low, min(low, lows[b])
-    later = F.coalesce(*[F.when(F.col("__b") == b, F.lit(v)) for b, v in after.items()])
-    rest = Window.partitionBy("__b").orderBy(p, *keys).rowsBetween(0, Window.unboundedFollowing)
-    done = ranked.withColumn(q, F.least(F.lit(1.0), later, F.min("__raw").over(rest))).drop("__b", "__raw")
-    return done.unionByName(df.where(F.col(p).isNull()).withColumn(q, F.lit(None).cast("double")))
+    """``q``: adjusted over all rows with a p, null for the others. Equal p get one q, so no order of ties (``keys``) counts. No job runs
+    while the plan is made."""
+    ranked = cumulative_counts(df.select(p), p).withColumn("raw", F.col(p) * F.col("total") / F.col("cum"))
+    lows = ranked.groupBy("bucket").agg(F.min("raw").alias("low"))
+    later = lows.select("bucket", F.min("low").over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    rest = Window.partitionBy("bucket").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+    done = ranked.withColumn("own", F.min("raw").over(rest)).join(later, "bucket")
+    return df.join(done.select(p, F.least(F.lit(1.0), "own", "later").alias(q)), p, "left").select(*df.columns, q)
 
 
 def _gamma_q(a: float, x: float) -> float:
@@ -136,3 +201,87 @@ def chi2_tail(x: Column, df: Column) -> Column:
         return pd.Series([None if pd.isna(a) or pd.isna(b) else _gamma_q(b / 2, a / 2) for a, b in zip(v, k, strict=True)], dtype="float64")
 
     return F.pandas_udf(tails, "double")(x.cast("double"), df.cast("double"))
+
+
+def _t_tail(t: float, df: float) -> float:
+    """Two-sided tail of Student's t: the regularised incomplete beta by its continued fraction."""
+    if df <= 0 or math.isnan(t):
+        return math.nan
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x or 1e-300) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or 1e-300)
+    h = d
+    for m in range(1, 500):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + k * d) or 1e-300)
+            c = (1 + k / c) or 1e-300
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * h if flip else front * h
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided tail of Student's t, for aggregated rows."""
+
+    def tails(v: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else _t_tail(a, b) for a, b in zip(v, k, strict=True)], dtype="float64")
+
+    return F.pandas_udf(tails, "double")(t.cast("double"), df.cast("double"))
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the normal distribution, for aggregated rows."""
+
+    def tails(v: pd.Series) -> pd.Series:
+        return v.map(lambda a: None if pd.isna(a) else math.erfc(abs(a) / math.sqrt(2))).astype("float64")
+
+    return F.pandas_udf(tails, "double")(z.cast("double"))
+
+
+def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (r, p, n) over the rows that have both."""
+    one = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
+    return one.select("r", t_tail(F.when(F.col("n") > 2, t), F.col("n") - 2).alias("p"), "n")
+
+
+def contingency_table_rows(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Array of the three rows (row, hit, miss, total) of a 2x2 table with its totals."""
+
+    def row(name: str, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(name).alias("row"), x.alias("hit"), y.alias("miss"), (x + y).alias("total"))
+
+    return F.array(row("in", a, b), row("out", c, d), row("total", a + c, b + d))
+
+
+def permutation_test(df: DataFrame, key: str, x: str, y: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
+    """One row (r, n, rounds, as_extreme, p): two-sided, p = (as_extreme + 1) / (rounds + 1). ``key`` tells rows apart.
+
+    Each round shuffles ``y``: the rows ranked by one hash of key and round meet those ranked by another. Rounds are spread over
+    tasks; a round's ranking is one task's, which bounds the table that this test suits: some 10^6 rows a round."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    each = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+
+    def ranked(value: str, salt: int) -> DataFrame:
+        order = Window.partitionBy("round").orderBy(F.xxhash64(F.lit(seed + salt), "round", "k"), "k")
+        return each.select("round", value, F.row_number().over(order).alias("i"))
+
+    drawn = ranked("x", 0).join(ranked("y", 1), ["round", "i"]).groupBy("round").agg(F.corr("x", "y").alias("rr"))
+    seen = rows.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    hits = drawn.crossJoin(F.broadcast(seen)).agg(F.first("r").alias("r"), F.first("n").alias("n"), F.count_if(F.abs("rr") >= F.abs("r") - 1e-12).alias("as_extreme"))
+    return hits.select("r", "n", F.lit(rounds).alias("rounds"), "as_extreme", ((F.col("as_extreme") + 1) / (rounds + 1)).alias("p"))
+
+
+def pairwise_diff_test(sites: DataFrame, keys: Sequence[str], group: str, methylated: str, coverage: str, groups: tuple[str, str]) -> DataFrame:
+    """For each site, pooled shares of two groups, their difference, and the two-sided Fisher p of the pooled counts."""
+    cells = [F.sum(F.when(F.col(group) == g, F.col(c))).alias(f"{n}{i}") for i, g in enumerate(groups) for n, c in (("m", methylated), ("c", coverage))]
+    t = sites.where(F.col(group).isin(*groups)).groupBy(*keys).agg(*cells).dropna(subset=["c0", "c1"])
+    m0, m1, c0, c1 = (F.col(c) for c in ("m0", "m1", "c0", "c1"))
+    p = fisher_exact_two_sided(m0, c0 - m0, m1, c1 - m1)
+    return t.select(*keys, (m0 / c0).alias("share_a"), (m1 / c1).alias("share_b"), (m0 / c0 - m1 / c1).alias("meth_diff"), p.alias("p_value"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agewise.functions import stats
+
 
 def filter_cohort(df: DataFrame, age: str, low: float, high: float, **members: Sequence) -> DataFrame:
     """Ages from low to high; columns among the given values, compared as strings; an empty list doesn't filter."""
@@ -61,17 +63,10 @@ def genotype_boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H with tie correction over groups of two rows or more. Ranks come from counts of equal values; the running total over
-    these is taken within ranges of values, so that no window spans the table."""
+    """H with tie correction over groups of two rows or more. Ranks come from running counts of equal values, so no window spans
+    the table."""
     big = df.where(F.col(value).isNotNull()).join(df.groupBy(group).agg(F.count(value).alias("__n")).where(F.col("__n") >= 2).select(group), group)
-    ties = big.groupBy(value).agg(F.count("*").alias("t"))
-    edges = sorted(set(big.approxQuantile(value, [k / 16 for k in range(1, 16)], 0.01)))
-    part = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0))
-    ties = ties.withColumn("__p", part)
-    totals = ties.groupBy("__p").agg(F.sum("t").alias("s"))
-    before = totals.alias("x").join(totals.alias("y"), F.col("y.__p") < F.col("x.__p"), "left").groupBy("x.__p").agg(F.coalesce(F.sum("y.s"), F.lit(0)).alias("before"))
-    run = F.sum("t").over(Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = ties.join(before, "__p").select(value, "t", (F.col("before") + run - (F.col("t") - 1) / 2).alias("rank"))
+    ranks = stats.cumulative_counts(big, value).select(value, "t", (F.col("cum") - (F.col("t") - 1) / 2).alias("rank"))
     sums = big.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
     whole = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("k"))
     tied = ranks.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))

@@ -52,12 +52,27 @@ def missing_profile(matrix: DataFrame, n: int = 12, feature: str = "cpg", value:
 
 
 def align_features(matrix: DataFrame, model: DataFrame, sample: str = "sample_id", feature: str = "cpg", value: str = "beta", default: float = 0.5) -> DataFrame:
-    """The model's features of every sample (columns coef and fill of ``model``): the value, else the fill, else the default.
+    """The model's features of every sample: coef and fill of ``model``, x (the value, else the fill, else the default) and imputed.
 
-    The model's rows number a few hundred thousand at most; samples are crossed with them in the plan's broadcast of that side."""
-    samples = matrix.select(sample).distinct()
-    return samples.crossJoin(model.select(feature, "coef", "fill")).join(matrix, [sample, feature], "left").withColumn(
-        "x", F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(None)), F.col("fill"), F.lit(default))
+    Every sample's values are met by an equi join with the model. What a sample lacks comes from the model's list of features less
+    the sample's own, one array a sample, so samples and features are never crossed."""
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    have = matrix.select(sample, feature, x.alias("__x")).join(model.select(feature, "coef", "fill"), feature)
+    held = have.select(sample, feature, "coef", "fill", F.coalesce("__x", "fill", F.lit(default)).alias("x"), F.col("__x").isNull().alias("imputed"))
+    names = model.agg(F.collect_list(feature).alias("__names"))
+    own = matrix.select(sample).distinct().join(have.groupBy(sample).agg(F.collect_set(feature).alias("__own")), sample, "left")
+    lacking = own.crossJoin(F.broadcast(names)).select(sample, F.explode(F.array_except("__names", F.coalesce("__own", F.array()))).alias(feature))
+    filled = lacking.join(model.select(feature, "coef", "fill"), feature).select(
+        sample, feature, "coef", "fill", F.coalesce("fill", F.lit(default)).alias("x"), F.lit(True).alias("imputed")
+    )
+    return held.unionByName(filled)
+
+
+def dmr_summary(sites: DataFrame, region: list[str], pos: str, diff: str, p: str) -> DataFrame:
+    """Sites, ends, width, mean difference and least p of each region."""
+    return sites.groupBy(*region).agg(
+        F.count("*").alias("n_cpg"), F.min(pos).alias("start"), F.max(pos).alias("end"), (F.max(pos) - F.min(pos) + 1).alias("width"),
+        F.avg(diff).alias("mean_meth_diff"), F.min(p).alias("p_value"),
     )
 
 

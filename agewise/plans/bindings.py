@@ -102,16 +102,17 @@ def percent_change(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- risk and eQTL ---------------------------------------------------------------------------------------------------
 
-EQTL = """(SELECT l_partkey AS rsid, n_name AS tissue, l_returnflag AS gene_symbol, l_discount AS nes, l_extendedprice / 1e6 AS p_value, l_orderkey, l_linenumber
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 2 = 0)"""
+TISSUES = [f"NATION_{k}" for k in range(0, 25, 2)]
+TISSUE_SQL = ", ".join(f"'{n}'" for n in TISSUES)
+EQTL = f"""(SELECT l_partkey AS rsid, n_name AS tissue, l_returnflag AS gene_symbol, l_discount AS nes, l_extendedprice / 1e6 AS p_value, l_orderkey, l_linenumber
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ({TISSUE_SQL}))"""
 
 
 def _eqtls(spark: SparkSession, d: str) -> DataFrame:
     li, s, n = t(spark, d, "lineitem"), t(spark, d, "supplier"), t(spark, d, "nation")
-    names = [r["n_name"] for r in n.where(F.col("n_nationkey") % 2 == 0).select("n_name").limit(100).collect()]
     long = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     long = long.select(F.col("l_partkey").alias("rsid"), F.col("n_name").alias("tissue"), F.col("l_returnflag").alias("gene_symbol"), F.col("l_discount").alias("nes"), (F.col("l_extendedprice") / 1e6).alias("p_value"), "l_orderkey", "l_linenumber")
-    return eqtl.filter_target_tissues(long, names)
+    return eqtl.filter_target_tissues(long, TISSUES)
 
 
 SUMMARY = f"""(SELECT rsid, count(*) AS gtex_n_eqtls, arg_min(tissue, k) AS gtex_best_tissue, arg_min(gene_symbol, k) AS gtex_best_gene, arg_min(nes, k) AS gtex_best_slope,
@@ -173,14 +174,14 @@ def sample_risk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT p_partkey, p_brand AS probe, g AS gene_symbol FROM (SELECT p_partkey, upper(string_split(p_name, ' ')[1]) AS gene FROM part WHERE p_partkey % 50 = 0) v
-JOIN (SELECT DISTINCT p_brand, upper(trim(unnest(string_split(p_name, ' ')))) AS g FROM part WHERE p_partkey % 10 = 1) p ON g = gene WHERE g <> ''
+SELECT p_type, p_brand AS probe, g AS gene_symbol FROM (SELECT DISTINCT p_type, upper(string_split(p_name, ' ')[1]) AS gene FROM part) v
+JOIN (SELECT DISTINCT p_brand, upper(trim(unnest(string_split(p_name, ' ')))) AS g FROM part) p ON g = gene WHERE g <> ''
 """)
 def link_variant_probes(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "part")
-    v = p.where(F.col("p_partkey") % 50 == 0).select("p_partkey", F.upper(F.split("p_name", " ")[0]).alias("gene_symbol"))
-    probes = p.where(F.col("p_partkey") % 10 == 1).select(F.col("p_brand").alias("IlmnID"), F.translate(F.upper("p_name"), " ", ";").alias("UCSC_RefGene_Name"))
-    return eqtl.link_variant_probes(v, probes).select("p_partkey", F.col("IlmnID").alias("probe"), "gene_symbol")
+    v = p.select("p_type", F.upper(F.split("p_name", " ")[0]).alias("gene_symbol")).distinct()
+    probes = p.select(F.col("p_brand").alias("IlmnID"), F.translate(F.upper("p_name"), " ", ";").alias("UCSC_RefGene_Name"))
+    return eqtl.link_variant_probes(v, probes).select("p_type", F.col("IlmnID").alias("probe"), "gene_symbol")
 
 
 # ---- association and frequencies --------------------------------------------------------------------------------------
@@ -237,19 +238,19 @@ def allele_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 AF = """(SELECT a.k, x, y, abs(x - y) AS abs_diff, coalesce(abs(x - y) >= 0.03, false) AS large_diff FROM
-  (SELECT l_partkey AS k, round(avg(l_discount), 9) AS x FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) a LEFT JOIN (SELECT l_partkey AS k, round(avg(l_discount), 9) AS y FROM lineitem WHERE l_orderkey % 2 = 1 AND l_partkey % 9 <> 0 GROUP BY 1) b ON a.k = b.k)"""
+  (SELECT l_partkey AS k, round(avg(l_discount), 9) AS x FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) a LEFT JOIN (SELECT l_partkey AS k, round(avg(l_discount), 9) AS y FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1) b ON a.k = b.k)"""
 
 
 def _af(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem")
     a = li.where(F.col("l_orderkey") % 2 == 0).groupBy(F.col("l_partkey").alias("k")).agg(F.round(F.avg("l_discount"), 9).alias("x"))
-    b = li.where((F.col("l_orderkey") % 2 == 1) & (F.col("l_partkey") % 9 != 0)).groupBy(F.col("l_partkey").alias("k")).agg(F.round(F.avg("l_discount"), 9).alias("y"))
+    b = li.where(F.col("l_orderkey") % 2 == 1).groupBy(F.col("l_partkey").alias("k")).agg(F.round(F.avg("l_discount"), 9).alias("y"))
     return assoc.compare_af(a, b, "k", "x", "y", 0.03)
 
 
-@query(f"SELECT k, round(x, 6) AS x, round(y, 6) AS y, round(abs_diff, 6) AS abs_diff FROM {AF}")
+@query(f"SELECT k, x, y, round(abs_diff, 9) AS abs_diff FROM {AF}")
 def compare_af(spark: SparkSession, d: str) -> DataFrame:
-    return _af(spark, d).select("k", r6("x"), r6("y"), r6("abs_diff"))
+    return _af(spark, d).select("k", "x", "y", F.round("abs_diff", 9).alias("abs_diff"))
 
 
 @query(f"""SELECT count(*) AS total, count(y) AS both_present, count(*) FILTER (WHERE x IS NULL) AS missing_a, count(*) FILTER (WHERE y IS NULL) AS missing_b,
@@ -269,7 +270,7 @@ def top_discordant(spark: SparkSession, d: str) -> DataFrame:
 # ---- sets ---------------------------------------------------------------------------------------------------------------
 
 @query("""
-WITH u AS (SELECT DISTINCT p_partkey AS gene FROM part WHERE p_partkey % 7 <> 0), a AS (SELECT DISTINCT p_brand AS set_name, p_partkey AS gene FROM part JOIN u ON gene = p_partkey),
+WITH u AS (SELECT DISTINCT p_partkey AS gene FROM part WHERE p_size > 5), a AS (SELECT DISTINCT p_brand AS set_name, p_partkey AS gene FROM part JOIN u ON gene = p_partkey),
 b AS (SELECT DISTINCT cast(p_size % 4 AS VARCHAR) AS target, p_partkey AS gene FROM part JOIN u ON gene = p_partkey),
 g AS (SELECT set_name, target, x.a, y.b, (SELECT count(*) FROM u) AS n, (SELECT count(*) FROM a JOIN b USING (gene) WHERE a.set_name = x.set_name AND b.target = y.target) AS k
       FROM (SELECT set_name, count(*) AS a FROM a GROUP BY 1) x, (SELECT target, count(*) AS b FROM b GROUP BY 1) y),
@@ -282,7 +283,7 @@ SELECT set_name, target, k, a, b, n, round(a * b / n, 6) AS expected, round(k /
 def enrichment_table(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "part")
     sets, targets = p.select(F.col("p_brand").alias("set_name"), F.col("p_partkey").alias("gene")), p.select((F.col("p_size") % 4).cast("string").alias("target"), F.col("p_partkey").alias("gene"))
-    out = enrich.enrichment_table(sets, targets, p.where(F.col("p_partkey") % 7 != 0).select(F.col("p_partkey").alias("gene")))
+    out = enrich.enrichment_table(sets, targets, p.where(F.col("p_size") > 5).select(F.col("p_partkey").alias("gene")))
     return out.select("set_name", "target", "k", "a", "b", "n", r6("expected"), r6("fold"), r6("p_value"), r6("q_value"))
 
 
@@ -409,18 +410,19 @@ def chi2_2x2_yates(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- quality, graph, regions, text ----------------------------------------------------------------------------------------------
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS c FROM orders WHERE o_orderkey % 13 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'Z' ELSE o_orderstatus END AS s, o_custkey AS c FROM orders WHERE o_orderkey % 19 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS c FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'Z' ELSE o_orderstatus END AS s, o_custkey AS c FROM orders WHERE o_totalprice < 400000)
  SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'mismatch' END AS kind, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 's' END AS "column",
  CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN a.s END AS "left", CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN b.s END AS "right" FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s""")
 def reconcile_tables(spark: SparkSession, d: str) -> DataFrame:
-    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))
-    other = o.where(F.col("k") % 19 != 0).withColumn("s", F.when(F.col("k") % 17 == 0, "Z").otherwise(F.col("s")))
-    return quality.reconcile_tables(o.where(F.col("k") % 13 != 0), other, "k", ["s", "c"])
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"), "o_totalprice")
+    other = o.where(F.col("o_totalprice") < 400000).withColumn("s", F.when(F.col("k") % 17 == 0, "Z").otherwise(F.col("s")))
+    return quality.reconcile_tables(o.where(F.col("s") != "P"), other, "k", ["s", "c"])
 
 
-@query("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def missing_keys(spark: SparkSession, d: str) -> DataFrame:
-    return quality.missing_keys(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey")
+    urgent = t(spark, d, "orders").where(F.col("o_orderpriority").startswith("1"))
+    return quality.missing_keys(t(spark, d, "customer"), urgent, "c_custkey", "o_custkey")
 
 
 @query("""WITH m AS (SELECT 'raw_rows' AS metric, count(*) AS computed FROM part UNION ALL SELECT 'distinct_pairs', count(DISTINCT (p_brand, p_type)) FROM part UNION ALL SELECT 'canonical_pairs', count(DISTINCT (p_brand, p_size)) FILTER (WHERE p_size % 3 <> 0) FROM part)
@@ -446,10 +448,10 @@ def group_to_pathway(spark: SparkSession, d: str) -> DataFrame:
     return quality.genes_by_group(t(spark, d, "part"), "p_type", "p_brand", "p_size")
 
 
-@query("""SELECT c_custkey, coalesce(a.v, b.v) AS v, CASE WHEN a.v IS NOT NULL THEN 'recent' WHEN b.v IS NOT NULL THEN 'all' ELSE 'none' END AS method FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS v FROM orders GROUP BY 1) b ON b.o_custkey = c_custkey""")
+@query("""SELECT c_custkey, coalesce(a.v, b.v) AS v, CASE WHEN a.v IS NOT NULL THEN 'recent' WHEN b.v IS NOT NULL THEN 'all' ELSE 'none' END AS method FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS v FROM orders GROUP BY 1) b ON b.o_custkey = c_custkey""")
 def lookup_cascade(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders")
-    one, two = (x.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("v")) for x in (o.where(F.col("o_orderkey") % 5 == 0), o))
+    one, two = (x.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("v")) for x in (o.where(F.col("o_orderstatus") == "F"), o))
     return quality.lookup_cascade(t(spark, d, "customer").select("c_custkey"), [("recent", one, "c_custkey"), ("all", two, "c_custkey")], "v")
 
 
@@ -460,11 +462,12 @@ def position_in_span(spark: SparkSession, d: str) -> DataFrame:
     return quality.position_in_span(p, spans, "p_brand", "p_size", "e", "s").select("p_partkey", "in_span")
 
 
-@query("""SELECT a.l_orderkey AS region, b.l_orderkey AS gene FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey AS s, l_partkey + 3 AS e FROM lineitem WHERE l_orderkey % 10 = 0) a JOIN (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey AS s, l_partkey + 9 AS e FROM lineitem WHERE l_orderkey % 10 = 5) b ON a.l_suppkey = b.l_suppkey AND a.s <= b.e AND b.s <= a.e""")
+@query("""SELECT a.l_orderkey AS region, a.l_linenumber, b.gene FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey AS s, l_partkey + 3 AS e FROM lineitem) a JOIN (SELECT l_suppkey, l_returnflag AS gene, min(l_partkey) AS s, min(l_partkey) + 250 AS e FROM lineitem GROUP BY 1, 2) b ON a.l_suppkey = b.l_suppkey AND a.s <= b.e AND b.s <= a.e""")
 def annotate_intervals(spark: SparkSession, d: str) -> DataFrame:
-    li = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("chrom"), "l_orderkey", F.col("l_partkey").alias("start"))
-    a, b = (li.where(F.col("l_orderkey") % 10 == k).withColumn("end", F.col("start") + w) for k, w in ((0, 3), (5, 9)))
-    return quality.annotate_intervals(a, b, bin_size=100).select(F.col("l_orderkey").alias("region"), F.col("gene_l_orderkey").alias("gene"))
+    li = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("chrom"), "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_partkey").alias("start"))
+    spans = li.groupBy("chrom", F.col("l_returnflag").alias("name")).agg(F.min("start").alias("start")).withColumn("end", F.col("start") + 250)
+    found = quality.annotate_intervals(li.withColumn("end", F.col("start") + 3), spans, bin_size=250)
+    return found.select(F.col("l_orderkey").alias("region"), "l_linenumber", F.col("gene_name").alias("gene"))
 
 
 @query("""WITH s AS (SELECT user_id, floor(epoch(ts) / 60)::BIGINT AS pos, value / 1000 AS p FROM events WHERE value / 1000 < 0.05), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 600 THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
@@ -474,11 +477,11 @@ def call_regions(spark: SparkSession, d: str) -> DataFrame:
     return quality.call_regions(e, "user_id", "pos", "p", 600, 0.05, 2).select("user_id", "start", "end", "n_sites", r6("min_p"))
 
 
-EDGES = """(SELECT least(x, y) AS a, greatest(x, y) AS b, max(CASE WHEN s > 1 THEN s / 1000 ELSE s END) AS weight FROM (SELECT c_nationkey AS x, s_nationkey AS y, count(*) / 10.0 AS s FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 40 = 0 GROUP BY 1, 2) WHERE s >= 0.15 AND x <> y GROUP BY 1, 2)"""
+EDGES = """(SELECT least(x, y) AS a, greatest(x, y) AS b, max(CASE WHEN s > 1 THEN s / 1000 ELSE s END) AS weight FROM (SELECT c_nationkey AS x, s_nationkey AS y, count(*) / 10.0 AS s FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) WHERE s >= 0.15 AND x <> y GROUP BY 1, 2)"""
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    o = t(spark, d, "orders").where(F.col("o_orderkey") % 40 == 0)
+    o = t(spark, d, "orders")
     j = o.join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     raw = j.groupBy(F.col("c_nationkey").alias("x"), F.col("s_nationkey").alias("y")).agg((F.count("*") / 10.0).alias("s"))
     return quality.merge_undirected_edges(raw, "x", "y", "s")
