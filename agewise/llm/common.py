@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Python's ``bytes.split()`` splits at exactly these, as do the contracts' words ``[^\x20\x09-\x0D]+``.
@@ -57,26 +57,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     shared folder, so a lost executor costs one round at most. Loops and null ends are ignored.
     """
     a, b = F.col("a"), F.col("b")
-    now = materialise(
-        edges.dropna(subset=[src, dst])
-        .select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
-        .where(a != b)
-        .distinct(),
-        "edges",
-    )
-    mark = None
+
+    def written(pairs: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        """The pairs, and their number and the sum of their hashes, taken while they are written."""
+        seen = Observation()
+        out = materialise(pairs.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64(a, b).cast("decimal(38,0)")).alias("h")), name)
+        return out, (seen.get["n"], seen.get["h"])
+
+    start = edges.dropna(subset=[src, dst]).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
+    now, mark = written(start.where(a != b).distinct(), "edges")
     for _ in range(max_rounds):
-        found = now.agg(F.count("*"), F.sum(F.xxhash64(a, b).cast("decimal(38,0)"))).first()
-        if not found[0] or tuple(found) == mark:
+        if not mark[0]:
             break
-        mark = tuple(found)
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b"))
         large = large.unionByName(low.where(a != F.col("m")).select("a", F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        before = mark
+        now, mark = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        if mark == before:
+            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(b.alias("node"), b.alias("component")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +24,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 TABLES = ((0, 2), (1, 0), (2, 1))
 #: Shingles are counted in so many buckets (as a power of two), to order them by their rarity.
 SKETCH_BITS = 20
+#: Bits of a text's odd sketch.
+ODD_BITS = 1024
 #: Rows whose texts a Python worker holds as strings at a time.
 CHUNK_ROWS = 200
 
@@ -262,31 +264,40 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def lead(text: str, levels: np.ndarray, words: int, similarity: float) -> tuple[int, float, np.ndarray]:
-    """Number of a text's different shingles, their mean level, and its leading ones by level and hash: as many as needed so
-    that any text at ``similarity`` or more has one of them among its own leading ones."""
+def lead(text: str, levels: np.ndarray, words: int, similarity: float) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Number of a text's different shingles, their mean level, its leading ones by level and hash: as many as needed so
+    that any text at ``similarity`` or more has one of them among its own leading ones; and the odd sketch of all."""
     h = shingle_hashes(text, words)
     own = levels[_bucket(h)]
     first = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
-    return len(h), float(own.mean()), h[np.lexsort((h, own))[:first]].view(np.int64)
+    return len(h), float(own.mean()), h[np.lexsort((h, own))[:first]].view(np.int64), odd_sketch(h)
+
+
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """ODD_BITS bits as signed 64-bit numbers: each is set if an odd number of the hashes fall on it. Of two sets, no more bits
+    differ than elements do."""
+    odd = np.bincount((hashes & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
 def _leads(texts: list[str], levels: np.ndarray, words: int, similarity: float) -> dict[str, pa.Array]:
-    n, common, leads = zip(*(lead(t, levels, words, similarity) for t in texts), strict=True)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in leads])])
-    values = pa.array(np.concatenate(leads))
-    return {"n": pa.array(n, pa.int32()), "common": pa.array(common, pa.float64()), "lead": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+    n, common, *lists = zip(*(lead(t, levels, words, similarity) for t in texts), strict=True)
+    arrays = []
+    for each in lists:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each))))
+    return {"n": pa.array(n, pa.int32()), "common": pa.array(common, pa.float64()), "lead": arrays[0], "sketch": arrays[1]}
 
 
 def shingle_ranks(texts: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, n, common, lead) for ``texts`` (node, text), see :func:`lead`."""
+    """(node, n, common, lead, sketch) for ``texts`` (node, text), see :func:`lead`."""
     levels = texts.sparkSession.sparkContext.broadcast(shingle_levels(texts, words=words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches):
             yield pa.RecordBatch.from_pydict({"node": part["node"], **_leads(part["text"].to_pylist(), levels.value, words, similarity)})
 
-    return materialise(texts.select("node", "text").mapInArrow(work, "node long, n int, common double, lead array<long>"), "ranks")
+    return materialise(texts.select("node", "text").mapInArrow(work, "node long, n int, common double, lead array<long>, sketch array<long>"), "ranks")
 
 
 def _led(ranks: DataFrame) -> DataFrame:
@@ -317,12 +328,18 @@ def _central(opened: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def _rare(opened: DataFrame, similarity: float) -> DataFrame:
-    small, large = (opened.select("sh", *(F.col(c).alias(c + x) for c in ("node", "c", "n", "i"))) for x in "ab")
+def _rare(opened: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    parts = range(ODD_BITS // 64)
+    wide = opened.join(sketches.select("node", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in parts]), "node")
+    held = ("node", "c", "n", "i", *(f"s{k}" for k in parts))
+    small, large = (wide.select("sh", *(F.col(c).alias(c + x) for c in held)) for x in "ab")
     small = small.where(F.col("ia") + _least_common(F.col("na"), F.col("na"), similarity) <= F.col("na"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb")))
+    # sets of m and n elements at a similarity t differ in (1 - t) / (1 + t) * (m + n) at most, and their sketches in no more bits
+    differ = reduce(Column.__add__, [bits_apart(f"s{k}a", f"s{k}b") for k in parts])
+    alike = differ <= F.floor((1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6)
     left, right = small.alias("l"), large.alias("r")
-    on = (F.col("l.sh") == F.col("r.sh")) & (F.col("ca") != F.col("cb")) & ordered & _within_reach("na", "ia", "nb", "ib", similarity)
+    on = (F.col("l.sh") == F.col("r.sh")) & (F.col("ca") != F.col("cb")) & ordered & _within_reach("na", "ia", "nb", "ib", similarity) & alike
     meet = left.join(right, on)
     return meet.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
 
@@ -338,9 +355,11 @@ def rare_shingle_pairs(ranks: DataFrame, *, similarity: float = 0.8) -> DataFram
 
     A set of m shingles and one of n at a Jaccard similarity t share s = t / (1 + t) * (m + n) or more, so in any common
     order of shingles the first they share is among the first m - s + 1 of one and the first n - s + 1 of the other. The
-    order is the rarest first, by counts of buckets: edits of a copy are rare, so copies that differ too much meet little.
+    order is the rarest first, by counts of buckets: edits of a copy are rare, so copies that differ too much meet little. Pairs whose
+    odd sketches differ in more bits than such sets in elements don't come out of the join: with up to some ODD_BITS shingles a
+    text, few pairs under ``similarity`` are left, however many such texts there are.
     """
-    return _rare(_open(_led(ranks)), similarity)
+    return _rare(_open(_led(ranks)), ranks, similarity)
 
 
 def near_copy_classes(
@@ -380,8 +399,8 @@ def near_copy_classes(
             fps = pa.array([word_prints(t, prints) for t in held], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict({c: part[c] for c in ("id", "t1", "t2")} | {"fps": fps} | _leads(held, levels.value, words, similarity))
 
-    hashed = rows.mapInArrow(work, "id long, t1 long, t2 long, fps array<long>, n int, common double, lead array<long>")
-    nodes = hashed.groupBy("t1", "t2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fps", "n", "common", "lead")))
+    hashed = rows.mapInArrow(work, "id long, t1 long, t2 long, fps array<long>, n int, common double, lead array<long>, sketch array<long>")
+    nodes = hashed.groupBy("t1", "t2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fps", "n", "common", "lead", "sketch")))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
     turned = F.col("key") + F.shiftleft(F.col("s").cast("long"), 44)
@@ -402,9 +421,13 @@ def near_copy_classes(
             ok = [resemblance(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(part["ta"], part["tb"], strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    def key_of(c: str) -> list[Column]:
+        return [F.coalesce(F.col(c), F.lit(0)).alias("k0"), F.col(c).isNull().alias("k1")]
+
     def texts_of(used: DataFrame) -> DataFrame:
-        keys = nodes.join(used, "node").select("node", "id", "t1", "t2")
-        texts = rows.join(keys.withColumnRenamed("id", "least"), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least")))
+        # the id is part of the key, so that copies of one text go to different tasks and all but one meet nothing
+        keys = nodes.join(used, "node").select("node", "t1", "t2", *key_of("id"))
+        texts = rows.select("t1", "t2", "text", *key_of("id")).join(keys, ["t1", "t2", "k0", "k1"])
         return texts.groupBy("node").agg(F.first("text").alias("text"))
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -422,19 +445,21 @@ def near_copy_classes(
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return materialise(both.select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "alike")
 
-    def classes_by(links: DataFrame) -> DataFrame:
-        parts = connected_components(links, "a", "b")
-        return materialise(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "named")
+    def joined(named: DataFrame, links: DataFrame) -> DataFrame:
+        """``named`` (node, c) with the classes that the links join made one; only pairs of classes are walked."""
+        ends = links.join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(named.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        parts = connected_components(ends.where(F.col("ca") != F.col("cb")), "ca", "cb").withColumnRenamed("node", "c")
+        return materialise(named.join(parts, "c", "left").select("node", F.coalesce("component", "c").alias("c")), "named")
 
-    links = verified(likely(first))
+    named = joined(nodes.select("node", F.col("node").alias("c")), verified(likely(first)))
     led = _led(nodes.select("node", "n", "common", "lead"))
     met = led.groupBy("sh").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     shared = materialise(led.join(met, "sh", "left_semi"), "shared")
-    central = materialise(_central(_open(shared.join(classes_by(links), "node")), similarity), "central")
-    links = links.unionByName(verified(central))
-    rare = _rare(_open(shared.join(classes_by(links), "node")), similarity)
-    more = verified(rare.join(central, ["a", "b"], "left_anti"))
-    named = nodes.select("node", "t1", "t2", "id").join(classes_by(links.unionByName(more)), "node")
+    central = materialise(_central(_open(shared.join(named, "node")), similarity), "central")
+    named = joined(named, verified(central))
+    rare = _rare(_open(shared.join(named, "node")), nodes, similarity)
+    named = joined(named, verified(rare.join(central, ["a", "b"], "left_anti")))
+    named = nodes.select("node", "t1", "t2", "id").join(named, "node")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("t1"), F.col("t2")))
     kept = named.groupBy("c").agg(best.alias("k")).select("c", F.col("k.id").alias("keep_id"), F.col("k.t1").alias("keep1"), F.col("k.t2").alias("keep2"))
     return named.join(kept, "c").select("t1", "t2", "id", "keep_id", "keep1", "keep2")
