@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agewise.llm.common import WHITE, ascii_lower, need, shared_dir
+from agewise.llm.common import WHITE, ascii_lower, materialise, need, shared_dir
+
+#: The columns of a line's hash.
+KEY = ["k1", "k2"]
 
 
 def line_key(line: Column) -> Column:
@@ -17,56 +22,68 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Sorted runs of (k1, k2, n): a line hash and the number of documents that hold it, in levels.
 
-    Every added batch merge-anti-joins the runs of frequent keys, so that settled keys are never counted
-    again, and becomes a run of level 0. When a level has ``fanout`` runs, they are merged into one run of
-    the next level, and keys that have reached ``min_docs`` move to the frequent run. Runs are Parquet tables
-    in the shared folder, sorted by key within hash partitions; the driver holds only their paths.
+    Runs are tables in the shared folder, bucketed and sorted by key into as many buckets as the session has shuffle
+    partitions, so that runs meet each other and a new batch by merge joins without any exchange. A new batch
+    merge-anti-joins the settled runs, whose keys are never counted again, and meets the runs of all levels: keys that
+    thereby reach ``min_docs`` are settled at once, and the others become a run of level 0. When a level has ``fanout`` runs,
+    they are merged into one run of the next level, without the keys settled since. The driver holds only their relations.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[str]] = []
-        self.frequent: list[str] = []
+        self.levels: list[list[DataFrame]] = []
+        self.settled: list[DataFrame] = []
         self.root = shared_dir(spark, "runs")
-        self.made = 0
-
-    def _write(self, run: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.root}/run-{self.made}"
-        run.sortWithinPartitions("k1", "k2").write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "k1 long, k2 long, n long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write(self, run: DataFrame) -> DataFrame:
+        name = f"agewise_run_{uuid.uuid4().hex}"
+        write = run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}")
+        write.saveAsTable(name)
+        held = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files and the relation stay
+        return held
+
+    def _merged(self, runs: Sequence[DataFrame]) -> DataFrame:
+        """All keys of the runs with their totals; two runs at a time, as only these merge without an exchange."""
+        out = runs[0]
+        for k, run in enumerate(runs[1:]):
+            both = (self._write(out) if k else out).join(run.withColumnRenamed("n", "m"), KEY, "full_outer")
+            out = both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
+
+    def _unsettled(self, run: DataFrame, settled: Sequence[DataFrame]) -> DataFrame:
+        for known in settled:
+            run = run.join(known, KEY, "left_anti")
+        return run
 
     def add(self, keys: DataFrame) -> None:
         """``keys``: one row (k1, k2) for each document and distinct key in it."""
-        run = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-        if self.frequent:
-            run = run.join(self._read(self.frequent), ["k1", "k2"], "left_anti")
+        batch = self._unsettled(keys.groupBy(*KEY).agg(F.count("*").alias("n")), self.settled)
+        total = F.col("n")
+        for k, run in enumerate(r for level in self.levels for r in level):
+            batch = batch.join(run.withColumnRenamed("n", f"m{k}"), KEY, "left")
+            total = total + F.coalesce(f"m{k}", F.lit(0))
+        batch = self._write(batch.select(*KEY, "n", total.alias("total")))
+        enough = F.col("total") >= self.min_docs
+        self.settled.append(self._write(batch.where(enough).select(*KEY)))
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._write(run))
+        self.levels[0].append(batch.where(~enough).select(*KEY, "n"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
     def _compact(self, level: int) -> None:
-        merged = self._read(self.levels[level]).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
         if level + 1 == len(self.levels):
             self.levels.append([])
-        whole = self._read([self._write(merged)])
-        self.levels[level + 1].append(self._write(whole.where(F.col("n") < self.min_docs)))
-        self.frequent.append(self._write(whole.where(F.col("n") >= self.min_docs)))
+        self.levels[level + 1].append(self._write(self._unsettled(self._merged(self.levels[level]), self.settled)))
         self.levels[level] = []
 
     def frequent_keys(self) -> DataFrame:
-        """(k1, k2) of every key in at least ``min_docs`` documents so far."""
-        rest = self._read([p for level in self.levels for p in level]).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
-        late = rest.where(F.col("n") >= self.min_docs).select("k1", "k2")
-        return late.unionByName(self._read(self.frequent).select("k1", "k2")).distinct()
+        """(k1, k2) of every key in at least ``min_docs`` documents so far: a key is settled with the batch that brings its total there."""
+        return reduce(DataFrame.unionByName, self.settled) if self.settled else self.spark.createDataFrame([], "k1 long, k2 long")
 
 
 def dedup_lines(
@@ -76,7 +93,7 @@ def dedup_lines(
     min_docs: int = 10,
     min_chars: int = 1,
     batches: int = 4,
-    fanout: int = 3,
+    fanout: int = 2,
 ) -> DataFrame:
     """``docs`` with the columns n_lines, n_dropped and kept_text after its own.
 
@@ -128,6 +145,8 @@ def dedup_lines(
         .groupBy("d1", "d2")
         .agg(F.collect_set("pos").alias("lost"))
     )
+    # written first, so that the join reads two plain shuffles and a text with very many copies can be split among tasks
+    lost = materialise(lost, "lost")
     joined = docs.withColumns({"d1": row[0], "d2": row[1]}).join(lost, ["d1", "d2"], "left")
     n = F.size(lines).cast("long")
     kept = F.transform(
