@@ -106,17 +106,17 @@ def train(
     labels: list[int],
     *,
     size: int = 1,
-    share: float = 0.02,
+    least: int = 3,
     base_windows: int = 100,
-    odds: tuple[float, ...] = (2.5, 1.5),
+    odds: float = 1.5,
     toxic_share: float | None = None,
 ) -> Compressors:
     """Dictionaries from labelled texts, near copies counted once, and weights calibrated on the same texts.
 
     Both dictionaries begin with the ``base_windows`` commonest windows of ordinary text of each length, so that windows
-    without toxic content compress alike. The toxic one goes on with the beginnings of windows that at least ``share`` of
-    the toxic texts hold and whose log odds against ordinary text, less two standard errors, reach the first of ``odds``
-    that any of them reaches; one that a longer one replaces almost everywhere is left out. ``toxic_share`` moves the
+    without toxic content compress alike. The toxic one goes on with the beginnings of windows that ``least`` toxic texts
+    hold and whose log odds against ordinary text, less two standard errors, reach ``odds``, so words of a rare language
+    count as those of a common one do; one that a longer one replaces almost everywhere is left out. ``toxic_share`` moves the
     intercept from the sample's share of toxic texts to the corpus'.
     """
     seen: set[tuple[int, int]] = set()
@@ -129,15 +129,14 @@ def train(
             seen |= marks
             found[y].append(held)
     toxic = Counter(b for held in found[1] for b in {b for w in held for b in beginnings(w)})
-    toxic = {b: k for b, k in toxic.items() if k >= max(3, share * len(found[1]))}
+    toxic = {b: k for b, k in toxic.items() if k >= least}
     plain = Counter(b for held in found[0] for b in {b for w in held for b in beginnings(w)} & toxic.keys())
     lift = {}
     for b, k in toxic.items():
         ratio = math.log((k + 0.5) / (len(found[1]) + 1)) - math.log((plain[b] + 0.5) / (len(found[0]) + 1))
         lift[b] = ratio - 2 * math.sqrt(1 / (k + 0.5) + 1 / (plain[b] + 0.5))
-    bar = next((o for o in odds if any(v >= o for v in lift.values())), math.inf)
     replaced = {b[:-1] for b, k in toxic.items() if k >= 0.8 * toxic.get(b[:-1], math.inf)}
-    own = sorted((b for b, v in lift.items() if v >= bar and b not in replaced), key=lambda b: (lift[b], b))
+    own = sorted((b for b, v in lift.items() if v >= odds and b not in replaced), key=lambda b: (lift[b], b))
     plain_windows = Counter(w for held in found[0] for w in held)
     lengths: dict[int, int] = Counter()
     common = []
