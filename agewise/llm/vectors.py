@@ -288,15 +288,15 @@ def near_vectors(
         here = ids[at] == far
         home = np.flatnonzero(group["home"].to_numpy())
         inside = group["home"].to_numpy()
-        # links to vectors at home here are counted; those to guests are given, as their own shard finds them too
-        inner, guests, pairs = [], [], []
+        # links to vectors at home here are counted, by whichever end's search met them; those to guests are given, as the pairs
+        # of different shards are united in both directions later
+        guests, met = [], np.zeros((len(ids), len(ids)), dtype=bool)
         for k, found in search(x, src[here], at[here], home, threshold, beam, slack):
-            own = found[inside[found]]
-            inner.append(int(n[own].sum()))
+            met[home[k], found[inside[found]]] = True
             guests.append(ids[found[~inside[found]]])
-            pairs.append(np.stack([np.full(len(own), home[k]), own], axis=1))
-        low = smallest_reachable(len(ids), np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"rep": ids[home], "inner": inner, "low": ids[low[home]] if len(home) else [], "guests": guests})
+        met |= met.T
+        low = smallest_reachable(len(ids), np.argwhere(met))
+        return pd.DataFrame({"rep": ids[home], "inner": met[home] @ n, "low": ids[low[home]] if len(home) else [], "guests": guests})
 
     def block_links(group: pd.DataFrame) -> pd.DataFrame:
         asked, rows = group[group["query"]], group[~group["query"]]
