@@ -57,7 +57,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = shared_dir(spark, "warc")
     index = write_bundles(table(spark, sf_dir, "pages"), directory)
     if index.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
     found = read_bundles(spark, directory, index)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
@@ -79,7 +79,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = known_labels(spark, sf_dir, "toxic")
     share = labels.agg(F.avg("label")).first()[0]
     chosen = [labels.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(SAMPLE) for y in (0, 1)]
-    # at most SAMPLE rows of each label, so the texts need no shuffle
+    # at most SAMPLE rows (id, label) of each label, so the texts need no shuffle
     sample = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     model = fit_toxicity(materialise(sample, "sample"), per_class=SAMPLE, toxic_share=share)
     return _scored(score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), model), 0.3)
@@ -113,6 +113,43 @@ QUERIES = (
 )
 
 ORACLES = {
+    "op3_url_filter": r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html, lower_ascii AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM (SELECT *, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM pages)
+),
+tags AS (
+  SELECT url, host, path, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme,
+         regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS a,
+         regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>;]+)', 1) AS b
+  FROM u WHERE host <> '' AND (html ILIKE '%canonical%' OR html ILIKE '%http-equiv%')
+),
+ends AS (
+  SELECT url AS src, CASE WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN scheme || ':' || x WHEN starts_with(x, '/') THEN scheme || '://' || host || x
+         ELSE scheme || '://' || host || regexp_replace(path, '[^/]*$', '') || x END AS dst
+  FROM (SELECT *, unnest([a, b]) AS x FROM tags) WHERE x <> ''
+),
+every AS (SELECT url FROM u UNION SELECT dst FROM ends),
+named AS (
+  SELECT url, host, path, CASE WHEN host <> '' THEN host || path || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)', 1) END AS node
+  FROM (SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM every)
+),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM named
+),
+judged AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM ruled),
+link AS (SELECT DISTINCT s.node AS a, d.node AS b FROM ends JOIN named s ON s.url = src JOIN named d ON d.url = dst WHERE s.node IS NOT NULL AND d.node IS NOT NULL AND s.node <> d.node),
+pairs AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, a FROM pairs UNION SELECT r.a, l.b FROM reach r JOIN pairs l ON l.a = r.b),
+class AS (SELECT r.a AS node, bool_or(coalesce(j.verdict = 'allow', false)) AS ok, bool_or(coalesce(j.verdict = 'block', false)) AS bad FROM reach r JOIN judged j ON j.node = r.b GROUP BY 1)
+SELECT u.page_id, u.host, u.path, j.rule, coalesce(j.verdict, CASE WHEN c.bad AND NOT c.ok THEN 'block' END, 'allow') AS verdict
+FROM u LEFT JOIN judged j ON j.url IS NOT DISTINCT FROM u.url LEFT JOIN class c ON c.node = j.node
+""",
     "op4_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
@@ -123,8 +160,8 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM f
 """,
     "op6_vectors": """
-WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS raw FROM embeddings),
+good AS (SELECT vec_id, label, list_transform(raw, lambda x: coalesce(x, 0)) AS e FROM v WHERE label IS NOT NULL AND raw IS NOT NULL AND len(list_filter(raw, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(raw, lambda x: x * x)) > 0),
 link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, link.b FROM reach r JOIN link ON link.a = r.b)
 SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,

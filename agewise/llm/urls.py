@@ -85,7 +85,7 @@ def filter_urls(
     decides. A page without one takes the decision of its equivalence class: the connected component over
     canonical links and refresh redirects found in ``html_col`` and over ``redirects`` (columns src, dst: two
     addresses). A class holds block if one of its addresses is blocked and none is explicitly allowed; a class
-    with an explicit allow, and a page alone, is allowed. ``component`` is a 64-bit hash naming the class, null
+    with an explicit allow, and a page alone, is allowed. ``component`` is a 128-bit hash naming the class, null
     for addresses without links.
 
     Null addresses and addresses without ``://``: host and path empty, no rule, allow. Repeated rows give
@@ -97,8 +97,8 @@ def filter_urls(
         F.col(id_col),
         host_of(url).alias("host"),
         path_of(url).alias("path"),
-        F.xxhash64(node_of(url)).alias("__node"),
-        node_of(url).isNotNull().alias("__has"),
+        # addresses without a host are no nodes: keys that meet nothing spread them
+        F.coalesce(F.md5(node_of(url)), F.concat(F.lit("-"), F.xxhash64(id_col, url).cast("string"))).alias("__node"),
     ).withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
     links = []
     if html_col:
@@ -113,7 +113,7 @@ def filter_urls(
 
     def end(c: str) -> Column:
         rule = rule_of(host_of(F.col(c)), path_of(F.col(c)), rules)
-        return F.struct(F.xxhash64(node_of(F.col(c))).alias("node"), rule["verdict"].alias("verdict"))
+        return F.struct(F.md5(node_of(F.col(c))).alias("node"), rule["verdict"].alias("verdict"))
 
     pair = pair.where(node_of(F.col("src")).isNotNull() & node_of(F.col("dst")).isNotNull())
     pair = materialise(pair.select(end("src").alias("s"), end("dst").alias("d")), "links")
@@ -126,7 +126,7 @@ def filter_urls(
     known = parts.join(classes, "component").select(
         F.col("node").alias("__node"), "component", F.when(blocked, "block").otherwise("allow").alias("__class")
     )
-    return rows.join(known.withColumn("__has", F.lit(True)), ["__node", "__has"], "left").select(
+    return rows.join(known, "__node", "left").select(
         id_col,
         "host",
         "path",

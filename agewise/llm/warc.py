@@ -165,7 +165,9 @@ def write_bundles(
     # payloads travel compressed, dealt by digest at every size
     rows = rows.mapInPandas(pack, packed)
     firsts = mark_revisits(pages, id_col=id_col, html_col=html_col, min_bytes=min_bytes)
-    rows = rows.join(firsts.hint("shuffle_hash"), "__digest", "left").withColumn(
+    # small payloads meet nothing, so they are spread by their page; a large one that very many pages share can be split
+    met = F.when(F.col("size") >= min_bytes, F.col("__digest")).otherwise(F.concat(F.lit("-"), F.coalesce("page_id", F.lit(0)).cast("string")))
+    rows = rows.withColumn("__met", met).join(firsts.withColumnRenamed("__digest", "__met").hint("shuffle_hash"), "__met", "left").withColumn(
         "revisit", F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col("page_id"))
     )
 
