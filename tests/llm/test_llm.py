@@ -208,6 +208,33 @@ def test_lines(spark):
     assert lines.dedup_lines(table.limit(0)).count() == 0
 
 
+def test_line_runs(spark):
+    rng = random.Random(11)
+    for fanout in (2, 3):
+        runs, counts = lines.LineRuns(spark, 10, fanout), {}
+        for _ in range(6):
+            keys = [(min(int(rng.paretovariate(1.1)), 300), 7) for _ in range(200)]
+            for k in keys:
+                counts[k] = counts.get(k, 0) + 1
+            runs.add(spark.createDataFrame(keys, "k1 long, k2 long"))
+        assert sorted(tuple(r) for r in runs.frequent_keys().collect()) == sorted(k for k, n in counts.items() if n >= 10)
+    assert not spark.catalog.listTables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    batch = spark.createDataFrame([(1, 7)], "k1 long, k2 long").groupBy("k1", "k2").count()
+    plan = runs._unsettled(batch, runs.settled)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the only exchange is that of the batch's own counts
+    assert plan.count("SortMergeJoin") == len(runs.settled) and plan.count("Exchange") == 1
+
+
+def test_lines_at_the_threshold_and_very_long(spark):
+    long = "\n".join(f"line {k}" for k in range(60_000))
+    texts = ["nine\nten"] * 9 + ["ten\n" + long, "\tTEN \x0b", long]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert (got[0]["kept_text"], got[0]["n_dropped"]) == ("nine", 1)
+    assert (got[9]["kept_text"], got[9]["n_lines"], got[10]["kept_text"], got[11]["n_dropped"]) == (long, 60_001, "", 0)
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="%s">'
     pages = [
