@@ -9,7 +9,9 @@ from agewise.functions import stats
 
 
 def join_audit(left: DataFrame, right: DataFrame, left_id: str, right_id: str, max_drop_rate: float = 0.01) -> DataFrame:
-    """One row: distinct ids of either side, matched, orphans, drop rate over their union, whether that halts the join."""
+    """One row: distinct ids of either side, matched, orphans, drop rate over their union, whether that halts the join, and whether the
+    ids' types differ."""
+    mismatch = left.schema[left_id].dataType != right.schema[right_id].dataType
     a = left.select(F.trim(F.col(left_id).cast("string")).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("l", F.lit(1))
     b = right.select(F.trim(F.col(right_id).cast("string")).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("r", F.lit(1))
     both = a.join(b, "id", "full_outer")
@@ -20,7 +22,7 @@ def join_audit(left: DataFrame, right: DataFrame, left_id: str, right_id: str, m
         F.count("*").alias("n"),
     )
     rate = F.when(F.col("n") == 0, 1.0).otherwise((F.col("left_only") + F.col("right_only")) / F.col("n"))
-    return counts.withColumn("drop_rate", rate).withColumn("halted", F.col("drop_rate") > max_drop_rate).drop("n")
+    return counts.withColumn("drop_rate", rate).withColumn("halted", F.col("drop_rate") > max_drop_rate).withColumn("type_mismatch", F.lit(mismatch)).drop("n")
 
 
 def audited_inner_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, max_drop_rate: float = 0.01) -> DataFrame:
@@ -34,9 +36,11 @@ def audited_inner_join(left: DataFrame, right: DataFrame, left_id: str, right_id
 
 
 def genotype_contingency(df: DataFrame, key: str, dosage: str, outcome: str) -> DataFrame:
-    """Counts n<outcome><dosage> for each key; fractions are cut off, pairs without dosage 0 to 2 or outcome 0/1 dropped."""
-    g, y = F.col(dosage).cast("int"), F.col(outcome).cast("int")
-    valid = df.where(F.col(dosage).between(0, 2) & y.isin(0, 1))
+    """Counts n<outcome><dosage> for each key; fractions of a dosage are cut off, pairs without a dosage of
+    0 to 2 or an outcome of exactly 0 or 1 are dropped, text that is no number among them."""
+    g, y = F.col(dosage).try_cast("double"), F.col(outcome).try_cast("double")
+    valid = df.where(g.between(0, 2) & y.isin(0, 1))
+    g = F.floor(g)
     return valid.groupBy(key).agg(*[F.count_if((y == o) & (g == d)).alias(f"n{o}{d}") for o in (0, 1) for d in (0, 1, 2)])
 
 
@@ -57,6 +61,15 @@ def association_scan(df: DataFrame, key: str, dosage: str, outcome: str) -> Data
     )
 
 
+def allele_frequency(df: DataFrame, key: str, genotype: str) -> DataFrame:
+    """(AF, N_called) over wholly called diploid genotypes such as 0/1 or 1|2; every allele but the reference counts."""
+    alleles = F.split(F.split(F.col(genotype), ":")[0], r"[/|]")
+    called = (F.size(alleles) == 2) & (F.size(F.filter(alleles, lambda a: (a == ".") | (a == ""))) == 0)
+    alts = F.when(called, F.size(F.filter(alleles, lambda a: a != "0")))
+    n = F.count(alts)
+    return df.groupBy(key).agg(F.when(n > 0, F.sum(alts) / (2 * n)).alias("AF"), n.alias("N_called"))
+
+
 def allele_counts(df: DataFrame, key: str, dosage: str) -> DataFrame:
     """AC, AN and AF over called diploids, and how many were called."""
     called = F.col(dosage).isNotNull()

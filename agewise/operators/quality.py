@@ -62,11 +62,12 @@ def genes_by_group(df: DataFrame, group: str, gene: str, item: str) -> DataFrame
 
 
 def lookup_cascade(keys: DataFrame, tables: Sequence[tuple[str, DataFrame, str]], value: str) -> DataFrame:
-    """The first value that the tables (method, table, key column) give, and the method; null and none without any."""
+    """The first value that the tables (method, table, key column) give, and the method; null and none without any. Of a table's
+    values for a key the least counts."""
     out = keys
     found, method = [], F.lit("none")
     for k, (name, table, key) in enumerate(tables):
-        one = table.select(key, F.col(value).alias(f"__v{k}")).where(F.col(value).isNotNull()).dropDuplicates([key])
+        one = table.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias(f"__v{k}"))
         out = out.join(one, key, "left")
         found.append((name, F.col(f"__v{k}")))
     for name, v in reversed(found):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from agewise.functions import normalize as nz
 from agewise.operators.eqtl import dedup_keep_first, filter_target_tissues, join_eqtl_summary, join_scores, link_variant_probes, summarize_eqtls
+from agewise.operators.quality import merge_undirected_edges
 
 
 # ---- filters ---------------------------------------------------------------------------------------------------------
@@ -397,3 +398,23 @@ def af_missing_report(df: DataFrame, key: str, af: str) -> DataFrame:
 def hub_spoke_edges(counts: DataFrame, pathway: str, gene: str, n: str) -> DataFrame:
     """(src, dst, weight) from each pathway to its genes; genes without one hang on Unassigned."""
     return counts.select(F.coalesce(pathway, F.lit("Unassigned")).alias("src"), F.col(gene).alias("dst"), F.col(n).alias("weight"))
+
+
+# Names under which the columns of an edge and a node table come.
+EDGE_NAMES = {"gene_a": "a", "source": "a", "node1": "a", "gene_b": "b", "target": "b", "node2": "b", "string_score": "score", "combined_score": "score", "weight": "score"}
+NODE_NAMES = {"Gene_Symbol": "gene", "Gene": "gene", "node": "gene", "Functional_Cluster": "functional_cluster", "Longevity_Class": "longevity_class"}
+
+
+def build_gene_network(edges: DataFrame, nodes: DataFrame, floor: float = 0.15, cluster: str = "Unassigned", cls: str = "context-dependent") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): genes with their usual symbols, cluster and class (defaults where they lack), and the merged undirected edges
+    at the floor or above between known genes. Columns may come under the names above."""
+    named = nz.rename_aliases(nodes, NODE_NAMES)
+    lacking = {c: F.lit(None).cast("string") for c in ("functional_cluster", "longevity_class") if c not in named.columns}
+    named = named.withColumns(lacking).withColumn("gene", nz.map_legacy_symbol(F.col("gene"))["symbol"])
+    known = named.where(F.col("gene") != "").groupBy("gene").agg(
+        F.coalesce(F.min(F.when(F.trim("functional_cluster") != "", F.trim("functional_cluster"))), F.lit(cluster)).alias("functional_cluster"),
+        F.coalesce(F.min(F.when(F.trim("longevity_class") != "", F.trim("longevity_class"))), F.lit(cls)).alias("longevity_class"),
+    )
+    drawn = nz.rename_aliases(edges, EDGE_NAMES)
+    drawn = drawn.withColumns({c: nz.map_legacy_symbol(F.col(c))["symbol"] for c in ("a", "b")}).withColumn("score", F.col("score").cast("string").try_cast("double"))
+    return known, merge_undirected_edges(filter_edges(drawn, "a", "b", "score", known, "gene", floor), "a", "b", "score", floor)

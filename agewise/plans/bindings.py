@@ -150,12 +150,13 @@ def _risks(spark: SparkSession, d: str) -> DataFrame:
         "vep": scores.score_vep_impact(F.col("vep_impact")), "alphagenome": scores.score_alphagenome(v), "alphamissense": scores.score_alphamissense(F.col("am")),
         "gtex": scores.score_gtex_eqtl(F.col("gtex_n_eqtls"), F.col("gtex_best_p_value")), "epigenetic": scores.score_epigenetic(F.col("accel")),
     }
-    return v.select("rsid", "vep_impact", "am", scores.composite_risk(channels).alias("risk"))
+    return v.select("rsid", "vep_impact", "am", *[c.alias(f"{k}_channel") for k, c in channels.items()], scores.composite_risk(channels).alias("risk"))
 
 
-@query(f"SELECT p_partkey AS rsid, round(risk, 6) AS risk FROM {RISK}")
+@query(f"""SELECT p_partkey AS rsid, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0.7 WHEN 2 THEN 0.3 WHEN 3 THEN 0.1 ELSE 0 END::DOUBLE AS vep_channel, round(least(abs(p_retailprice % 100) / 50, 1), 6) AS alphagenome_channel,
+ round(least(p_size / 50.0, 1)::DOUBLE, 6) AS alphamissense_channel, round(least(abs(p_size - 25) / 10.0, 1)::DOUBLE, 6) AS epigenetic_channel, round(risk, 6) AS risk FROM {RISK} r JOIN (SELECT p_partkey AS k, p_retailprice, p_size FROM part) ON k = p_partkey""")
 def composite_risk(spark: SparkSession, d: str) -> DataFrame:
-    return _risks(spark, d).select("rsid", r6("risk"))
+    return _risks(spark, d).select("rsid", *[r6(f"{k}_channel") for k in ("vep", "alphagenome", "alphamissense", "epigenetic")], r6("risk"))
 
 
 @query(f"SELECT p_partkey AS rsid, upper({IMPACT}) AS impact FROM part WHERE p_size / 50.0 > 0.5 OR upper({IMPACT}) IN ('HIGH', 'MODERATE')")
@@ -191,7 +192,7 @@ WITH a AS (SELECT DISTINCT cast(c_custkey AS VARCHAR) AS id FROM customer), b AS
 j AS (SELECT a.id AS l, b.id AS r FROM a FULL JOIN b ON a.id = b.id)
 SELECT count(l) AS left_n, count(r) AS right_n, count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL) AS matched, count(*) FILTER (WHERE r IS NULL) AS left_only,
        count(*) FILTER (WHERE l IS NULL) AS right_only, round(count(*) FILTER (WHERE l IS NULL OR r IS NULL) / count(*), 6) AS drop_rate,
-       count(*) FILTER (WHERE l IS NULL OR r IS NULL) / count(*) > 0.01 AS halted FROM j
+       count(*) FILTER (WHERE l IS NULL OR r IS NULL) / count(*) > 0.01 AS halted, false AS type_mismatch FROM j
 """)
 def join_audit(spark: SparkSession, d: str) -> DataFrame:
     return assoc.join_audit(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey").withColumn("drop_rate", F.round("drop_rate", 6))
@@ -233,10 +234,17 @@ def association_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT rsid, coalesce(sum(g), 0)::BIGINT AS ac, 2 * count(g) AS an, count(g) AS n_called, round(sum(g) / (2.0 * count(g)), 6) AS af FROM {GENO} GROUP BY rsid")
-def allele_frequency(spark: SparkSession, d: str) -> DataFrame:
+def allele_counts(spark: SparkSession, d: str) -> DataFrame:
     return assoc.allele_counts(_geno(spark, d), "rsid", "g").withColumn("af", F.round("af", 6))
 
 
+@query("""SELECT l_partkey, round(sum(alts) / (2.0 * count(alts)), 6) AS "AF", count(alts) AS "N_called" FROM (SELECT l_partkey, CASE l_linenumber % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS alts FROM lineitem) GROUP BY 1""")
+def allele_frequency(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_linenumber") % 5
+    calls = t(spark, d, "lineitem").withColumn("gt", F.when(k == 0, "0/0:9").when(k == 1, "0|1").when(k == 2, "1/2").when(k == 3, "./1").otherwise("1"))
+    return assoc.allele_frequency(calls, "l_partkey", "gt").withColumn("AF", F.round("AF", 6))
+
+
 AF = """(SELECT a.k, x, y, abs(x - y) AS abs_diff, coalesce(abs(x - y) >= 0.03, false) AS large_diff FROM
   (SELECT l_partkey AS k, round(avg(l_discount), 9) AS x FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) a LEFT JOIN (SELECT l_partkey AS k, round(avg(l_discount), 9) AS y FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1) b ON a.k = b.k)"""
 

@@ -113,7 +113,7 @@ def _soft_cells(line: Column) -> Column:
 def scan_geo_sample_rows(spark: SparkSession, path: str) -> DataFrame:
     """(file, field, row, sample_no, value) of the lines of a SOFT series matrix that describe samples; ``row`` tells lines of one
     field apart, in their order. Files are read whole up to the table's beginning."""
-    heads = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "(?i)!series_matrix_table_begin", 2)[0].alias("head"))
+    heads = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "(?i)!series_matrix_table_begin", 2)[0].alias("head"))
     lines = heads.select("file", F.posexplode(F.split("head", r"\r?\n")).alias("row", "line")).where(F.col("line").startswith("!Sample_"))
     cells = lines.select("file", "row", _soft_cells(F.col("line")).alias("c"))
     each = cells.select("file", F.col("c")[0].alias("field"), "row", F.posexplode(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0)))).alias("sample_no", "value"))
@@ -169,7 +169,7 @@ def scan_gtf_protein_coding(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_platform_genes(platforms: DataFrame, column: str = "Gene Symbol") -> DataFrame:
     """(gene): distinct symbols of array platforms; a cell holds several, between /// or commas."""
-    each = platforms.select(F.upper(F.trim(F.explode(F.split(F.col(f"`{column}`"), "///|,")))).alias("gene"))
+    each = platforms.select(F.explode(F.split(F.col(f"`{column}`"), "///|,")).alias("g")).select(F.upper(F.trim("g")).alias("gene"))
     return each.where(~F.col("gene").isin("", "NA")).distinct()
 
 
@@ -303,8 +303,8 @@ def scan_bedmethyl(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_text_documents(spark: SparkSession, path: str, suffixes: Sequence[str] = ("md", "txt")) -> DataFrame:
     """(path, text) of the text files of a tree, white space collapsed."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
-    return read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
+    lines = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(suffixes) + "}")
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
 
 
 def parse_sra_docsum(docs: DataFrame, xml: str = "xml") -> DataFrame:
@@ -312,8 +312,11 @@ def parse_sra_docsum(docs: DataFrame, xml: str = "xml") -> DataFrame:
     doc = F.from_xml(xml, "Id string, Item array<struct<_Name:string,_Type:string,_VALUE:string,Item:array<struct<_Name:string,_VALUE:string>>>>")
     rows = docs.select(doc.alias("d"))
 
+    def one(name: str) -> Column:
+        return F.get(F.filter("d.Item", lambda x: x["_Name"] == name), F.lit(0))["_VALUE"]
+
     def item(*names: str) -> Column:
-        return F.coalesce(*[F.get(F.filter("d.Item", lambda x, n=n: x["_Name"] == n), F.lit(0))["_VALUE"] for n in names])
+        return F.coalesce(*map(one, names))
 
     runs = F.flatten(F.transform(F.filter("d.Item", lambda x: F.lower(x["_Name"]).isin("runs", "run") & (x["_Type"] == "List")), lambda x: x["Item"]))
     title, accession = F.coalesce(item("Title", "title"), F.lit("")), F.coalesce(item("Accession", "accession"), F.lit(""))
