@@ -65,6 +65,14 @@ def variant_key(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
     return F.concat(parts[0], *(x for p in parts[1:] for x in (F.lit(":"), p)))
 
 
+def prepare_variants(df: DataFrame, chrom: str = "chrom", pos: str = "pos", ref: str = "ref", alt: str = "alt", rsid: str = "rsid") -> DataFrame:
+    """Coordinates trimmed and in one form, the first alternative allele, variant_key, and the rs id or null; other columns stay."""
+    c, p = F.col(chrom), F.col(pos).cast("string").try_cast("double").try_cast("long")
+    keyed = df.withColumn("variant_key", variant_key(c, p, F.col(ref), F.col(alt)))
+    cleaned = {chrom: normalize_chrom(c), pos: p, ref: F.upper(F.trim(ref)), alt: first_allele(F.col(alt))}
+    return keyed.withColumns(cleaned | ({rsid: normalize_rsid_strict(F.col(rsid))} if rsid in df.columns else {}))
+
+
 def gnomad_variant_id(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
     return F.concat(normalize_chrom_label(chrom), F.lit("-"), pos.cast("string"), F.lit("-"), F.upper(ref), F.lit("-"), F.upper(alt))
 

@@ -26,22 +26,31 @@ def apply_missing_policy(matrix: DataFrame, policy: str, feature: str = "cpg", v
     raise ValueError(f"no policy {policy}")
 
 
-def validate_matrix(matrix: DataFrame, expected: DataFrame, sample: str = "sample_id", feature: str = "cpg", value: str = "beta", low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """A row for each check: duplicates, missing and extra features, missing cells, values not strictly inside the range."""
+def validate_matrix(matrix: DataFrame, expected: DataFrame, sample: str = "sample_id", feature: str = "cpg", value: str = "beta", low: float = 0.0, high: float = 1.0, samples: DataFrame | None = None, examples: int = 0) -> DataFrame:
+    """(check, n, passed): duplicates, missing and extra features, missing cells, values not strictly inside the range; with ``samples``
+    (their metadata) also samples that only the matrix or only the metadata has. ``examples`` adds the least so many of the keys found."""
     x = F.nanvl(F.col(value).cast("double"), F.lit(None))
-    cells = matrix.groupBy(sample, feature).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n"))
-    held = matrix.select(feature).distinct()
-    want = expected.select(feature).distinct()
-    found = [
-        ("duplicate_cells", cells),
-        ("missing_features", want.join(held, feature, "left_anti").agg(F.count("*").alias("n"))),
-        ("extra_features", held.join(want, feature, "left_anti").agg(F.count("*").alias("n"))),
-        ("missing_cells", matrix.agg(F.count_if(x.isNull()).alias("n"))),
-        ("out_of_range", matrix.agg(F.count_if((x <= low) | (x >= high)).alias("n"))),
-    ]
+    held, want = matrix.select(feature).distinct(), expected.select(feature).distinct()
+    cell = F.concat(F.col(sample).cast("string"), F.lit("/"), F.col(feature).cast("string"))
+    twice = matrix.groupBy(sample, feature).agg((F.count("*") - 1).alias("n")).where(F.col("n") > 0)
+    found = {
+        "duplicate_cells": twice.select(cell.alias("key"), "n"),
+        "missing_features": want.join(held, feature, "left_anti").select(F.col(feature).alias("key")),
+        "extra_features": held.join(want, feature, "left_anti").select(F.col(feature).alias("key")),
+        "missing_cells": matrix.where(x.isNull()).select(cell.alias("key")),
+        "out_of_range": matrix.where((x <= low) | (x >= high)).select(cell.alias("key")),
+    }
+    if samples is not None:
+        own, known = matrix.select(sample).distinct(), samples.select(sample).distinct()
+        found["matrix_only_samples"] = own.join(known, sample, "left_anti").select(F.col(sample).alias("key"))
+        found["metadata_only_samples"] = known.join(own, sample, "left_anti").select(F.col(sample).alias("key"))
     out = None
-    for name, df in found:
-        row = df.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("n"))
+    for name, keys in found.items():
+        n = F.coalesce(F.sum("n"), F.lit(0)) if "n" in keys.columns else F.count("*")
+        row = keys.agg(F.lit(name).alias("check"), n.cast("long").alias("n"))
+        if examples:
+            some = keys.select(F.col("key").cast("string").alias("key")).orderBy("key").limit(examples)
+            row = row.crossJoin(some.agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("examples")))
         out = row if out is None else out.unionByName(row)
     return out.withColumn("passed", F.col("n") == 0)
 

@@ -201,11 +201,11 @@ def split_found_missing(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- roll-ups --------------------------------------------------------------------------------------------------------
 
-@query("SELECT p_partkey AS rsid, round(p_size / 50.0 - x, 6) AS delta, coalesce(abs(p_size / 50.0 - x) >= 0.4000001, false) AS outlier, 'own' AS source FROM part LEFT JOIN (SELECT l_partkey, avg(l_discount) AS x FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey")
+@query("SELECT p_partkey AS rsid, round(p_size / 50.0 - x, 6) + 0.0 AS delta, coalesce(abs(p_size / 50.0 - x) >= 0.4000001, false) AS outlier, 'own' AS source FROM part LEFT JOIN (SELECT l_partkey, avg(l_discount) AS x FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey")
 def af_table(spark: SparkSession, d: str) -> DataFrame:
     other = t(spark, d, "lineitem").where(F.col("l_quantity") > 45).groupBy("l_partkey").agg(F.avg("l_discount").alias("gnomAD_AF"))
     rows = t(spark, d, "part").join(other, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("rsID"), (F.col("p_size") / 50.0).alias("AF_1kg"), "gnomAD_AF")
-    return tables.af_table(rows, 0.4000001, "own").select("rsid", r6("delta"), "outlier", "source")
+    return tables.af_table(rows, 0.4000001, "own").select("rsid", (F.round("delta", 6) + 0.0).alias("delta"), "outlier", "source")
 
 
 @query("SELECT p_brand, count(DISTINCT p_type) AS raw_ids, count(DISTINCT p_size) AS canonical_ids, string_agg(DISTINCT p_size::VARCHAR, ';' ORDER BY p_size::VARCHAR) AS ids FROM part GROUP BY 1")

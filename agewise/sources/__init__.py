@@ -1 +1 @@
-"""Readers and writers."""
+"""Scans of file formats and writers of result tables."""

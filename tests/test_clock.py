@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agewise.functions import annotate as an
 from agewise.functions import normalize as nz
 from agewise.functions import stats
-from agewise.operators import clock, cohort, tables, texts
+from agewise.operators import clock, cohort, methyl, tables, texts
 
 
 def solve(x, y, alpha, ratio, steps=5000):
@@ -163,3 +163,20 @@ def test_gene_network(spark):
     known, drawn = tables.build_gene_network(edges, nodes)
     assert {tuple(r) for r in known.collect()} == {("APOE", "lipid", "context-dependent"), ("HLA-DQB1", "Unassigned", "context-dependent"), ("CETP", "Unassigned", "context-dependent")}
     assert {tuple(r) for r in drawn.collect()} == {("APOE", "CETP", 0.9), ("APOE", "HLA-DQB1", 0.2)}
+
+
+def test_matrix_checks_with_metadata_and_examples(spark):
+    rows = [("S1", "cg1", 0.21), ("S2", "cg1", None), ("S3", "cg1", 1.2), ("S3", "cg1", 0.5), ("S3", "cg9", 0.0)]
+    m = spark.createDataFrame(rows, "sample_id string, cpg string, beta double")
+    want, meta = spark.createDataFrame([("cg1",), ("cg3",)], "cpg string"), spark.createDataFrame([("S1",), ("S2",), ("S9",)], "sample_id string")
+    got = {r["check"]: (r["n"], r["examples"], r["passed"]) for r in methyl.validate_matrix(m, want, samples=meta, examples=2).collect()}
+    assert got == {
+        "duplicate_cells": (1, "S3/cg1", False), "missing_features": (1, "cg3", False), "extra_features": (1, "cg9", False), "missing_cells": (1, "S2/cg1", False),
+        "out_of_range": (2, "S3/cg1,S3/cg9", False), "matrix_only_samples": (1, "S3", False), "metadata_only_samples": (1, "S9", False),
+    }
+
+
+def test_prepared_variants(spark):
+    df = spark.createDataFrame([("chrX", "10", "a", " t , g ", " rs5 "), ("2", "200", "G", "T,C", "none"), (None, "x", "A", "C", None)], "chrom string, pos string, ref string, alt string, rsid string")
+    got = [tuple(r) for r in nz.prepare_variants(df).collect()]
+    assert got == [("X", 10, "A", "T", "rs5", "X:10:A:T"), ("2", 200, "G", "T", None, "2:200:G:T"), (None, None, "A", "C", None, None)]
