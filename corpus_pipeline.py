@@ -18,7 +18,11 @@ LEAST_QUALITY = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learnt from the labelled ones among them, doesn't reject."""
+    """Documents that the quality classifier, learnt from the labelled ones among them, doesn't reject.
+
+    Null and empty texts are scored like any other; without labels nothing is rejected; repeated rows and null ids stay. An
+    empty table gives no rows.
+    """
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = document_statistics(docs).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
     scored = score_quality(docs, fit_discriminant(known, stat_col="x"), score_col="__score")
@@ -26,24 +30,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without the lines that ten documents or more share; n_chars follows."""
+    """The texts without the lines that ten documents or more share; n_chars follows.
+
+    A null text becomes empty; a text that loses all its lines is empty and stays; every row counts as a document.
+    """
     found = dedup_lines(docs)
     own = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return found.select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each class of near copies: five-word shingles, similarity 0.8 or more.
+
+    Texts without words, null ones among them, are copies of each other; a class keeps the row of its least id, and one with a
+    null id only if it has no other.
+    """
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to half as often again."""
+    """Every document at least once, those of small sources up to half as often again. A null source is a source of its own."""
     return mix_sources(docs).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and hashes of ids and of decoded bytes, a row for each row of the mixture."""
+    """Token counts and hashes of ids and of decoded bytes, a row for each row of the mixture; a null text counts as empty."""
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
