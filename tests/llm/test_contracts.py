@@ -240,3 +240,32 @@ def test_recall_of_near_copies_by_kind_of_edit(spark):
     found = {kind: [kept[i] == kept[j] for (i, j), k in pairs.items() if k == kind] for kind in edits}
     assert all(len(v) > 20 for v in found.values()) and all(all(v) for v in found.values())
     assert [kept[k] for k in range(len(texts))] == list(low)
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    good = [" ".join(f"word{rng.randrange(400)}" for _ in range(60)) + "." for _ in range(40)]
+    texts = ["shared line\n" + t for t in good] + [good[0].replace(".", " end."), good[1], None, "", "shared line"] + ["# $ % & 1 2 3 " * 9] * 5
+    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+    rows = [[*range(len(texts) - 1), None], texts, ["en"] * len(texts), [("a", "b", None)[k % 3] for k in range(len(texts))], [len(t or "") for t in texts]]
+    ids = [k for k in range(len(texts) - 1)]
+    labels = pa.table({"doc_id": ids, "quality": [0 if k >= 45 else 1 for k in ids], "toxic": pa.array([None] * len(ids), pa.int32())})
+    write(tmp_path, documents=pa.table(rows, schema=kind), labels=labels)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "byte BPE":
+            assert docs.columns == none.columns == kind.names
+            docs.write.parquet(f"{tmp_path}/{name}.dir")
+            docs = spark.read.parquet(f"{tmp_path}/{name}.dir")
+        kept[name] = [r["doc_id"] for r in docs.collect()]
+    assert set(range(40)) <= set(kept["quality classifier"]) and not {45, 46, 47} & set(kept["quality classifier"])
+    assert set(kept["line dedup"]) == set(kept["quality classifier"])
+    # of 0 and its copy 40, and of 1 and 41, the first stays; the wordless ones are one class
+    assert set(range(40)) <= set(kept["SimHash near-dedup"]) and not {40, 41} & set(kept["SimHash near-dedup"])
+    assert set(kept["mixing"]) == set(kept["SimHash near-dedup"]) == set(kept["byte BPE"]) and len(kept["byte BPE"]) == len(kept["mixing"])
