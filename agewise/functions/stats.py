@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,18 +142,37 @@ def _bucket(c: Column) -> Column:
     return F.when(c == 0, 0).when(c > 0, size).otherwise(-size)
 
 
-def cumulative_counts(df: DataFrame, value: str) -> DataFrame:
-    """(value, t, cum, total, bucket): for each different value, its rows, the rows up to it, and all rows; nulls are left out.
+def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, t, cum, total, bucket): for each different value, its rows, the rows up to it, and all rows, within each group of the
+    columns ``by``; nulls are left out.
 
     Equal values are one row from the first shuffle on. Running totals are taken within buckets of values of like size, and
     over the buckets' totals, which are few at any size of the table."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value)).agg(F.count("*").alias("t")).withColumn("bucket", _bucket(F.col(value).cast("double")))
-    buckets = counts.groupBy("bucket").agg(F.sum("t").alias("s"))
-    order = Window.orderBy("bucket")
-    before = buckets.select("bucket", (F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
-    before = before.crossJoin(F.broadcast(buckets.agg(F.sum("s").alias("total"))))
-    run = F.sum("t").over(Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.join(before, "bucket").select(value, "t", (F.col("before") + run).alias("cum"), "total", "bucket")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value)).agg(F.count("*").alias("t")).withColumn("bucket", _bucket(F.col(value).cast("double")))
+    buckets = counts.groupBy(*by, "bucket").agg(F.sum("t").alias("s"))
+    order = (Window.partitionBy(*by) if by else Window).orderBy("bucket")
+    before = buckets.select(*by, "bucket", (F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
+    totals = buckets.groupBy(*by).agg(F.sum("s").alias("total"))
+    before = before.join(totals, list(by)) if by else before.crossJoin(F.broadcast(totals))
+    run = F.sum("t").over(Window.partitionBy(*by, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.join(before, [*by, "bucket"]).select(*by, value, "t", (F.col("before") + run).alias("cum"), "total", "bucket")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, a column for each of ``shares``): quantiles between the two nearest values, as a sort of the whole group would give them,
+    but from running counts: no task holds a group's values."""
+    ranks = cumulative_counts(df, value, by)
+    first, last = F.col("cum") - F.col("t"), F.col("cum") - 1
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= last), F.col(value).cast("double")))
+
+    cells = []
+    for name, q in shares.items():
+        place = q * (F.col("total") - 1)
+        cells += [at(F.floor(place)).alias(f"{name}__low"), at(F.ceil(place)).alias(f"{name}__high"), F.max(place - F.floor(place)).alias(f"{name}__part")]
+    found = ranks.groupBy(*by).agg(*cells)
+    return found.select(*by, *[(F.col(f"{n}__low") + (F.col(f"{n}__high") - F.col(f"{n}__low")) * F.col(f"{n}__part")).alias(n) for n in shares])
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *keys: str) -> DataFrame:

@@ -19,17 +19,17 @@ def filter_cohort(df: DataFrame, age: str, low: float, high: float, **members: S
     return out
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def describe_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, nulls, mean, std, min, quartiles and max, a row for each column; one pass."""
-    aggs = []
-    for c in columns:
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None))
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(
-            F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max")).alias(c)
-        )
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*columns)).alias("r")).select("r.*")
+    """Count, nulls, mean, std, min, quartiles and max, a row for each column."""
+    long = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
+    one = long.groupBy("column").agg(
+        F.count("x").alias("count"), F.count_if(F.col("x").isNull()).alias("nulls"), F.avg("x").alias("mean"), F.stddev("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
+    )
+    quartiles = stats.exact_quantiles(long, "x", QUARTILES, ["column"])
+    return one.join(quartiles, "column", "left").select("column", "count", "nulls", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,9 +51,8 @@ def stacked_histogram(df: DataFrame, value: str, group: str, bins: int = 30) ->
 def genotype_boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 interquartile ranges) and outliers of each group."""
     x = F.col(value)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    boxes = df.where(x.isNotNull()).groupBy(group).agg(q.alias("q"), F.count("*").alias("n"))
-    boxes = boxes.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    counts = df.where(x.isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    boxes = counts.join(stats.exact_quantiles(df, value, QUARTILES, [group]), group).select(group, "n", *QUARTILES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = x.between(F.col("q1") - reach, F.col("q3") + reach)
     whiskers = df.where(x.isNotNull()).join(boxes, group).groupBy(group).agg(

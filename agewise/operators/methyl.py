@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agewise.functions.normalize import age_decade, age_stratum
+from agewise.functions.stats import exact_quantiles
 
 
 def apply_missing_policy(matrix: DataFrame, policy: str, feature: str = "cpg", value: str = "beta") -> DataFrame:
@@ -103,13 +104,16 @@ def score_horvath(matrix: DataFrame, model: DataFrame, intercept: float, **names
 
 
 def clock_metrics(df: DataFrame, y: str = "age", p: str = "predicted_age") -> DataFrame:
+    """One row (n, mae, median_ae, rmse, pearson_r, r2) over the samples that have both."""
     err = F.col(p) - F.col(y)
-    m = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).agg(
-        F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.median(F.abs(err)).alias("median_ae"),
-        F.sqrt(F.avg(err * err)).alias("rmse"), F.corr(y, p).alias("pearson_r"),
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__e", F.abs(err))
+    m = rows.agg(
+        F.count("*").alias("n"), F.avg("__e").alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.corr(y, p).alias("pearson_r"),
         F.sum(err * err).alias("sse"), F.var_pop(y).alias("v"),
     )
-    return m.withColumn("r2", F.when(F.col("v") > 0, 1 - F.col("sse") / (F.col("v") * F.col("n")))).drop("sse", "v")
+    m = m.crossJoin(F.broadcast(exact_quantiles(rows, "__e", {"median_ae": 0.5})))
+    r2 = F.when(F.col("v") > 0, 1 - F.col("sse") / (F.col("v") * F.col("n")))
+    return m.select("n", "mae", "median_ae", "rmse", "pearson_r", r2.alias("r2"))
 
 
 def mae_by_decade(df: DataFrame, y: str = "age", p: str = "predicted_age") -> DataFrame:

@@ -180,3 +180,13 @@ def test_prepared_variants(spark):
     df = spark.createDataFrame([("chrX", "10", "a", " t , g ", " rs5 "), ("2", "200", "G", "T,C", "none"), (None, "x", "A", "C", None)], "chrom string, pos string, ref string, alt string, rsid string")
     got = [tuple(r) for r in nz.prepare_variants(df).collect()]
     assert got == [("X", 10, "A", "T", "rs5", "X:10:A:T"), ("2", 200, "G", "T", None, "2:200:G:T"), (None, None, "A", "C", None, None)]
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(9)
+    rows = [(g, v) for g, n in (("a", 101), ("b", 1), ("c", 40)) for v in [rng.choice([-2.5, 0.0, 1e-9, 7.0, rng.gauss(0, 1e6)]) for _ in range(n)]] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["x"], r["y"]) for r in stats.exact_quantiles(df, "v", {"x": 0.1, "y": 0.75}, ["g"]).collect()}
+    want = {g: tuple(np.quantile([v for h, v in rows if h == g], [0.1, 0.75])) for g in "abc"}
+    assert set(got) == set("abc") and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in got)
+    assert stats.exact_quantiles(df.limit(0), "v", {"x": 0.5}).first()["x"] is None
