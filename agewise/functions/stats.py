@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agewise.functions.lineage import settle
+
 def _log_choose(n: float, k: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
@@ -147,8 +149,9 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     columns ``by``; nulls are left out.
 
     Equal values are one row from the first shuffle on. Running totals are taken within buckets of values of like size, and
-    over the buckets' totals, which are few at any size of the table."""
+    over the buckets' totals, which are few at any size of the table. The counts are written once, so ``df`` is read once."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value)).agg(F.count("*").alias("t")).withColumn("bucket", _bucket(F.col(value).cast("double")))
+    counts = settle(counts, "counts")
     buckets = counts.groupBy(*by, "bucket").agg(F.sum("t").alias("s"))
     order = (Window.partitionBy(*by) if by else Window).orderBy("bucket")
     before = buckets.select(*by, "bucket", (F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
@@ -176,8 +179,9 @@ def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *keys: str) -> DataFrame:
-    """``q``: adjusted over all rows with a p, null for the others. Equal p get one q, so no order of ties (``keys``) counts. No job runs
-    while the plan is made."""
+    """``q``: adjusted over all rows with a p, null for the others. Equal p get one q, so no order of ties (``keys``) counts. The
+    rows, which hold results of tests, are written once, so that no test is worked out twice."""
+    df = settle(df, "tests")
     ranked = cumulative_counts(df.select(p), p).withColumn("raw", F.col(p) * F.col("total") / F.col("cum"))
     lows = ranked.groupBy("bucket").agg(F.min("raw").alias("low"))
     later = lows.select("bucket", F.min("low").over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
