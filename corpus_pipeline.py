@@ -15,6 +15,13 @@ from agewise.llm.simhash import drop_near_copies
 
 #: A document goes if the classifier's score is lower.
 LEAST_QUALITY = 0.5
+#: Rows that travel to and from a Python worker at a time; texts are long, so fewer than Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Spark reads the setting when a stage's result is written, so it stays for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored like any other; without labels nothing is rejected; repeated rows and null ids stay. An
     empty table gives no rows.
     """
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = document_statistics(docs).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
     scored = score_quality(docs, fit_discriminant(known, stat_col="x"), score_col="__score")
@@ -45,6 +53,7 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words, null ones among them, are copies of each other; a class keeps the row of its least id, and one with a
     null id only if it has no other.
     """
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -55,6 +64,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and hashes of ids and of decoded bytes, a row for each row of the mixture; a null text counts as empty."""
+    small_batches(spark)
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
