@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agewise.llm.bpe import encode_decode
+from agewise.llm.chat import CONTROLS, END, SEP, START, format_chats, log_of_turns, read_loss, read_turns
+from agewise.llm.collocations import collocations
 from agewise.llm.common import held_out, materialise, shared_dir, table
 from agewise.llm.lines import dedup_lines
 from agewise.llm.mixing import mix_sources, word_count
+from agewise.llm.prefix_trie import prefix_trie
 from agewise.llm.quality import document_statistics, fit_discriminant, score_statistics
 from agewise.llm.repetition import repetition_rules
 from agewise.llm.simhash import simhash_classes
@@ -95,6 +98,28 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), grafted=True)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    found = format_chats(log_of_turns(turns))
+    told, learnt = read_turns(F.col("formatted")), read_loss(F.col("formatted"), F.col("turns"))
+    read = found.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), told.alias("told"), F.array_join(learnt, "").alias("learnt"))
+    lines = F.array_join(F.transform("told", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("told").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
@@ -110,7 +135,26 @@ QUERIES = (
     op8_toxicity,
     op9_line_dedup,
     op10_repetition,
+    op11_prefix_trie,
+    op12_collocations,
+    op13_chat,
+)
+
+#: The escapes as plain replacements, and the sizes of the marks.
+_ESCAPED = "replace({}, chr(92), chr(92) || chr(92))"
+for _c in CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}' || chr(92) || '{_c[1:]}')"
+_CHAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 )
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({len(START) + len(SEP) + len(END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
 
 ORACLES = {
     "op3_url_filter": r"""
@@ -182,6 +226,68 @@ SELECT doc_id, count(*) AS n_lines, count(o.k) AS n_dropped,
 FROM lines LEFT JOIN often o ON lines.k = o.k
 GROUP BY doc_id
 """,
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, coalesce(role, '') AS role, turn,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, digest) AS d, digest, words FROM t),
+bits AS (SELECT c, list_transform(range(8 * length(c::VARCHAR)), lambda i: (ord(substr(c::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1) AS b FROM (SELECT DISTINCT c FROM t)),
+ids AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], b::BIGINT[]), lambda x, y: CASE WHEN xor(x, y) & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295::BIGINT) % 4 AS h
+  FROM bits
+),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, d) AS d, digest, words FROM (
+    SELECT p.c, 1 AS part, d, digest, words FROM p JOIN ids USING (c) WHERE d > h
+    UNION ALL SELECT ids.c, 0, d, digest, words FROM ids JOIN p ON p.c = ids.c - ids.c % 20 WHERE d <= h)
+),
+convs AS (SELECT ids.c, coalesce(list(digest ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS path, list(words ORDER BY d) AS words FROM ids LEFT JOIN rebuilt USING (c) GROUP BY 1),
+each AS (SELECT c, len(path) AS n, unnest(range(len(path) + 1)) AS d, path, words FROM convs),
+passed AS (SELECT c, d, n, sha256(array_to_string(path[1:d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(path[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w, path FROM each),
+nodes AS (
+  SELECT k, d, up, any_value(w) AS w, min(c) AS low, count(*) AS n, any_value(path) AS path,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends
+  FROM passed GROUP BY k, d, up
+),
+kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY 1),
+sums AS (
+  SELECT sha256(array_to_string(path[1:j], ',')) AS k, count(*) FILTER (WHERE leaf) AS leaves, sum((n - 1) * w) AS saved
+  FROM (SELECT nodes.path, nodes.n, nodes.w, kids.n IS NULL AS leaf, unnest(range(d + 1)) AS j FROM nodes LEFT JOIN kids USING (k)) GROUP BY 1
+)
+SELECT a.low AS conv_id, a.d AS depth, b.low AS parent_conv_id, a.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, a.ends AS ends_sha256
+FROM nodes a LEFT JOIN nodes b ON b.k = a.up LEFT JOIN kids ON kids.k = a.k JOIN sums ON sums.k = a.k
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT doc, lang, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+           regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS l FROM documents)
+),
+split AS (SELECT doc, i, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY 1),
+grams AS (
+  SELECT lang, m, array_to_string(ws[s:s + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS s FROM split, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(ws) >= m)
+),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, array_to_string(ws[s:s + q - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, string_split(phrase, ' ') AS ws, a, q, unnest(range(1, m - q + 2)) AS s FROM f, (SELECT unnest([2, 3]) AS q) WHERE m > q) GROUP BY 1, 2
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, s.n, score
+FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase JOIN sizes s ON s.lang = b.lang
+WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * b.a
+QUALIFY rank <= 2000
+""",
+    "op13_chat": _CHAT,
 }
 
 
