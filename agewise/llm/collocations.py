@@ -18,9 +18,19 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A byte that no UTF-8 text holds stands for the end of a piece.
 BREAK = b"\xff"
 #: Bytes of a text that are split at a time, words of a stored chunk, and words whose vocabulary is held together.
-SLICE_BYTES, CHUNK_WORDS, BLOCK_WORDS = 1 << 22, 1 << 19, 1 << 22
+SLICE_BYTES, CHUNK_WORDS, BLOCK_WORDS = 1 << 20, 1 << 17, 3 << 20
 #: Buckets of hashed pairs, and buckets of a row of their bitmap: 2 MB in all at any size of the corpus.
 BUCKETS, ROW_BUCKETS = 1 << 24, 1 << 16
+#: Where a task's count of a bucket stops; a sum with such a part is frequent for any least count up to it.
+MOST = (1 << 16) - 1
+#: Places whose hashes or phrases are made distinct together before they leave a task.
+PLACES = 1 << 20
+#: Words of a vocabulary that are handed over at a time.
+VOCABULARY_ROWS = 50_000
+#: States of a trie with so many children at most are placed together.
+NARROW = 3
+#: Parts of a trie's counts, which tasks sum apart.
+SLICES = 16
 #: Words of one task when words are numbered.
 NUMBERED = 100_000
 
@@ -66,26 +76,30 @@ def _encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks of texts as local numbers of words (0 at the end of a piece and of a text), and each block's vocabulary with its counts."""
     block = TaskContext.get().partitionId() << 32
     langs: dict[str, _Ids] = {}
-    counter, held, size, counts = [0], [], 0, []
-    in_block = 0
+    counter, held, size, in_block = [0], [], 0, 0
+    total = np.zeros(1, np.int64)
 
     def chunk() -> pd.DataFrame:
-        nonlocal size
+        nonlocal size, total
         tokens = np.concatenate([np.zeros(1, np.int32), *held])
-        counts.append(np.bincount(tokens, minlength=counter[0] + 1))
+        found = np.bincount(tokens, minlength=counter[0] + 1)
+        found[: len(total)] += total
+        total = found
         held.clear()
         size = 0
         return pd.DataFrame({"block": [block], "tokens": [tokens.tobytes()], "local": None, "lang": None, "word": None, "n": None})
 
-    def vocabulary() -> pd.DataFrame:
-        total = np.zeros(counter[0] + 1, np.int64)
-        for c in counts:
-            total[: len(c)] += c
-        rows = [(block, None, k, lang, w.decode(), total[k]) for lang, ids in langs.items() for w, k in ids.items() if k]
+    def vocabulary() -> Iterator[pd.DataFrame]:
+        nonlocal total
+        for lang, ids in langs.items():
+            del ids[BREAK]
+            local = np.fromiter(ids.values(), np.int32, len(ids))
+            words = iter(ids)
+            for k in range(0, len(local), VOCABULARY_ROWS):
+                part = local[k : k + VOCABULARY_ROWS]
+                yield pd.DataFrame({"block": block, "tokens": None, "local": part, "lang": lang, "word": [next(words).decode() for _ in part], "n": total[part]})
         langs.clear()
-        counts.clear()
-        counter[0] = 0
-        return pd.DataFrame(rows, columns=["block", "tokens", "local", "lang", "word", "n"])
+        counter[0], total = 0, np.zeros(1, np.int64)
 
     end = np.zeros(1, np.int32)
     for part in parts:
@@ -101,12 +115,11 @@ def _encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if size >= CHUNK_WORDS:
                 yield chunk()
                 if in_block >= BLOCK_WORDS:
-                    yield vocabulary()
+                    yield from vocabulary()
                     block, in_block = block + 1, 0
     if held:
         yield chunk()
-    if counter[0]:
-        yield vocabulary()
+    yield from vocabulary()
 
 
 def _renumber(chunks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -122,18 +135,14 @@ def _renumber(chunks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"tokens": out})
 
 
-def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
-    return (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for part in parts:
-        for blob in part["tokens"]:
-            ids = np.frombuffer(blob, np.int32)
-            both = (ids[:-1] > 0) & (ids[1:] > 0)
-            yield ids[:-1][both], ids[1:][both]
+def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (_mixed(a, b) >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
 class DoubleArray:
@@ -151,7 +160,7 @@ class DoubleArray:
         order = np.lexsort(codes.T[::-1])
         codes = codes[order]
         n = len(codes)
-        self.used = np.zeros(4 * n * self.length + 2 * self.width, bool)
+        self.used = np.zeros(2 * n + 2 * self.width, bool)
         self.used[0] = True
         self.base = np.zeros(len(self.used), np.int32)
         self.check = np.full(len(self.used), -1, np.int32)
@@ -183,13 +192,13 @@ class DoubleArray:
         start = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
         size = np.diff(np.r_[start, len(parent)])
         base = np.zeros(len(start), np.int64)
-        for g in np.argsort(-size, kind="stable")[: int((size > 6).sum())]:  # wide states first, each where it fits
+        for g in np.argsort(-size, kind="stable")[: int((size > NARROW).sum())]:  # wide states first, each where it fits
             own = symbol[start[g] : start[g] + size[g]]
             base[g] = self._fit(own)
             self.used[base[g] + own] = True
         group = np.repeat(np.arange(len(start)), size)
-        open_ = np.flatnonzero(size[group] <= 6)
-        span = max(4 * (int(self.used.sum()) + len(open_)), 2 * self.width)
+        open_ = np.flatnonzero(size[group] <= NARROW)
+        span = max(2 * (int(self.used.sum()) + len(open_)), self.width)
         self._grow(span + self.width + 1)
         while len(open_):  # narrow states all at once, anew where two meet
             tries = self.rng.integers(0, span, len(start))
@@ -245,11 +254,11 @@ def _phrase(parts: list[Column]) -> Column:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Few rows a batch to and from Python, as a row holds a chunk; for jobs that run inside."""
+def _small_batches(spark: SparkSession, rows: int = 16) -> Iterator[None]:
+    """Few rows a batch to and from Python, as a row holds a chunk or a text; for jobs that run inside."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, 16)
+    spark.conf.set(key, rows)
     try:
         yield
     finally:
@@ -261,7 +270,8 @@ class PhraseCounts:
 
     def __init__(self, docs: DataFrame, min_count: int, trie_phrases: int):
         self.spark, self.min_count, self.trie_phrases = docs.sparkSession, min_count, trie_phrases
-        held = materialise(docs.mapInPandas(_encode, ENCODED), "encoded")
+        with _small_batches(self.spark, 1000):
+            held = materialise(docs.mapInPandas(_encode, ENCODED), "encoded")
         words = held.where(F.col("word").isNotNull()).select("block", "local", "lang", "word", "n")
         self.sizes = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
         self.vocabulary = self._numbered(words)
@@ -282,36 +292,103 @@ class PhraseCounts:
     def _over_texts(self, work, schema: str) -> DataFrame:
         return self.texts.mapInPandas(work, schema)
 
-    def pairs(self) -> DataFrame:
-        """(p): pairs that may be frequent: both words are, and so is the bucket that the pair's hash shares with others."""
+    def _grown(self, trie: DoubleArray | None) -> DataFrame:
+        """(p): phrases that texts hold and whose first words are a phrase of ``trie``, or any known word; only those that may be frequent,
+        because the bucket that the phrase's hash shares with others is."""
+        shared = self.spark.sparkContext.broadcast(trie)
+
+        def places(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """For every place where a phrase goes on: the phrase's row (or the word), a hash of it, and the next word; some ``PLACES`` at a time."""
+            trie = shared.value
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                which, after = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                return which, which if trie is None else hashes[which], after
+
+            if trie is not None:
+                hashes = trie.phrases[:, 0].astype(np.uint64)
+                for k in range(1, trie.length):
+                    hashes = _mixed(hashes, trie.phrases[:, k])
+            for part in parts:
+                for blob in part["tokens"]:
+                    ids = np.frombuffer(blob, np.int32)
+                    if trie is None:
+                        at = np.flatnonzero(ids)
+                        which = ids[at]
+                    else:
+                        at, which = trie.walk(ids)
+                    after = np.r_[ids, 0][at + (1 if trie is None else trie.length)]
+                    if not (after > 0).any():
+                        continue
+                    held.append((which[after > 0], after[after > 0]))
+                    if sum(len(x) for x, _ in held) >= PLACES:
+                        yield joined()
+            if held:
+                yield joined()
 
         def buckets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for a, b in _pairs(parts):
-                found, n = np.unique(_bucket(a, b), return_counts=True)
-                yield pd.DataFrame({"bucket": found, "n": n})
-
-        def bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            row = np.zeros(ROW_BUCKETS, bool)
-            row[rows["bucket"].to_numpy() % ROW_BUCKETS] = True
-            return pd.DataFrame({"row": [key[0]], "bits": [np.packbits(row).tobytes()]})
-
-        often = self._over_texts(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_count)
-        rows = often.select((F.expr(f"bucket div {ROW_BUCKETS}")).alias("row"), "bucket").groupBy("row").applyInPandas(bits, "row long, bits binary")
+            """Rows of buckets that are not 0, each in the order of its row, and their counts, which stop at ``MOST``."""
+            for _, h, after in places(parts):
+                found, n = np.unique(_bucket(h, after), return_counts=True)
+                row, start = np.unique(found // ROW_BUCKETS, return_index=True)
+                place, n = np.split((found % ROW_BUCKETS).astype(np.uint16), start[1:]), np.split(np.minimum(n, MOST).astype(np.uint16), start[1:])
+                yield pd.DataFrame({"row": row.astype(np.int32), "place": [x.tobytes() for x in place], "n": [x.tobytes() for x in n]})
+
+        least = min(self.min_count, MOST)
+
+        def bits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Sums of the rows of one task, held as numbers whatever comes in."""
+            sums: dict[int, np.ndarray] = {}
+            for part in parts:
+                for row, place, n in zip(part["row"], part["place"], part["n"], strict=True):
+                    held = sums.setdefault(row, np.zeros(ROW_BUCKETS, np.int64))
+                    held[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint16)
+            for row, held in sums.items():
+                yield pd.DataFrame({"row": [row], "bits": [np.packbits(held >= least).tobytes()]})
+
+        rows = self._over_texts(buckets, "row int, place binary, n binary").repartition("row").mapInPandas(bits, "row int, bits binary")
         bitmap = np.zeros(BUCKETS // 8, np.uint8)
         for r in rows.collect():  # BUCKETS bits at most
             bitmap[r["row"] * ROW_BUCKETS // 8 : (r["row"] + 1) * ROW_BUCKETS // 8] = np.frombuffer(r["bits"], np.uint8)
-        shared = self.spark.sparkContext.broadcast(bitmap)
+        kept = self.spark.sparkContext.broadcast(bitmap)
+
+        shares = max(256, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
         def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bitmap = shared.value
-            for a, b in _pairs(parts):
-                h = _bucket(a, b)
-                ok = (bitmap[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
-                one = np.unique(a[ok].astype(np.int64) << 32 | b[ok].astype(np.int64))
-                yield pd.DataFrame({"a": (one >> 32).astype(np.int32), "b": (one & 0xFFFFFFFF).astype(np.int32)})
+            """Distinct (phrase's row, next word) as packed numbers, a row for each share of them."""
+            bitmap = kept.value
+            for which, h, after in places(parts):
+                b = _bucket(h, after)
+                ok = (bitmap[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
+                if not ok.any():
+                    continue
+                one = np.unique(which[ok].astype(np.int64) << 32 | after[ok].astype(np.int64))
+                share = (_mixed(one >> 32, one & 0xFFFFFFFF) >> np.uint64(32)).astype(np.int64) % shares
+                order = np.argsort(share, kind="stable")
+                names, start = np.unique(share[order], return_index=True)
+                yield pd.DataFrame({"share": names.astype(np.int32), "packed": [x.tobytes() for x in np.split(one[order], start[1:])]})
+
+        def distinct(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            trie = shared.value
+            sets: dict[int, np.ndarray] = {}
+            for part in parts:
+                for share, packed in zip(part["share"], part["packed"], strict=True):
+                    sets[share] = np.union1d(sets[share], np.frombuffer(packed, np.int64)) if share in sets else np.frombuffer(packed, np.int64)
+            for one in sets.values():
+                first, last = one >> 32, (one & 0xFFFFFFFF).astype(np.int32)
+                yield pd.DataFrame({"p": _lists(np.c_[first.astype(np.int32) if trie is None else trie.phrases[first], last])})
+
+        found = self._over_texts(candidates, "share int, packed binary").repartition("share").mapInPandas(distinct, "p array<int>")
+        found = materialise(found, "candidates")
+        shared.unpersist()
+        kept.unpersist()
+        return found
 
-        found = self._over_texts(candidates, "a int, b int").distinct()
-        return materialise(found.select(_phrase([F.col("a"), F.col("b")]).alias("p")), "candidates")
+    def pairs(self) -> DataFrame:
+        """(p): candidates of two words: both are frequent."""
+        return self._grown(None)
 
     def _tries(self, phrases: DataFrame) -> Iterator[DoubleArray]:
         """All phrases in tries of some ``trie_phrases`` phrases each, one at a time."""
@@ -325,43 +402,40 @@ class PhraseCounts:
 
     def counted(self, candidates: DataFrame) -> DataFrame:
         """(p, n): the candidates that are frequent, counted by their tries."""
-        out = None
+        out, least = None, self.min_count
         for trie in self._tries(candidates):
             shared = self.spark.sparkContext.broadcast(trie)
 
-            def count(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            slices = np.linspace(0, len(trie.phrases), SLICES + 1).astype(np.int64)
+
+            def count(parts: Iterator[pd.DataFrame], shared=shared, slices=slices) -> Iterator[pd.DataFrame]:
                 trie = shared.value
                 total = np.zeros(len(trie.phrases), np.int64)
                 for part in parts:
                     for blob in part["tokens"]:
                         total += np.bincount(trie.walk(np.frombuffer(blob, np.int32))[1], minlength=len(total))
-                seen = np.flatnonzero(total)
-                yield pd.DataFrame({"p": _lists(trie.phrases[seen]), "n": total[seen]})
+                yield pd.DataFrame({"slice": range(SLICES), "n": [x.tobytes() for x in np.split(total, slices[1:-1])]})
 
-            found = self._over_texts(count, "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_count)
+            def summed(parts: Iterator[pd.DataFrame], shared=shared, slices=slices) -> Iterator[pd.DataFrame]:
+                sums: dict[int, np.ndarray] = {}
+                for part in parts:
+                    for k, n in zip(part["slice"], part["n"], strict=True):
+                        sums[k] = sums.get(k, 0) + np.frombuffer(n, np.int64)
+                for k, total in sums.items():
+                    often = np.flatnonzero(total >= least)
+                    yield pd.DataFrame({"p": _lists(shared.value.phrases[slices[k] + often]), "n": total[often]})
+
+            found = self._over_texts(count, "slice int, n binary").repartition("slice").mapInPandas(summed, "p array<int>, n long")
             found = materialise(found, "phrases")
             shared.unpersist()
             out = found if out is None else out.unionByName(found)
         return out if out is not None else self.spark.createDataFrame([], "p array<int>, n long")
 
     def longer(self, frequent: DataFrame) -> DataFrame:
-        """(p): phrases one word longer, of which both parts that lack an end are frequent, as far as texts hold them."""
+        """(p): candidates one word longer: both parts that lack an end are frequent."""
         out = None
         for trie in self._tries(frequent):
-            shared = self.spark.sparkContext.broadcast(trie)
-
-            def extend(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                trie = shared.value
-                for part in parts:
-                    for blob in part["tokens"]:
-                        ids = np.frombuffer(blob, np.int32)
-                        at, which = trie.walk(ids)
-                        after = np.r_[ids, 0][at + trie.length].astype(np.int64)
-                        one = np.unique((which.astype(np.int64) << 32 | after)[after > 0])
-                        yield pd.DataFrame({"p": _lists(np.c_[trie.phrases[one >> 32], (one & 0xFFFFFFFF).astype(np.int32)])})
-
-            found = materialise(self._over_texts(extend, "p array<int>").distinct(), "candidates")
-            shared.unpersist()
+            found = self._grown(trie)
             out = found if out is None else out.unionByName(found)
         if out is None:
             return self.spark.createDataFrame([], "p array<int>")
@@ -383,7 +457,7 @@ def collocations(
     top: int = 2000,
     absorbed: tuple[int, int] = (80, 100),
     scale: int = 2_000_000,
-    trie_phrases: int = 1_000_000,
+    trie_phrases: int = 250_000,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language.
 
@@ -392,8 +466,8 @@ def collocations(
     floor(scale * a / (l + r)), exactly; the lowest cut counts, the earliest of equals. A phrase is dropped if a longer one that holds its
     words has at least 80 of 100 of its count. n is the number of words of the language.
 
-    Words are numbered once, and texts stored as numbers. At each length, candidates are those phrases of the texts whose parts
-    are frequent (pairs also by a bucket of their hash); they are put into double-array tries of some ``trie_phrases`` phrases, broadcast
+    Words are numbered once, and texts stored as numbers. At each length, candidates are those phrases of the texts whose two parts
+    are frequent, as is a bucket of their hash; they are put into double-array tries of some ``trie_phrases`` phrases, broadcast
     one at a time, and all places of the texts walk a trie together. Tasks' counts are summed.
 
     A null text is empty and a null language ``und``; a language without frequent phrases has no rows, nor has an empty table.
