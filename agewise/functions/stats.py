@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agewise.functions.lineage import settle
+from agewise.functions.ranges import in_ranges, totals_before
+
 
 def _log_choose(n: float, k: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
@@ -134,31 +136,20 @@ def chi2_2x2_yates(a: Column, b: Column, c: Column, d: Column) -> Column:
     return n * off * off / ((a + b) * (c + d) * (a + c) * (b + d))
 
 
-#: Buckets of values for each doubling of their size; there are at most some half a million over all doubles.
-_PER_OCTAVE = 256
-
-
-def _bucket(c: Column) -> Column:
-    """A whole number that never falls as ``c`` grows."""
-    size = F.floor(F.log2(F.abs(c)) * _PER_OCTAVE) + 1100 * _PER_OCTAVE
-    return F.when(c == 0, 0).when(c > 0, size).otherwise(-size)
-
-
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, value, t, cum, total, bucket): for each different value, its rows, the rows up to it, and all rows, within each group of the
+    """(by, value, t, cum, total, __range): for each different value, its rows, the rows up to it, and all rows, within each group of the
     columns ``by``; nulls are left out.
 
-    Equal values are one row from the first shuffle on. Running totals are taken within buckets of values of like size, and
-    over the buckets' totals, which are few at any size of the table. The counts are written once, so ``df`` is read once."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value)).agg(F.count("*").alias("t")).withColumn("bucket", _bucket(F.col(value).cast("double")))
-    counts = settle(counts, "counts")
-    buckets = counts.groupBy(*by, "bucket").agg(F.sum("t").alias("s"))
-    order = (Window.partitionBy(*by) if by else Window).orderBy("bucket")
-    before = buckets.select(*by, "bucket", (F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
-    totals = buckets.groupBy(*by).agg(F.sum("s").alias("total"))
+    Equal values are one row from the first shuffle on. These are dealt by sampled ranges, so that each task runs its totals over about
+    as many values as any other, wherever the values lie; totals of ranges come before. Counts are written while the plan is
+    made, so ``df`` is read once."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value)).agg(F.count("*").alias("t"))
+    counts = in_ranges(counts, [*map(F.col, by), F.col(value)], "counts")
+    before = totals_before(counts, F.col("t"), "before", by)
+    totals = counts.groupBy(*by).agg(F.sum("t").alias("total"))
     before = before.join(totals, list(by)) if by else before.crossJoin(F.broadcast(totals))
-    run = F.sum("t").over(Window.partitionBy(*by, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.join(before, [*by, "bucket"]).select(*by, value, "t", (F.col("before") + run).alias("cum"), "total", "bucket")
+    run = F.sum("t").over(Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.join(before, [*by, "__range"]).select(*by, value, "t", (F.col("before") + run).alias("cum"), "total", "__range")
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -180,13 +171,15 @@ def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by:
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *keys: str) -> DataFrame:
     """``q``: adjusted over all rows with a p, null for the others. Equal p get one q, so no order of ties (``keys``) counts. The
-    rows, which hold results of tests, are written once, so that no test is worked out twice."""
+    rows, which hold results of tests, are written once, so that no test is worked out twice. The join back has one row for each
+    different p, so tasks of a p that very many rows share can be split."""
     df = settle(df, "tests")
     ranked = cumulative_counts(df.select(p), p).withColumn("raw", F.col(p) * F.col("total") / F.col("cum"))
-    lows = ranked.groupBy("bucket").agg(F.min("raw").alias("low"))
-    later = lows.select("bucket", F.min("low").over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    rest = Window.partitionBy("bucket").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
-    done = ranked.withColumn("own", F.min("raw").over(rest)).join(later, "bucket")
+    ranked = settle(ranked, "ranked")
+    lows = ranked.groupBy("__range").agg(F.min("raw").alias("low"))
+    later = lows.select("__range", F.min("low").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    rest = Window.partitionBy("__range").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+    done = ranked.withColumn("own", F.min("raw").over(rest)).join(later, "__range")
     return df.join(done.select(p, F.least(F.lit(1.0), "own", "later").alias(q)), p, "left").select(*df.columns, q)
 
 

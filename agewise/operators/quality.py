@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agewise.functions.lineage import settle
+from agewise.functions.ranges import in_ranges
+
 
 def reconcile_tables(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(kind, key, column, left, right): keys of one side only and unequal cells (null-safe)."""
@@ -83,28 +86,76 @@ def position_in_span(points: DataFrame, spans: DataFrame, key: str, pos: str, st
     return joined.withColumn("in_span", F.when(~whole, "NA").when(inside, "yes").otherwise("no"))
 
 
-def annotate_intervals(regions: DataFrame, genes: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", bin_size: int = 100_000) -> DataFrame:
-    """Pairs of overlapping closed intervals on a chromosome: both are spread over bins, met by an equi join, and counted in
-    the first bin that they share. Columns of ``genes`` get the prefix gene_."""
-    first, last = (F.floor(F.col(c) / bin_size) for c in (start, end))
-    a = regions.withColumn("__b", F.explode(F.sequence(first, last)))
-    b = genes.withColumn("__b", F.explode(F.sequence(first, last)))
-    b = b.select(F.col(chrom), "__b", *[F.col(c).alias(f"gene_{c}") for c in genes.columns if c != chrom])
-    met = a.join(b, [chrom, "__b"])
+#: Sizes of bins: the least, and how many times the last each next one is.
+LEAST_BIN, BIN_STEP, BIN_LEVELS = 16, 8, 12
+
+
+def _bin_size(level: Column) -> Column:
+    return F.lit(LEAST_BIN).cast("long") * F.pow(F.lit(float(BIN_STEP)), level).cast("long")
+
+
+def _levelled(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """``rows`` with the level of the least bins as long as the interval, which thus lies in two of them at most."""
+    length = F.abs(F.col(end) - F.col(start)) + 1
+    level = F.lit(0)
+    for k in range(BIN_LEVELS - 1):
+        level = level + F.when(length > LEAST_BIN * BIN_STEP**k, 1).otherwise(0)
+    return rows.withColumn("__own", level)
+
+
+def _in_bins(rows: DataFrame, start: str, end: str) -> DataFrame:
+    low, high = (F.floor(f(start, end) / _bin_size(F.col("__level"))) for f in (F.least, F.greatest))
+    return rows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__b", F.explode(F.sequence(low, high)))
+
+
+def annotate_intervals(regions: DataFrame, genes: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+    """Pairs of overlapping closed intervals on a chromosome. Columns of ``genes`` get the prefix gene_.
+
+    Bins come in levels, each eight times as large as the last. An interval is at home in the bins of its own length, two at most. A pair
+    meets at the level of its longer one: that one is at home there, and the shorter goes up to it, to two bins at most; so an interval has
+    two copies for each level at which the other table has homes, whatever its length, and long and short ones may be mixed. A
+    pair counts in the first bin that it shares. Intervals without an end, or on no chromosome, overlap nothing.
+    """
+    genes = genes.select(F.col(chrom), *[F.col(c).alias(f"gene_{c}") for c in genes.columns if c != chrom])
+    sides = [(_levelled(regions, start, end), start, end), (_levelled(genes, f"gene_{start}", f"gene_{end}"), f"gene_{start}", f"gene_{end}")]
+    levels = [sorted(r[0] for r in rows.select("__own").distinct().collect() if r[0] is not None) for rows, _, _ in sides]  # BIN_LEVELS numbers at most
+
+    def home(k: int) -> DataFrame:
+        rows, a, b = sides[k]
+        return _in_bins(rows.withColumn("__level", F.col("__own")), a, b).drop("__own")
+
+    def gone_up(k: int, own_too: bool) -> DataFrame:
+        rows, a, b = sides[k]
+        there = F.array(*[F.lit(n) for n in levels[1 - k]]).cast("array<int>")
+        up = F.filter(there, lambda n: (n > F.col("__own")) | (F.lit(own_too) & (n == F.col("__own"))))
+        return _in_bins(rows.withColumn("__level", F.explode(up)), a, b).drop("__own")
+
+    keys = [chrom, "__level", "__b"]
+    met = home(0).join(gone_up(1, True), keys).unionByName(gone_up(0, False).join(home(1), keys))
     overlap = (F.col(start) <= F.col(f"gene_{end}")) & (F.col(f"gene_{start}") <= F.col(end))
-    once = F.col("__b") == F.floor(F.greatest(F.col(start), F.col(f"gene_{start}")) / bin_size)
-    return met.where(overlap & once).drop("__b")
+    once = F.col("__b") == F.floor(F.greatest(F.col(start), F.col(f"gene_{start}")) / _bin_size(F.col("__level")))
+    return met.where(overlap & once).drop("__b", "__level")
 
 
 def call_regions(sites: DataFrame, group: str, pos: str, p: str, max_gap: int, max_p: float, min_sites: int) -> DataFrame:
-    """Runs of significant sites no further than ``max_gap`` apart, with at least ``min_sites``."""
-    sites = sites.where(F.col(p) < max_p)
-    order = Window.partitionBy(group).orderBy(pos)
-    gap = F.col(pos) - F.lag(pos).over(order)
-    islands = sites.withColumn("__i", F.sum(F.when(gap <= max_gap, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(group, "__i").agg(
-        F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n_sites"), F.min(p).alias("min_p")
-    ).where(F.col("n_sites") >= min_sites).drop("__i")
+    """Runs of significant sites no further than ``max_gap`` apart, with at least ``min_sites``.
+
+    Sites are dealt by sampled ranges of group and place and joined to runs within each, so that no task needs a whole group; only the first
+    and the last run of a range can go on in its neighbours, and these alone are joined across ranges. Writes a table. A site
+    without a place is a run of its own.
+    """
+    ranged = in_ranges(sites.where(F.col(p) < max_p).select(group, pos, p), [group, pos], "sites")
+    inside = Window.partitionBy(group, "__range")
+    gap = F.col(pos) - F.lag(pos).over(inside.orderBy(pos))
+    run = F.sum(F.when(gap <= max_gap, 0).otherwise(1)).over(inside.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    of_run = [F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n_sites"), F.min(p).alias("min_p")]
+    runs = ranged.withColumn("__i", run).groupBy(group, "__range", "__i").agg(*of_run)
+    runs = settle(runs.withColumn("__border", (F.col("__i") == 1) | (F.col("__i") == F.max("__i").over(inside))), "runs")
+    order = Window.partitionBy(group).orderBy("start")
+    across = runs.where("__border").withColumn("__new", F.when(F.col("start") - F.lag("end").over(order) <= max_gap, 0).otherwise(1))
+    across = across.withColumn("__j", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    across = across.groupBy(group, "__j").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_sites").alias("n_sites"), F.min("min_p").alias("min_p")).drop("__j")
+    return runs.where(~F.col("__border")).select(*across.columns).unionByName(across).where(F.col("n_sites") >= min_sites)
 
 
 def merge_undirected_edges(edges: DataFrame, a: str, b: str, score: str, floor: float = 0.15) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agewise.functions import normalize as nz
+from agewise.functions.ranges import number_rows
 from agewise.operators.eqtl import dedup_keep_first, filter_target_tissues, join_eqtl_summary, join_scores, link_variant_probes, summarize_eqtls
 from agewise.operators.quality import merge_undirected_edges
 
@@ -293,8 +294,11 @@ def span_per_chromosome(manifest: DataFrame, chrom: str = "chrom", pos: str = "p
 
 
 def running_total_order(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (), to: str = "ordinal") -> DataFrame:
-    """A running number in ``order``, within each group. Without a group, all rows are ordered in one task: for report tables."""
-    return df.withColumn(to, F.row_number().over((Window.partitionBy(*group) if group else Window).orderBy(*order)))
+    """A running number in ``order``, within each group; without a group over sampled ranges, so that no task orders all rows (this writes
+    a table)."""
+    if group:
+        return df.withColumn(to, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return number_rows(df, order, to)
 
 
 def eqtl_hit_row(df: DataFrame, rsid: str, hits: str) -> DataFrame:

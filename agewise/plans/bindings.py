@@ -474,7 +474,7 @@ def position_in_span(spark: SparkSession, d: str) -> DataFrame:
 def annotate_intervals(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("chrom"), "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_partkey").alias("start"))
     spans = li.groupBy("chrom", F.col("l_returnflag").alias("name")).agg(F.min("start").alias("start")).withColumn("end", F.col("start") + 250)
-    found = quality.annotate_intervals(li.withColumn("end", F.col("start") + 3), spans, bin_size=250)
+    found = quality.annotate_intervals(li.withColumn("end", F.col("start") + 3), spans)
     return found.select(F.col("l_orderkey").alias("region"), "l_linenumber", F.col("gene_name").alias("gene"))
 
 
