@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back: what several parts of a plan use is worked out once, and a lost
-    executor costs no more than the tasks at hand. Where the setting is unset (one machine), a folder of this machine is set."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; where the setting is unset (one machine), a folder of this machine is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/agewise/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/agewise/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read back: what several parts of a plan use is worked out once, and a lost
+    executor costs no more than the tasks at hand. The job runs at once, and its table stays."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,29 +50,44 @@ def _dosage(genotype: Column) -> Column:
     return F.when(called, F.when(alts == 0, 0).when(alts == F.size(alleles), 2).otherwise(1))
 
 
-def scan_vcf_genotypes(spark: SparkSession, path: str) -> DataFrame:
+def _ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value): lines of text with what orders those of a file: where their split of it begins, then their order in the split,
+    which one task reads from its beginning on."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), "value")
+
+
+def _calls(lines: DataFrame, body: DataFrame, chrom: Column) -> DataFrame:
+    """Samples' rows of the lines ``body`` (file, value, ...). A line meets the header of its own file whole, by a join that Spark picks by the
+    headers' size; what is exploded is a sample's place and dosage only."""
+    heads = lines.where(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("names"))
+    cells = body.select("file", chrom.alias("chrom"), F.split("value", "\t").alias("f")).where(F.size("f") > 9)
+    fixed = {name: F.get("f", F.lit(k)) for k, name in enumerate(("", "pos", "id", "ref", "alt")) if name}
+    dosages = F.transform(F.slice("f", F.lit(10), F.size("f") - 9), _dosage)
+    rows = cells.select("file", "chrom", *[c.alias(n) for n, c in fixed.items()], dosages.alias("d")).join(heads, "file")
+    named = F.transform("d", lambda d, i: F.struct(F.get("names", i + 9).alias("eid"), d.alias("alt_dosage")))
+    each = rows.select("chrom", *fixed, F.explode(named).alias("c"))
+    rsid = F.when(F.col("id").isin(".", ""), F.concat("chrom", F.lit(":"), "pos")).otherwise(F.col("id"))
+    return each.select("c.eid", rsid.alias("rsid"), "chrom", F.col("pos").cast("long").alias("pos"), "ref", "alt", "c.alt_dosage")
+
+
+def _body(lines: DataFrame) -> DataFrame:
+    return lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+
+
+def scan_vcf_genotypes(spark: SparkSession, path: str, chromosomes: Sequence[str] | None = None) -> DataFrame:
     """(eid, rsid, chrom, pos, ref, alt, alt_dosage): a row for each sample and variant of VCF text files.
 
     A missing id becomes chrom:pos. Calls are read from the first field of a sample: 0/0 is 0, 0/1 and 1/0 are 1, 1/1 and
     1/2 are 2, one with an uncalled allele (./1) is null. Files may have different samples: each line takes the header of its
-    own file, joined by the file's name.
+    own file. ``chromosomes`` keeps lines of these labels only, told by their first field before a line is split.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    heads = lines.where(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("names"))
-    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("file", F.split("value", "\t").alias("f"))
-    # one header a file
-    rows = body.join(F.broadcast(heads), "file")
-    each = rows.select("names", "f", F.explode(F.sequence(F.lit(9), F.size("f") - 1)).alias("i")).where(F.size("f") > 9)
-    cell = {name: F.get("f", F.lit(k)) for k, name in enumerate(("chrom", "pos", "id", "ref", "alt"))}
-    return each.select(
-        F.get("names", "i").alias("eid"),
-        F.when(cell["id"].isin(".", ""), F.concat(cell["chrom"], F.lit(":"), cell["pos"])).otherwise(cell["id"]).alias("rsid"),
-        cell["chrom"].alias("chrom"),
-        cell["pos"].cast("long").alias("pos"),
-        cell["ref"].alias("ref"),
-        cell["alt"].alias("alt"),
-        _dosage(F.get("f", "i")).alias("alt_dosage"),
-    )
+    contig = F.substring_index("value", "\t", 1)
+    body = _body(lines)
+    if chromosomes is not None:
+        body = body.where(nz.normalize_chrom_label(contig).isin(*chromosomes))
+    return _calls(lines, body, contig)
 
 
 def chromosome_of_file(path: Column) -> Column:
@@ -87,23 +102,14 @@ def scan_vcf_by_chromosome(spark: SparkSession, path: str, chromosomes: Sequence
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")).withColumn("own", chromosome_of_file(F.col("file")))
     own = files.agg(F.array_compact(F.collect_set("own")).alias("told"))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    heads = lines.where(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("names"))
-    contig = nz.normalize_chrom_label(F.split("value", "\t", 2)[0])
-    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("contig", contig)
+    contig = nz.normalize_chrom_label(F.substring_index("value", "\t", 1))
+    body = _body(lines).withColumn("contig", contig)
+    if chromosomes is not None:
+        body = body.where(F.col("contig").isin(*chromosomes))
     body = body.withColumn("own", nz.normalize_chrom_label(chromosome_of_file(F.col("file")))).crossJoin(F.broadcast(own))
     told = F.transform("told", nz.normalize_chrom_label)
     body = body.where(F.coalesce(F.col("own") == F.col("contig"), ~F.array_contains(told, F.col("contig"))))
-    if chromosomes is not None:
-        body = body.where(F.col("contig").isin(*chromosomes))
-    rows = body.select("file", "contig", F.split("value", "\t").alias("f")).join(F.broadcast(heads), "file")
-    each = rows.where(F.size("f") > 9).select("names", "f", "contig", F.explode(F.sequence(F.lit(9), F.size("f") - 1)).alias("i"))
-    pos, name = F.get("f", F.lit(1)), F.get("f", F.lit(2))
-    return each.select(
-        F.get("names", "i").alias("eid"),
-        F.when(name.isin(".", ""), F.concat("contig", F.lit(":"), pos)).otherwise(name).alias("rsid"),
-        F.col("contig").alias("chrom"), pos.cast("long").alias("pos"), F.get("f", F.lit(3)).alias("ref"), F.get("f", F.lit(4)).alias("alt"),
-        _dosage(F.get("f", "i")).alias("alt_dosage"),
-    )
+    return _calls(lines, body, F.col("contig"))
 
 
 def _soft_cells(line: Column) -> Column:
@@ -112,12 +118,11 @@ def _soft_cells(line: Column) -> Column:
 
 def scan_geo_sample_rows(spark: SparkSession, path: str) -> DataFrame:
     """(file, field, row, sample_no, value) of the lines of a SOFT series matrix that describe samples; ``row`` tells lines of one
-    field apart, in their order. Files are read whole up to the table's beginning."""
-    heads = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "(?i)!series_matrix_table_begin", 2)[0].alias("head"))
-    lines = heads.select("file", F.posexplode(F.split("head", r"\r?\n")).alias("row", "line")).where(F.col("line").startswith("!Sample_"))
-    cells = lines.select("file", "row", _soft_cells(F.col("line")).alias("c"))
-    each = cells.select("file", F.col("c")[0].alias("field"), "row", F.posexplode(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0)))).alias("sample_no", "value"))
-    return each
+    field apart, in their order. Files are read by lines, in as many tasks as they have splits, and only these lines go on."""
+    lines = _ordered_lines(spark, path).where(F.col("value").startswith("!Sample_"))
+    row = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+    cells = lines.select("file", row.alias("row"), _soft_cells(F.col("value")).alias("c"))
+    return cells.select("file", F.col("c")[0].alias("field"), "row", F.posexplode(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0)))).alias("sample_no", "value"))
 
 
 def scan_geo_series_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -210,9 +215,9 @@ def scan_local_vep_jsonl(spark: SparkSession, path: str, line: str | None = None
     """(key, variant): annotation records of JSON lines under each of their names: rsid, id, variant_key, input, and the record's own id.
 
     The record is in payload or vep, or is the line itself; of an array the first element counts. A key's last line wins, by file
-    and place in it (``line`` names a column of line numbers in the JSON, where files are too large for one order).
+    and place in it, however many tasks read the file (or by ``line``, a column of line numbers in the JSON).
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
+    rows = _ordered_lines(spark, path).select("value", F.col("file").alias("f"), F.col("at").alias("n")).where(F.trim("value") != "")
     raw = F.coalesce(filled(F.get_json_object("value", "$.payload")), filled(F.get_json_object("value", "$.vep")), F.col("value"))
     one = F.when(F.trim(raw).startswith("["), F.get(F.from_json(raw, f"array<{VARIANT}>"), F.lit(0))).otherwise(F.from_json(raw, VARIANT))
     names = [F.get_json_object("value", f"$.{k}") for k in ("rsid", "id", "variant_key", "input")]

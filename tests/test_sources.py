@@ -141,3 +141,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "a")).count() == 4
     sinks.save_long_matrix(df.withColumn("chrom", F.lit("7")), str(tmp_path / "m"), ["chrom"])
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+
+
+def test_order_of_lines_over_splits(spark, tmp_path):
+    lines = "".join(json.dumps({"rsid": "rs1", "n": k, "payload": json.dumps({"id": f"v{k}"})}) + "\n" for k in range(3000))
+    path = put(tmp_path / "v.jsonl", lines)
+    soft = put(tmp_path / "m.txt", "".join(f"!Sample_characteristics_ch1\t\"age: {k}\"\n" for k in range(2000)) + "!series_matrix_table_begin\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4096")
+        got = {r["key"]: r["variant"]["id"] for r in readers.scan_local_vep_jsonl(spark, path).collect()}
+        rows_ = readers.scan_geo_sample_rows(spark, soft).orderBy("row").collect()
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set(key, before)
+    assert got["rs1"] == "v2999" and [r["value"] for r in rows_] == [f"age: {k}" for k in range(2000)]
