@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agewise.functions import ranges, stats
-from agewise.operators import clock, quality, tables
+from agewise.operators import clock, cohort, quality, tables
 
 
 def test_numbers_of_rows_and_their_ranges(spark):
@@ -104,3 +104,29 @@ def test_paths_meet_the_conditions_of_the_elastic_net(spark):
     assert found["intercept"] == pytest.approx(y.mean() - x.mean(0) @ (b / sd), abs=1e-6) and 2 <= (b != 0).sum() < 40
     none, _ = clock.train_elastic_net_cv(matrix.where("cpg = 'none'"), target, l1_ratios=(1.0,), n_alphas=2, folds=2)
     assert none.count() == 0
+
+
+def test_correlations_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cohort, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 11)) + 1e6
+    x[:, 3] += 2 * x[:, 1]
+    x[:, 5] = 7.25
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 9] = np.nan
+    x[1:, 10] = np.nan
+    names = [f"v {k}" for k in range(11)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"`{n}` double" for n in names))
+    df = df.withColumnsRenamed({n: n.replace(" ", "_") for n in names}).repartition(5)
+    names = [n.replace(" ", "_") for n in names]
+    got = {(r["a"], r["b"]): r["r"] for r in cohort.correlation_matrix(df, names).collect()}
+    assert len(got) == 121
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            u, v = x[both, i], x[both, j]
+            if both.sum() < 2 or np.ptp(u) == 0 or np.ptp(v) == 0:
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-9)
+    assert {r["r"] for r in cohort.correlation_matrix(df.where("v_0 < 0"), names[:3]).collect()} == {None}
