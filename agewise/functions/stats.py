@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agewise.functions.lineage import settle
-from agewise.functions.ranges import in_ranges, totals_before
+from agewise.functions.ranges import in_ranges, number_rows, totals_before
 
 
 def _log_choose(n: float, k: float) -> float:
@@ -260,9 +261,14 @@ def normal_tail(z: Column) -> Column:
     return F.pandas_udf(tails, "double")(z.cast("double"))
 
 
+def pearson_r(x: str, y: str) -> Column:
+    """Pearson r as an aggregate; null without rows or where one of the two doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (r, p, n) over the rows that have both."""
-    one = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    one = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(pearson_r(x, y).alias("r"), F.count("*").alias("n"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
     return one.select("r", t_tail(F.when(F.col("n") > 2, t), F.col("n") - 2).alias("p"), "n")
 
@@ -276,21 +282,47 @@ def contingency_table_rows(a: Column, b: Column, c: Column, d: Column) -> Column
     return F.array(row("in", a, b), row("out", c, d), row("total", a + c, b + d))
 
 
-def permutation_test(df: DataFrame, key: str, x: str, y: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """One row (r, n, rounds, as_extreme, p): two-sided, p = (as_extreme + 1) / (rounds + 1). ``key`` tells rows apart.
+def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The places to which a permutation of 0..n-1, picked by ``seed``, takes ``i``: a four-round Feistel network over as many bits as ``n`` needs,
+    walked on from places that are not below ``n`` until one is. Nothing is sorted or held."""
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask = np.uint64((1 << int(half)) - 1)
+    out = i.astype(np.uint64)
+    open_ = np.arange(len(out))
+    while len(open_):
+        left, right = out[open_] >> half, out[open_] & mask
+        for k in range(4):
+            key = np.uint64((seed * 0x9E3779B97F4A7C15 + k * 0xC2B2AE3D27D4EB4F) % (1 << 64))
+            h = (right ^ key) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ (h ^ h >> np.uint64(31)) & mask
+        out[open_] = left << half | right
+        open_ = open_[out[open_] >= n]
+    return out.astype(np.int64)
 
-    Each round shuffles ``y``: the rows ranked by one hash of key and round meet those ranked by another. Rounds are spread over
-    tasks; a round's ranking is one task's, which bounds the table that this test suits: some 10^6 rows a round."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    each = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
 
-    def ranked(value: str, salt: int) -> DataFrame:
-        order = Window.partitionBy("round").orderBy(F.xxhash64(F.lit(seed + salt), "round", "k"), "k")
-        return each.select("round", value, F.row_number().over(order).alias("i"))
+def permutation_test(df: DataFrame, key: str, x: str, y: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
+    """One row (r, n, rounds, as_extreme, p): two-sided, p = (as_extreme + 1) / (rounds + 1). ``key`` orders the rows, which are numbered once.
 
-    drawn = ranked("x", 0).join(ranked("y", 1), ["round", "i"]).groupBy("round").agg(F.corr("x", "y").alias("rr"))
-    seen = rows.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
-    hits = drawn.crossJoin(F.broadcast(seen)).agg(F.first("r").alias("r"), F.first("n").alias("n"), F.count_if(F.abs("rr") >= F.abs("r") - 1e-12).alias("as_extreme"))
+    In each round a keyed permutation of the numbers tells each row the place whose ``y`` it takes. All rounds meet these by one join on
+    the place, and are summed by round in each task first: no round is sorted, and none is one task's. Rows without a value are left
+    out; an empty table, or one that doesn't vary, gives no r and no extreme round. The numbered rows are written while the plan is made."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = settle(number_rows(rows, ["k", "x", "y"], "i").select("i", "x", "y"), "numbered")
+    n = rows.count()
+
+    def drawn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            own = part["i"].to_numpy() - 1
+            for k in range(1, rounds + 1):
+                yield pd.DataFrame({"round": k, "i": permuted(own, n, seed * 1_000_003 + k) + 1, "x": part["x"]})
+
+    tried = rows.select("i", "x").mapInPandas(drawn, "round int, i long, x double").join(rows.select("i", "y"), "i")
+    tried = tried.groupBy("round").agg(pearson_r("x", "y").alias("rr"))
+    seen = rows.agg(pearson_r("x", "y").alias("r"), F.count("*").alias("n"))
+    hits = seen.crossJoin(tried.agg(F.collect_list("rr").alias("rr")))  # a number for each round
+    extreme = F.size(F.filter("rr", lambda v: F.abs(v) >= F.abs(F.col("r")) - 1e-12)).cast("long")
+    hits = hits.select("r", "n", extreme.alias("as_extreme"))
     return hits.select("r", "n", F.lit(rounds).alias("rounds"), "as_extreme", ((F.col("as_extreme") + 1) / (rounds + 1)).alias("p"))
 
 

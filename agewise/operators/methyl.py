@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agewise.functions.normalize import age_decade, age_stratum
-from agewise.functions.stats import exact_quantiles
+from agewise.functions.stats import exact_quantiles, pearson_r
 
 
 def apply_missing_policy(matrix: DataFrame, policy: str, feature: str = "cpg", value: str = "beta") -> DataFrame:
@@ -108,7 +108,7 @@ def clock_metrics(df: DataFrame, y: str = "age", p: str = "predicted_age") -> Da
     err = F.col(p) - F.col(y)
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__e", F.abs(err))
     m = rows.agg(
-        F.count("*").alias("n"), F.avg("__e").alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.corr(y, p).alias("pearson_r"),
+        F.count("*").alias("n"), F.avg("__e").alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), pearson_r(y, p).alias("pearson_r"),
         F.sum(err * err).alias("sse"), F.var_pop(y).alias("v"),
     )
     m = m.crossJoin(F.broadcast(exact_quantiles(rows, "__e", {"median_ae": 0.5})))

@@ -52,3 +52,12 @@ def benjamini_hochberg(spark: SparkSession, d: str) -> DataFrame:
     """Many different values in a narrow range."""
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (1 - F.col("l_extendedprice").cast("double") / 1e9).alias("p"))
     return stats.benjamini_hochberg(rows, "p", "q").select("l_orderkey", "l_linenumber", F.round("q", 9).alias("q"))
+
+
+@query("SELECT round(corr(c_acctbal::DOUBLE, (c_custkey % 97)::DOUBLE), 6) AS r, count(*) AS n, 200 AS rounds, true AS p_fits FROM customer")
+def permutation_test(spark: SparkSession, d: str) -> DataFrame:
+    """The rounds' draws are beyond SQL; their count and p go together."""
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 97).alias("y"))
+    found = stats.permutation_test(c, "c_custkey", "c_acctbal", "y", rounds=200)
+    fits = F.col("as_extreme").between(0, 200) & (F.col("p") == (F.col("as_extreme") + 1) / 201)
+    return found.select(F.round("r", 6).alias("r"), "n", "rounds", fits.alias("p_fits"))

@@ -130,3 +130,19 @@ def test_correlations_by_blocks(spark, monkeypatch):
             else:
                 assert got[a, b] == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-9)
     assert {r["r"] for r in cohort.correlation_matrix(df.where("v_0 < 0"), names[:3]).collect()} == {None}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4096, 70_001])
+def test_keyed_permutations(n):
+    seen = [stats.permuted(np.arange(n), n, seed) for seed in range(30)]
+    assert all(sorted(p) == list(range(n)) for p in seen)
+    assert n < 17 or len({tuple(p) for p in seen}) == 30
+    if n == 1000:  # places spread as by chance
+        assert abs(np.mean([p[:500].mean() for p in seen]) - 499.5) < 25 and abs(np.mean([np.corrcoef(p, np.arange(n))[0, 1] for p in seen])) < 0.05
+
+
+def test_permutations_of_odd_tables(spark):
+    none = stats.permutation_test(spark.createDataFrame([], "k int, x double, y double"), "k", "x", "y", rounds=5).first()
+    assert (none["r"], none["n"], none["as_extreme"]) == (None, 0, 0)
+    flat = stats.permutation_test(spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (None, 1.0, None)], "k int, x double, y double"), "k", "x", "y", rounds=5).first()
+    assert (flat["r"], flat["n"], flat["as_extreme"]) == (None, 2, 0)
