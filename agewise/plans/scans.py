@@ -50,7 +50,7 @@ def scan_table(spark: SparkSession, d: str) -> DataFrame:
     return found.select("eid", "name", F.col("balance").cast("double").alias("balance"))
 
 
-@query("SELECT 'chr' || (p_partkey % 22 + 1) AS chrom, p_partkey AS start, p_partkey + 1 AS \"end\", 'm' AS name, p_size::DOUBLE AS score, '+' AS strand, p_size::BIGINT AS coverage, 50.0::DOUBLE AS percent, p_size // 2 AS methylated, p_size - p_size // 2 AS unmethylated FROM part")
+@query("SELECT 'chr' || (p_partkey % 22 + 1) AS chrom, p_partkey AS start, p_partkey + 1 AS \"end\", 'm' AS name, p_size::DOUBLE AS score, '+' AS strand, p_size::BIGINT AS coverage, 50.0::DOUBLE AS percent, (p_size // 2)::BIGINT AS methylated, (p_size - p_size // 2)::BIGINT AS unmethylated FROM part")
 def scan_bedmethyl(spark: SparkSession, d: str) -> DataFrame:
     p, half = F.col("p_partkey"), F.floor(F.col("p_size") / 2).cast("long")
     rows = t(spark, d, "part").select(
