@@ -162,16 +162,27 @@ WITH RECURSIVE u AS (
   SELECT page_id, url, html, lower_ascii AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM (SELECT *, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM pages)
 ),
+outside AS (
+  SELECT url, host, path, unnest(list_transform(string_split(html, '<!--'), lambda s, i: CASE WHEN i = 1 THEN s WHEN contains(s, '-->') THEN substr(s, strpos(s, '-->') + 3) ELSE '' END)) AS part
+  FROM u WHERE host <> '' AND html <> ''
+),
 tags AS (
-  SELECT url, host, path, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme,
-         regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS a,
-         regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>;]+)', 1) AS b
-  FROM u WHERE host <> '' AND (html ILIKE '%canonical%' OR html ILIKE '%http-equiv%')
+  SELECT url, host, path, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, split_part(tag, '>', 1) AS tag
+  FROM (SELECT url, host, path, unnest(string_split(part, '<')[2:]) AS tag FROM outside)
+),
+named_by_tags AS (
+  SELECT url, host, path, scheme, regexp_replace(CASE
+    WHEN regexp_matches(tag, '(?i)^link[\x20\t\n\f\r]') AND regexp_matches(tag, '(?i)[\x20\t\n\f\r"''/]rel[\x20\t\n\f\r]*=[\x20\t\n\f\r]*["'']?canonical(["''/\x20\t\n\f\r]|\z)')
+      THEN regexp_extract(tag, '(?i)[\x20\t\n\f\r"''/]href[\x20\t\n\f\r]*=[\x20\t\n\f\r]*["'']?([^"''\x20\t\n\f\r]+)', 1)
+    WHEN regexp_matches(tag, '(?i)^meta[\x20\t\n\f\r]') AND regexp_matches(tag, '(?i)[\x20\t\n\f\r"''/]http-equiv[\x20\t\n\f\r]*=[\x20\t\n\f\r]*["'']?refresh(["''/\x20\t\n\f\r]|\z)')
+      THEN regexp_extract(tag, '(?i)[\x20\t\n\f\r"''/]content[\x20\t\n\f\r]*=[\x20\t\n\f\r]*["''][^"'']*?url[\x20\t\n\f\r]*=[\x20\t\n\f\r]*([^"''\x20\t\n\f\r;]+)', 1)
+    END, '(?i)&(amp|#38|#x26);', '&', 'g') AS x
+  FROM tags
 ),
 ends AS (
   SELECT url AS src, CASE WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN scheme || ':' || x WHEN starts_with(x, '/') THEN scheme || '://' || host || x
          ELSE scheme || '://' || host || regexp_replace(path, '[^/]*$', '') || x END AS dst
-  FROM (SELECT *, unnest([a, b]) AS x FROM tags) WHERE x <> ''
+  FROM named_by_tags WHERE x <> ''
 ),
 every AS (SELECT url FROM u UNION SELECT dst FROM ends),
 named AS (

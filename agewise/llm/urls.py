@@ -47,15 +47,36 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+#: Patterns over the inside of one tag, from its name on.
+_S, _Q = r"[\x20\t\n\f\r]", r"[\x20\t\n\f\r\"'/]"
+LINK, META = f"(?i)^link{_S}", f"(?i)^meta{_S}"
+CANONICAL = rf"(?i){_Q}rel{_S}*={_S}*[\"']?canonical({_Q}|\z)"
+HREF = rf"(?i){_Q}href{_S}*={_S}*[\"']?([^\"'\x20\t\n\f\r]+)"
+REFRESH = rf"(?i){_Q}http-equiv{_S}*={_S}*[\"']?refresh({_Q}|\z)"
+CONTENT_URL = rf"(?i){_Q}content{_S}*={_S}*[\"'][^\"']*?url{_S}*={_S}*([^\"'\x20\t\n\f\r;]+)"
+AMPERSAND = "(?i)&(amp|#38|#x26);"
+
+
 def link_targets(html: Column, url: Column) -> Column:
-    """Array of the absolute addresses that a page's canonical link and meta refresh name."""
-    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>;]+)"
-    low = F.lower(html)
-    found = F.array(
-        F.when(low.contains("canonical"), F.regexp_extract(html, tag, 1)),
-        F.when(low.contains("http-equiv"), F.regexp_extract(html, refresh, 1)),
+    """Array of the absolute addresses that all canonical links and meta refreshes of a page name; null without any such word.
+
+    Comments, closed or not, hold no links. A tag ends at the next ``<`` or ``>``, so that time grows with the page's length
+    only; one with such a character inside a quoted value is cut there. ``&amp;`` in an address is read as ``&``.
+    """
+    parts = F.transform(
+        F.split(html, "<!--"), lambda s, i: F.when(i == 0, s).when(s.contains("-->"), F.substr(s, F.locate("-->", s) + 3)).otherwise("")
     )
+    tags = F.flatten(F.transform(parts, lambda s: F.filter(F.split(s, "<"), lambda x, i: i > 0)))
+
+    def target(tag: Column) -> Column:
+        canonical = tag.rlike(LINK) & tag.rlike(CANONICAL)
+        refresh = tag.rlike(META) & tag.rlike(REFRESH)
+        found = F.when(canonical, F.regexp_extract(tag, HREF, 1)).when(refresh, F.regexp_extract(tag, CONTENT_URL, 1))
+        return F.regexp_replace(found, AMPERSAND, "&")
+
+    low = F.lower(html)
+    named = F.transform(F.filter(tags, lambda g: g.rlike(LINK) | g.rlike(META)), lambda g: target(F.substring_index(g, ">", 1)))
+    found = F.when(low.contains("canonical") | low.contains("http-equiv"), named)
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     base = F.concat(scheme, F.lit("://"), host_of(url))
 

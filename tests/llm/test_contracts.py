@@ -1,13 +1,18 @@
 """The registered queries against their SQL on planted tables, and operators beyond SQL against plain versions."""
 
+import math
 import os
 import random
+import re
+import string
+import time
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from agewise.llm import lines, mixing, quality, queries, repetition, simhash, toxicity, urls, vectors, warc
@@ -46,7 +51,9 @@ def pages_of(rng):
         body = rng.choice(bodies)
         if rng.random() < 0.25:
             target = rng.choice([*urls_[:-4], "/fr/9", "//c.net/p", "other", f"https://only{k % 9}.net/"])
-            body = rng.choice((link, refresh)) % target + (body or "")
+            body = rng.choice((link, refresh, f"<!-- {link} -->", f"<!-- <!-- {link}", "<a><link rel=canonical href=%s/>")) % target + (body or "")
+            if rng.random() < 0.3:
+                body = "<br>" + body + link % rng.choice(urls_[:-4]).replace("?q=1", "?q=1&amp;r=2")
         rows.append((k * 3, rng.choice([*urls_, f"https://page{k}.net/p#f"]), body))
     return pa.table(dict(zip(("page_id", "url", "html"), map(list, zip(*rows, strict=True)), strict=True)))
 
@@ -167,18 +174,75 @@ def test_discriminant_equals_numpy(spark):
     assert quality.document_statistics(table.limit(0)).count() == 0
 
 
+def plain_toxic_score(model, text):
+    """The score by the README's words alone: every word compressed with each dictionary, no cache, no numpy."""
+    how = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=6)
+
+    def wide(raw):
+        return bytes((x + 85 * k) % 256 for x in raw for k in range(3))
+
+    def length(dictionary, raw):
+        d = zstandard.ZstdCompressionDict(wide(dictionary), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(wide(raw)))
+
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for mark in string.punctuation:
+        if mark not in "'-":
+            lowered = lowered.replace(mark, " ")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", lowered) if w]
+    known = {w: length(model.ordinary, f" {w} ".encode()) - length(model.toxic, f" {w} ".encode()) for w in set(words)}
+    hits = sum(known[w] >= model.margin for w in words)
+    stats = (max([0, *known.values()]), math.log(1 + hits), math.log(1 + 100 * hits / max(1, len(words))))
+    return 1 / (1 + math.exp(-model.weights[0] - sum(w * x for w, x in zip(model.weights[1:], stats, strict=True))))
+
+
 def test_toxicity_equals_a_plain_loop(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(150)]
     plain_texts = [" ".join(rng.choice(words) for _ in range(25)) for _ in range(300)]
     model = toxicity.train([t + " you idiot scum" for t in plain_texts[:150]] + plain_texts[150:], [1] * 150 + [0] * 150)
-    texts = ["an idiot", "a calm day", "", None, "scum " + "w1 " * 50_000]
+    texts = ["an idiot", "a calm day", "", None, "scum " + "w1 " * 50_000, "An IDIOT; the w3, w4-scum!\tIdiot's été", "idiot", "idiot"]
     df = spark.createDataFrame([(k, t, 9.0) for k, t in enumerate(texts)], "doc_id long, text string, score double")
     got = [r["score"] for r in toxicity.score_toxicity(df, model).orderBy("doc_id").collect()]
-    assert got == pytest.approx([float(model.score(model.statistics([t or ""], {}))[0]) for t in texts])
-    assert got[0] > 0.5 > got[1] and toxicity.score_toxicity(df.limit(0), model).count() == 0
+    assert got == pytest.approx([plain_toxic_score(model, t) for t in texts])
+    assert got[0] > 0.5 > got[1] and got[6] == got[7] and toxicity.score_toxicity(df.limit(0), model).count() == 0
     unlabelled = toxicity.fit_toxicity(df.select("doc_id", "text", F.lit(None).cast("int").alias("label")))
-    assert toxicity.score_toxicity(df, unlabelled).count() == 5
+    assert toxicity.score_toxicity(df, unlabelled).count() == 5 + 3
+
+
+def test_toxicity_learns_from_pairs():
+    """A clean text and the same with an insult: the insult is learnt, copies of one label count once."""
+    rng = random.Random(9)
+    clean = [" ".join(f"w{rng.randrange(150)}" for _ in range(25)) for _ in range(300)]
+    model = toxicity.train(clean + [t + " you idiot scum" for t in clean], [0] * 300 + [1] * 300)
+    an_idiot, scum, calm = (plain_toxic_score(model, t) for t in ("an idiot", "scum here", "calm day"))
+    assert min(an_idiot, scum) > 0.9 and calm < 0.1
+    copies = toxicity.train(clean[:1] * 300 + [clean[1] + " you idiot scum"] * 300, [0] * 300 + [1] * 300)
+    assert plain_toxic_score(copies, "an idiot") == plain_toxic_score(copies, "calm day")
+
+
+def test_links_of_a_page(spark):
+    canonical = '<link rel="canonical" href="%s">'
+    cases = {
+        canonical % "http://a.com/1" + canonical % "/2": ["http://a.com/1", "http://h.com/2"],
+        "<!-- x --" + canonical % "/1" + "-->" + canonical % "/2" + "<!--" + canonical % "/3": ["http://h.com/2"],
+        "<LINK HREF='/q?a=1&amp;b=2'\nREL=canonical>": ["http://h.com/q?a=1&b=2"],
+        "<link data-rel='canonical' href='/1'><link rel='canonically' href='/2'><linked rel='canonical' href='/3'>": [],
+        "<meta http-equiv=Refresh content=\"0; URL = http://b.com/x\">": ["http://b.com/x"],
+        "<link rel=canonical <b href=/1>": [],
+        "": None,
+    }
+    df = spark.createDataFrame([(h, "http://h.com/a") for h in cases], "html string, url string")
+    got = {r[0]: r[1] for r in df.select("html", urls.link_targets(F.col("html"), F.col("url"))).collect()}
+    assert got == cases
+
+
+def test_links_of_hostile_pages_take_linear_time(spark):
+    pages = ["<link rel=canonical " * 250_000, "<!-- canonical" * 350_000, "<link rel=canonical" + " href =" * 700_000, "canonical<meta " + "content='url" * 400_000]
+    df = spark.createDataFrame([(p, "http://h.com/a") for p in pages], "html string, url string")
+    began = time.monotonic()
+    assert [len(r[0]) for r in df.select(urls.link_targets(F.col("html"), F.col("url"))).collect()] == [0, 0, 1, 0]
+    assert time.monotonic() - began < 30
 
 
 def test_clashing_columns_and_empty_tables(spark):
