@@ -111,7 +111,9 @@ def train(
     odds: float = 1.5,
     toxic_share: float | None = None,
 ) -> Compressors:
-    """Dictionaries from labelled texts, near copies counted once, and weights calibrated on the same texts.
+    """Dictionaries from labelled texts, near copies of one label counted once, and weights calibrated on the same texts.
+
+    A text of one label that is a near copy of one of the other counts: what sets the two apart is what is to be learnt.
 
     Both dictionaries begin with the ``base_windows`` commonest windows of ordinary text of each length, so that windows
     without toxic content compress alike. The toxic one goes on with the beginnings of windows that ``least`` toxic texts
@@ -119,12 +121,12 @@ def train(
     count as those of a common one do; one that a longer one replaces almost everywhere is left out. ``toxic_share`` moves the
     intercept from the sample's share of toxic texts to the corpus'.
     """
-    seen: set[tuple[int, int]] = set()
+    seen: set[tuple[int, int, int]] = set()
     found: dict[int, list[set[bytes]]] = {0: [], 1: []}
     for text, y in zip(texts, labels, strict=True):
         held = set(windows(text, size))
         longer = set(windows(text, size + 3))
-        marks = {(k, min((xxhash.xxh64_intdigest(w, k) for w in longer), default=0)) for k in range(3)}
+        marks = {(y, k, min((xxhash.xxh64_intdigest(w, k) for w in longer), default=0)) for k in range(3)}
         if not marks & seen:
             seen |= marks
             found[y].append(held)
@@ -158,7 +160,11 @@ def train(
 
 
 def fit_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", per_class: int = 2000, size: int = 1, toxic_share: float | None = None) -> Compressors:
-    """Train on at most ``per_class`` rows of each label 0 and 1, those of the smallest hashes of their ids and texts."""
+    """Train on at most ``per_class`` rows of each label 0 and 1, those of the smallest hashes of their ids and texts.
+
+    Rows of other labels or none are left out; a null text is learnt from as an empty one; of equal rows each counts towards
+    ``per_class`` and a label's share, one towards the dictionaries. Without rows of both labels every score is the same.
+    """
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(
         F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col), F.lit(5), F.col(text_col)).alias("h")
     )
