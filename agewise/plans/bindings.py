@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from agewise.functions import normalize as nz
 from agewise.functions import scores, stats
-from agewise.operators import assoc, cohort, enrich, eqtl, methyl, quality
+from agewise.operators import assoc, cohort, enrich, eqtl, methyl, quality, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -500,6 +500,28 @@ def build_gene_network(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).withColumn("weight", F.round("weight", 6))
 
 
+_NET = EDGES.replace("c_nationkey AS x, s_nationkey AS y", "'N' || c_nationkey AS x, 'N' || s_nationkey AS y")
+
+
+@query(f"""WITH g AS (SELECT 'N' || n_nationkey AS gene, CASE WHEN n_regionkey = 0 THEN 'Unassigned' ELSE r_name END AS cluster FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT a, b, round(weight, 6) AS weight, p.cluster AS cluster_a, q.cluster AS cluster_b FROM {_NET} JOIN g p ON p.gene = a JOIN g q ON q.gene = b""")
+def gene_network(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as genes whose clusters are regions (one is blank), linked by their orders; nodes and edges of the network in one table."""
+    o = t(spark, d, "orders")
+    j = o.join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+
+    def name(c: str) -> F.Column:
+        return F.concat(F.lit("N"), F.col(c).cast("string"))
+
+    raw = j.groupBy(name("c_nationkey").alias("source"), name("s_nationkey").alias("target")).agg((F.count("*") / 10.0).alias("combined_score"))
+    of = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    genes = of.select(name("n_nationkey").alias("Gene"), F.when(F.col("n_regionkey") == 0, " ").otherwise(F.col("r_name")).alias("Functional_Cluster"))
+    nodes, edges = tables.build_gene_network(raw, genes)
+    for end in ("a", "b"):
+        edges = edges.join(nodes.select(F.col("gene").alias(end), F.col("functional_cluster").alias(f"cluster_{end}")), end)
+    return edges.select("a", "b", F.round("weight", 6).alias("weight"), "cluster_a", "cluster_b")
+
+
 @query(f"SELECT n_nationkey, coalesce(k, 0) AS degree, round(coalesce(k, 0) / ((SELECT count(*) FROM nation) - 1), 6) AS centrality FROM nation LEFT JOIN (SELECT v, count(*) AS k FROM (SELECT a AS v FROM {EDGES} UNION ALL SELECT b FROM {EDGES}) GROUP BY 1) ON v = n_nationkey")
 def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
     return quality.degree_centrality(_edges(spark, d), t(spark, d, "nation"), "n_nationkey").withColumn("centrality", F.round("centrality", 6))

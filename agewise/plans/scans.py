@@ -94,3 +94,44 @@ def sink_commented_csv(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "report")
     sinks.sink_commented_csv(counts.select(F.lit("A").alias("label"), "note", "n"), path, "counts of customers")
     return readers.scan_commented_csv(spark, path, "label string, note string, n long")
+
+
+_PARTS = "part, range(1, 5) r(k)"
+
+
+@query(f"SELECT 'cg' || p_partkey AS probe, (k - 1)::INTEGER AS sample_no, CASE WHEN p_partkey % 7 <> 0 OR k <> 2 THEN (p_size * k)::DOUBLE / 1000 END AS beta FROM {_PARTS}")
+def scan_geo_series_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """``part`` as the table of a series matrix, with quoted ids and a value that is no number."""
+    key = F.col("p_partkey")
+    cells = [F.when((key % 7 == 0) & F.lit(k == 2), "null").otherwise(F.concat((F.col("p_size") * k).cast("string"), F.lit("e-3"))) for k in range(1, 5)]
+    rows = t(spark, d, "part").select(F.concat_ws("\t", F.format_string('"cg%d"', key), *cells).alias("value"))
+    heads = ("!Series_title\t\"x\"", "!Sample_geo_accession\t\"GSM1\"", "!series_matrix_table_begin", '"ID_REF"\t"GSM1"', "!series_matrix_table_end")
+    path = shared_path(spark, "matrix")
+    rows.unionByName(spark.createDataFrame([(h,) for h in heads], "value string")).write.text(path)
+    return readers.scan_geo_series_matrix(spark, path).drop("file")
+
+
+@query("SELECT 'GSM' || c_custkey AS gsm, (CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 50 WHEN c_custkey % 3 <> 0 THEN c_custkey % 90 END)::DOUBLE AS age FROM customer")
+def geo_sample_ages(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand customers a file as its samples; the second line of characteristics overrules the first."""
+    key = F.col("c_custkey")
+    first = F.when(key % 3 != 0, F.concat(F.lit("age: "), (key % 90).cast("string"))).otherwise("tissue: blood")
+    second = F.when(key % 5 == 0, F.concat(F.lit("Age (y)="), (key % 50).cast("string"))).otherwise("sex: f")
+    fields = (("!Sample_geo_accession", F.format_string("GSM%d", key)), ("!Sample_characteristics_ch1", first), ("!Sample_characteristics_ch1", second))
+    each = t(spark, d, "customer").select(F.floor(key / 1000).alias("series"), F.posexplode(F.array(*[F.struct(F.lit(f).alias("f"), key.alias("k"), F.concat(F.lit('"'), v, F.lit('"')).alias("v")) for f, v in fields])).alias("n", "c"))
+    line = F.concat_ws("\t", F.min("c.f"), F.transform(F.sort_array(F.collect_list(F.struct("c.k", "c.v"))), lambda x: x["v"]))
+    path = shared_path(spark, "series")
+    lines = each.groupBy("series", "n").agg(line.alias("value")).repartition("series").sortWithinPartitions("series", "n")
+    lines.select("series", "value").write.partitionBy("series").text(path)
+    return readers.geo_sample_ages(readers.scan_geo_sample_rows(spark, path + "/*")).select("gsm", "age")
+
+
+@query("SELECT 'cg' || p_partkey AS cpg, (p_size - 25)::DOUBLE / 8 AS coef FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT NULL, 0.5")
+def scan_clock_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """``part`` as a clock with a note, a header and an intercept; one in eleven weights is blank, and the reader leaves those out."""
+    key = F.col("p_partkey")
+    weight = F.when(key % 11 != 0, ((F.col("p_size") - 25) / 8).cast("string")).otherwise("")
+    rows = t(spark, d, "part").select(F.format_string('"cg%d",x,%s', key, weight).alias("value"))
+    path = shared_path(spark, "clock")
+    rows.unionByName(spark.sql("SELECT explode(array('# a clock', 'CpGmarker,Note,CoefficientTraining', '(Intercept),x,0.5')) AS value")).write.text(path)
+    return readers.scan_clock_coefficients(spark, path)
