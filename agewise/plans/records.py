@@ -241,3 +241,34 @@ def record_labels(spark: SparkSession, d: str) -> DataFrame:
         nz.format_consequence_label(F.when(kind == "view", "missense_variant").otherwise(F.concat(kind, F.lit("_thing_variant")))).alias("label"), F.round("size", 6).alias("size"), count.alias("n_samples"),
         F.from_json("props", "k int")["k"].alias("k"),
     )
+
+
+@query("""SELECT doc_id, (doc_id % 80)::DOUBLE AS predicted_age, CASE WHEN doc_id % 9 <> 0 THEN (n_chars % 90)::DOUBLE + 0.5 END AS chronological_age,
+ CASE WHEN doc_id % 9 <> 0 THEN doc_id % 80 - (n_chars % 90 + 0.5) END::DOUBLE AS age_acceleration FROM (SELECT doc_id, length(text) AS n_chars FROM documents WHERE text IS NOT NULL)""")
+def age_acceleration(spark: SparkSession, d: str) -> DataFrame:
+    """Ages that come as text under another name, some of them no number."""
+    n = F.char_length("text") % 90
+    age = F.when(F.col("doc_id") % 9 == 0, "unknown").otherwise(F.concat(F.lit(" "), n.cast("string"), F.lit(".5 ")))
+    rows = t(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", (F.col("doc_id") % 80).cast("double").alias("predicted_age"), age.alias("Age"))
+    return nz.age_acceleration(nz.normalize_age(rows))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 0 ELSE l_quantity::DOUBLE END AS ref_score, CASE WHEN l_linenumber <= 5 THEN -l_discount::DOUBLE ELSE 0 END::DOUBLE AS alt_score FROM lineitem")
+def parse_track_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Dumps with a mean, with values only, and without either."""
+    n, q, x = F.col("l_linenumber"), F.col("l_quantity").cast("double").cast("string"), (-F.col("l_discount").cast("double")).cast("string")
+    ref = F.when(n == 1, "reference=none ").when(n % 2 == 0, F.concat(F.lit("nonzero_mean: "), q, F.lit(" "))).otherwise(F.concat(F.lit("values=array([[ "), q, F.lit(", 9]]) ")))
+    alt = F.when(n <= 3, F.concat(F.lit("alternate='nonzero_mean' = "), x)).when(n <= 5, F.concat(F.lit("alternate=values=array([["), x, F.lit("]])"))).otherwise("")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", nz.parse_track_scores(F.concat(ref, alt)).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+
+
+@query("""SELECT doc_id, CASE WHEN length(s) > 2000 THEN substr(s, 1, 2000) || '...' ELSE s END AS description,
+ CASE doc_id % 3 WHEN 0 THEN 'https://www.ncbi.nlm.nih.gov/sra/SRX' || doc_id WHEN 1 THEN 'https://www.ncbi.nlm.nih.gov/sra/?term=' || doc_id ELSE '' END AS link
+FROM (SELECT doc_id, trim(coalesce(nullif(text, ''), lang, ''), ' ') AS s FROM documents)""")
+def record_link(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as records: the text as abstract, the language as title, ids as accessions or uids."""
+    key, r = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    accession = F.when(r == 0, F.concat(F.lit(" SRX"), key)).when(r == 1, key)
+    none = F.lit(None).cast("string")
+    described = nz.coalesce_description(F.lit(""), F.col("text"), none, F.col("lang"))
+    return t(spark, d, "documents").select("doc_id", described.alias("description"), nz.record_link(accession, F.when(r == 1, key)).alias("link"))
