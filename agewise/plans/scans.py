@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agewise.functions.lineage import shared_path
 from agewise.plans.bindings import query, t
-from agewise.sources import readers, sinks
+from agewise.sources import readers, sinks, vcf
 
 _SAMPLES = 4
 _CALLS = ("0/0", "0|1", "1/1", "./1")
@@ -42,6 +42,25 @@ def scan_vcf_by_chromosome(spark: SparkSession, d: str) -> DataFrame:
     return readers.scan_vcf_by_chromosome(spark, _vcf(spark, d) + "/*", ["7", "22"])
 
 
+@query("""
+SELECT 'S' || k AS eid, l_orderkey || '.' || l_linenumber AS rsid, 'chr' || (l_suppkey % 22 + 1) AS chrom, l_orderkey AS pos, 'A' AS ref, 'T' AS alt,
+  CASE (l_partkey + k) % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS alt_dosage
+FROM lineitem, range(1, 4) r(k) WHERE l_suppkey % 22 + 1 IN (7, 21)
+""")
+def scan_vcf_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """``lineitem`` as block-compressed VCF in chromosome order, of which two chromosomes are read."""
+    calls = F.array(*map(F.lit, _CALLS))
+    rows = t(spark, d, "lineitem").withColumn("chrom", F.format_string("chr%d", F.col("l_suppkey") % 22 + 1))
+    cells = [F.concat(F.get(calls, ((F.col("l_partkey") + k) % 4).cast("int")), F.lit(":"), F.col("l_quantity").cast("int").cast("string")) for k in range(1, 4)]
+    name = F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    text = F.concat_ws("\t", "chrom", F.col("l_orderkey").cast("string"), name, *map(F.lit, ("A", "T", ".", "PASS", ".", "GT:DP")), *cells)
+    lines = rows.select("chrom", "l_orderkey", text.alias("value")).repartitionByRange("chrom", "l_orderkey").sortWithinPartitions("chrom", "l_orderkey")
+    names = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "S1", "S2", "S3"])
+    path = shared_path(spark, "vcf")
+    vcf.sink_vcf_blocks(lines, "##fileformat=VCFv4.2\n" + names, path)
+    return vcf.scan_vcf_blocks(spark, path, ["7", "21"], grouped=True)
+
+
 @query("SELECT c_custkey::VARCHAR AS eid, c_name AS name, c_acctbal::DOUBLE AS balance FROM customer")
 def scan_table(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "table") + ".csv"

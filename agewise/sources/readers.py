@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from agewise.functions import normalize as nz
 from agewise.functions.annotate import VARIANT, filled
+from agewise.sources.vcf import scan_vcf_blocks
 
 BEDMETHYL = "chrom string, start long, end long, name string, score double, strand string, coverage long, percent double, methylated long, unmethylated long"
 
@@ -80,8 +81,11 @@ def scan_vcf_genotypes(spark: SparkSession, path: str, chromosomes: Sequence[str
 
     A missing id becomes chrom:pos. Calls are read from the first field of a sample: 0/0 is 0, 0/1 and 1/0 are 1, 1/1 and
     1/2 are 2, one with an uncalled allele (./1) is null. Files may have different samples: each line takes the header of its
-    own file. ``chromosomes`` keeps lines of these labels only, told by their first field before a line is split.
+    own file. ``chromosomes`` keeps lines of these labels only, told by their first field before a line is split. Compressed files (.gz, .bgz)
+    are read by :func:`agewise.sources.vcf.scan_vcf_blocks`.
     """
+    if path.lower().endswith((".gz", ".bgz")):
+        return scan_vcf_blocks(spark, path, chromosomes)
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     contig = F.substring_index("value", "\t", 1)
     body = _body(lines)
