@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from agewise.functions import normalize as nz
 from agewise.functions import scores, stats
 from agewise.operators import assoc, eqtl, methyl
-from agewise.plans import bindings, records, rollups, scans, training  # noqa: F401  (these register their queries)
+from agewise.plans import bindings, files, records, rollups, scans, training  # noqa: F401  (these register their queries)
 
 SF = "/root/testdata/sf0.001"
 
