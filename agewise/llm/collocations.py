@@ -17,18 +17,21 @@ from agewise.llm.common import LOWER, UPPER, materialise, need
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A byte that no UTF-8 text holds stands for the end of a piece.
 BREAK = b"\xff"
-#: Bytes of a text that are split at a time, words of a stored chunk, and words whose vocabulary is held together.
-SLICE_BYTES, CHUNK_WORDS, BLOCK_WORDS = 1 << 20, 1 << 17, 3 << 20
+#: Bytes of a text that are split at a time, words of a stored chunk, chunks handed over at a time, and words whose vocabulary is held together.
+#: A chunk's row takes 32 KB (a longer text is one chunk), far below what the JVM's heap keeps in regions of its own.
+SLICE_BYTES, CHUNK_WORDS, CHUNKS, BLOCK_WORDS = 1 << 20, 1 << 13, 16, 1 << 20
 #: Buckets of hashed pairs, and buckets of a row of their bitmap: 2 MB in all at any size of the corpus.
 BUCKETS, ROW_BUCKETS = 1 << 24, 1 << 16
 #: Where a task's count of a bucket stops; a sum with such a part is frequent for any least count up to it.
 MOST = (1 << 16) - 1
 #: Places whose hashes or phrases are made distinct together before they leave a task.
-PLACES = 1 << 20
+PLACES = 1 << 19
 #: Words of a vocabulary that are handed over at a time.
-VOCABULARY_ROWS = 50_000
+VOCABULARY_ROWS = 20_000
 #: States of a trie with so many children at most are placed together.
 NARROW = 3
+#: Neighbouring bases that are tried for a wide state before its trie's array grows.
+BASES = 1 << 10
 #: Parts of a trie's counts, which tasks sum apart.
 SLICES = 16
 #: Words of one task when words are numbered.
@@ -76,18 +79,23 @@ def _encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks of texts as local numbers of words (0 at the end of a piece and of a text), and each block's vocabulary with its counts."""
     block = TaskContext.get().partitionId() << 32
     langs: dict[str, _Ids] = {}
-    counter, held, size, in_block = [0], [], 0, 0
+    counter, held, chunks, size, in_block = [0], [], [], 0, 0
     total = np.zeros(1, np.int64)
 
-    def chunk() -> pd.DataFrame:
-        nonlocal size, total
-        tokens = np.concatenate([np.zeros(1, np.int32), *held])
-        found = np.bincount(tokens, minlength=counter[0] + 1)
-        found[: len(total)] += total
-        total = found
+    def chunk() -> None:
+        nonlocal size
+        chunks.append(np.concatenate([np.zeros(1, np.int32), *held]))
         held.clear()
         size = 0
-        return pd.DataFrame({"block": [block], "tokens": [tokens.tobytes()], "local": None, "lang": None, "word": None, "n": None})
+
+    def tokens() -> pd.DataFrame:
+        nonlocal total
+        found = np.bincount(np.concatenate(chunks), minlength=counter[0] + 1)
+        found[: len(total)] += total
+        total = found
+        rows = pd.DataFrame({"block": block, "tokens": [x.tobytes() for x in chunks], "local": None, "lang": None, "word": None, "n": None})
+        chunks.clear()
+        return rows
 
     def vocabulary() -> Iterator[pd.DataFrame]:
         nonlocal total
@@ -113,12 +121,16 @@ def _encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 in_block += len(words)
             held.append(end)
             if size >= CHUNK_WORDS:
-                yield chunk()
+                chunk()
+                if len(chunks) >= CHUNKS or in_block >= BLOCK_WORDS:
+                    yield tokens()
                 if in_block >= BLOCK_WORDS:
                     yield from vocabulary()
                     block, in_block = block + 1, 0
     if held:
-        yield chunk()
+        chunk()
+    if chunks:
+        yield tokens()
     yield from vocabulary()
 
 
@@ -126,10 +138,10 @@ def _renumber(chunks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """One block's chunks in global numbers; rare words are 0, and of several 0 in a row one stays."""
     out = []
     local, number = known["local"].to_numpy(np.int64), known["id"].to_numpy(np.int32)
-    for blob in chunks["tokens"]:
-        tokens = np.frombuffer(blob, np.int32)
-        to = np.zeros(max(int(tokens.max()), int(local.max()) if len(local) else 0) + 1, np.int32)
-        to[local] = number
+    blobs = [np.frombuffer(blob, np.int32) for blob in chunks["tokens"]]
+    to = np.zeros(max([int(x.max()) for x in [local, *blobs] if len(x)], default=0) + 1, np.int32)
+    to[local] = number
+    for tokens in blobs:
         ids = to[tokens]
         out.append(ids[(ids > 0) | np.r_[True, ids[:-1] > 0]].tobytes())
     return pd.DataFrame({"tokens": out})
@@ -219,15 +231,18 @@ class DoubleArray:
         return slots
 
     def _fit(self, own: np.ndarray) -> int:
-        """A base at which all of a wide state's children have free slots, sought in growing windows at random places of a growing array."""
-        window, reach = 32, len(self.used) - self.width
+        """A base at which all of a wide state's children have free slots, sought among neighbours at random places of a slowly growing array."""
+        reach = len(self.used) - self.width
         while True:
-            at = int(self.rng.integers(0, reach))
-            self._grow(at + window + self.width + 1)
-            free = ~self.used[np.arange(at, at + window)[:, None] + own].any(axis=1)
-            if free.any():
-                return at + int(free.argmax())
-            window, reach = min(2 * window, max(32, 200_000 // len(own))), reach + reach // 8
+            at = int(self.rng.integers(0, reach)) + np.arange(BASES)
+            self._grow(int(at[-1]) + self.width + 1)
+            k, more = 0, 4
+            while k < len(own) and len(at):  # the first few children rule out most bases
+                at = at[~self.used[at[:, None] + own[k : k + more]].any(axis=1)]
+                k, more = k + more, 2 * more
+            if len(at):
+                return int(at[0])
+            reach += reach // 16 + 1
 
     def walk(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, phrases): all places of a text where a phrase begins, and which. The states of all places go a level at a time."""
@@ -254,15 +269,22 @@ def _phrase(parts: list[Column]) -> Column:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession, rows: int = 16) -> Iterator[None]:
-    """Few rows a batch to and from Python, as a row holds a chunk or a text; for jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def _small_batches(spark: SparkSession, rows: int = 32) -> Iterator[None]:
+    """Few rows a batch to and from Python, and from files, as a row holds a chunk or a text; for jobs that run inside."""
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.parquet.columnarReaderBatchSize": 4 * rows}
+    before = {key: spark.conf.get(key) for key in sizes}
     try:
+        for key, size in sizes.items():
+            spark.conf.set(key, size)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, size in before.items():
+            spark.conf.set(key, size)
+
+
+def _joined(chunks: pd.Series) -> np.ndarray:
+    """A batch's chunks as one text: each begins and ends with 0."""
+    return np.frombuffer(b"".join(chunks), np.int32)
 
 
 class PhraseCounts:
@@ -270,7 +292,7 @@ class PhraseCounts:
 
     def __init__(self, docs: DataFrame, min_count: int, trie_phrases: int):
         self.spark, self.min_count, self.trie_phrases = docs.sparkSession, min_count, trie_phrases
-        with _small_batches(self.spark, 1000):
+        with _small_batches(self.spark, 250):
             held = materialise(docs.mapInPandas(_encode, ENCODED), "encoded")
         words = held.where(F.col("word").isNotNull()).select("block", "local", "lang", "word", "n")
         self.sizes = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
@@ -312,19 +334,18 @@ class PhraseCounts:
                 for k in range(1, trie.length):
                     hashes = _mixed(hashes, trie.phrases[:, k])
             for part in parts:
-                for blob in part["tokens"]:
-                    ids = np.frombuffer(blob, np.int32)
-                    if trie is None:
-                        at = np.flatnonzero(ids)
-                        which = ids[at]
-                    else:
-                        at, which = trie.walk(ids)
-                    after = np.r_[ids, 0][at + (1 if trie is None else trie.length)]
-                    if not (after > 0).any():
-                        continue
-                    held.append((which[after > 0], after[after > 0]))
-                    if sum(len(x) for x, _ in held) >= PLACES:
-                        yield joined()
+                ids = _joined(part["tokens"])
+                if trie is None:
+                    at = np.flatnonzero(ids)
+                    which = ids[at]
+                else:
+                    at, which = trie.walk(ids)
+                after = np.r_[ids, 0][at + (1 if trie is None else trie.length)]
+                if not (after > 0).any():
+                    continue
+                held.append((which[after > 0], after[after > 0]))
+                if sum(len(x) for x, _ in held) >= PLACES:
+                    yield joined()
             if held:
                 yield joined()
 
@@ -412,8 +433,7 @@ class PhraseCounts:
                 trie = shared.value
                 total = np.zeros(len(trie.phrases), np.int64)
                 for part in parts:
-                    for blob in part["tokens"]:
-                        total += np.bincount(trie.walk(np.frombuffer(blob, np.int32))[1], minlength=len(total))
+                    total += np.bincount(trie.walk(_joined(part["tokens"]))[1], minlength=len(total))
                 yield pd.DataFrame({"slice": range(SLICES), "n": [x.tobytes() for x in np.split(total, slices[1:-1])]})
 
             def summed(parts: Iterator[pd.DataFrame], shared=shared, slices=slices) -> Iterator[pd.DataFrame]:

@@ -91,3 +91,26 @@ def test_double_array_equals_a_set(seed, n, words, length):
     want = [(i, rows[w]) for i in range(len(text) - length + 1) if (w := tuple(text[i : i + length].tolist())) in rows]
     assert list(zip(at.tolist(), which.tolist(), strict=True)) == want
     assert len(trie.walk(np.zeros(0, np.int32))[0]) == 0
+
+
+def test_tries_are_dense():
+    """Wide states of many words: some 21 slots a phrase here, 54 before."""
+    rng = np.random.default_rng(7)
+    ids = (rng.pareto(0.7, (400_000, 2)) * 20).astype(np.int64)
+    scattered = rng.permutation(60_000).astype(np.int32) + 1
+    phrases = np.unique(scattered[ids[(ids < 60_000).all(axis=1)]], axis=0)
+    trie = col.DoubleArray(phrases)
+    assert len(phrases) > 100_000 and len(trie.base) < 30 * len(phrases)
+    rows = rng.permutation(len(phrases))[:2000]
+    at, which = trie.walk(np.c_[np.zeros(2000, np.int32), phrases[rows]].ravel())
+    assert which.tolist() == rows.tolist() and at.tolist() == list(range(1, 6000, 3))
+
+
+def test_rows_of_encoded_texts_are_small(spark):
+    """Many short texts: no row holds more than some 8,192 words and a text; before, 131,072."""
+    words = [f"w{k % 97}" for k in range(500)]
+    docs = spark.range(200, numPartitions=1).selectExpr("'en' lang", f"'{' '.join(words)}' text")
+    counts = col.PhraseCounts(docs, 30, 1000)
+    sizes = [len(r["tokens"]) for r in counts.texts.collect()]
+    assert max(sizes) <= 4 * (8192 + 502) and sum(sizes) >= 4 * 200 * 500
+    assert sorted((r["word"], r["n"]) for r in counts.vocabulary.collect()) == sorted((w, 200 * words.count(w)) for w in set(words))
