@@ -173,13 +173,14 @@ def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by:
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *keys: str) -> DataFrame:
     """``q``: adjusted over all rows with a p, null for the others. Equal p get one q, so no order of ties (``keys``) counts. The
     rows, which hold results of tests, are written once, so that no test is worked out twice. The join back has one row for each
-    different p, so tasks of a p that very many rows share can be split."""
+    different p, so tasks of a p that very many rows share can be split. Minima run down from the largest p: over a frame that ends at
+    the last row, Spark goes through all the rest anew for each row."""
     df = settle(df, "tests")
     ranked = cumulative_counts(df.select(p), p).withColumn("raw", F.col(p) * F.col("total") / F.col("cum"))
     ranked = settle(ranked, "ranked")
     lows = ranked.groupBy("__range").agg(F.min("raw").alias("low"))
-    later = lows.select("__range", F.min("low").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    rest = Window.partitionBy("__range").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+    later = lows.select("__range", F.min("low").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    rest = Window.partitionBy("__range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     done = ranked.withColumn("own", F.min("raw").over(rest)).join(later, "__range")
     return df.join(done.select(p, F.least(F.lit(1.0), "own", "later").alias(q)), p, "left").select(*df.columns, q)
 

@@ -32,6 +32,17 @@ def test_counts_of_values_in_a_narrow_range(spark):
             assert got[g, v] == (own.count(v), np.searchsorted(own, v, "right"), len(own))
 
 
+def test_adjusted_p_run_down_once(spark):
+    df = spark.range(20_000).select("id", (1 - F.pmod(F.xxhash64("id"), F.lit(9000)) / 1e9).alias("p"))
+    found = stats.benjamini_hochberg(df, "p", "q")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()  # such a frame takes the square of a range's rows
+    rows = found.collect()
+    ps = np.array([r["p"] for r in rows])
+    values, counts = np.unique(ps, return_counts=True)
+    low = np.minimum.accumulate((values * len(ps) / counts.cumsum())[::-1])[::-1]
+    assert len(rows) == 20_000 and [r["q"] for r in rows] == pytest.approx(np.minimum(low, 1)[np.searchsorted(values, ps)].tolist(), rel=1e-12)
+
+
 def test_intervals_of_all_lengths(spark):
     rng = random.Random(2)
 
