@@ -1,4 +1,4 @@
-"""Phrase mining: level by level, candidates in double-array tries are counted over all places of the encoded texts at once."""
+"""Phrase mining: level by level, frequent phrases in double-array tries are walked from all places of the encoded texts at once, and the words after them counted."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +20,18 @@ BREAK = b"\xff"
 #: Bytes of a text that are split at a time, words of a stored chunk, chunks handed over at a time, and words whose vocabulary is held together.
 #: A chunk's row takes 32 KB (a longer text is one chunk), far below what the JVM's heap keeps in regions of its own.
 SLICE_BYTES, CHUNK_WORDS, CHUNKS, BLOCK_WORDS = 1 << 20, 1 << 13, 16, 1 << 20
-#: Buckets of hashed pairs, and buckets of a row of their bitmap: 2 MB in all at any size of the corpus.
-BUCKETS, ROW_BUCKETS = 1 << 24, 1 << 16
-#: Where a task's count of a bucket stops; a sum with such a part is frequent for any least count up to it.
-MOST = (1 << 16) - 1
-#: Places whose hashes or phrases are made distinct together before they leave a task.
-PLACES = 1 << 19
+#: Buckets of the bitmap of frequent phrases: so many a phrase, within these bounds (2 to 32 MB in all), and those of a row of it.
+PHRASE_BUCKETS, LEAST_BUCKETS, MOST_BUCKETS, ROW_BUCKETS = 16, 1 << 24, 1 << 28, 1 << 16
+#: Places whose phrases are counted together before they leave a task, and counts of a share that are held before they are summed.
+PLACES, HELD = 1 << 20, 1 << 16
+#: Tries that one pass over the texts walks; a worker holds these, the driver one.
+TRIES = 3
 #: Words of a vocabulary that are handed over at a time.
 VOCABULARY_ROWS = 20_000
 #: States of a trie with so many children at most are placed together.
 NARROW = 3
 #: Neighbouring bases that are tried for a wide state before its trie's array grows.
 BASES = 1 << 10
-#: Parts of a trie's counts, which tasks sum apart.
-SLICES = 16
 #: Words of one task when words are numbered.
 NUMBERED = 100_000
 
@@ -153,8 +151,20 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (_mixed(a, b) >> np.uint64(40)).astype(np.int64) % BUCKETS
+def _bucket(words: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Buckets (a power of two) of phrases whose words of each place are given."""
+    h = words[0].astype(np.uint64)
+    for w in words[1:]:
+        h = _mixed(h, w)
+    return (h >> np.uint64(32)).astype(np.int64) & (buckets - 1)
+
+
+def _summed(packed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers, ascending, and the sums of their counts."""
+    order = np.argsort(packed, kind="stable")
+    packed = packed[order]
+    start = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
+    return packed[start], np.add.reduceat(n[order], start, dtype=np.int64)
 
 
 class DoubleArray:
@@ -190,6 +200,10 @@ class DoubleArray:
         self.base, self.check = self.base[:size].copy(), self.check[:size].copy()
         self.accept = np.full(size, -1, np.int32)
         self.accept[at] = order
+        self.codes = np.zeros(int(self.alphabet[-1]) + 2, np.int32)  # the last is that of all greater words
+        self.codes[self.alphabet] = np.arange(1, self.width)
+        to = self.base[0] + self.codes
+        self.begins = (self.codes > 0) & (self.check[to] == 0)
         del self.used, self.rng
 
     def _grow(self, size: int) -> None:
@@ -245,15 +259,13 @@ class DoubleArray:
             reach += reach // 16 + 1
 
     def walk(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, phrases): all places of a text where a phrase begins, and which. The states of all places go a level at a time."""
-        place = np.searchsorted(self.alphabet, ids)
-        place[place == len(self.alphabet)] = 0
-        codes = np.where(self.alphabet[place] == ids, place + 1, 0)
-        codes = np.r_[codes, np.zeros(self.length, codes.dtype)]
-        at = np.flatnonzero(codes)
+        """(places, phrases): all places of a text where a phrase begins, and which. The states of all places go a level at a time, from those
+        whose word begins a phrase of this trie."""
+        ids = np.minimum(np.r_[ids, np.zeros(self.length, np.int32)], len(self.codes) - 1)
+        at = np.flatnonzero(self.begins[ids])
         state = np.zeros(len(at), np.int64)
         for d in range(self.length):
-            symbol = codes[at + d]
+            symbol = self.codes[ids[at + d]]
             to = self.base[state] + symbol
             ok = (symbol > 0) & (self.check[to] == state)
             at, state = at[ok], to[ok]
@@ -314,153 +326,138 @@ class PhraseCounts:
     def _over_texts(self, work, schema: str) -> DataFrame:
         return self.texts.mapInPandas(work, schema)
 
-    def _grown(self, trie: DoubleArray | None) -> DataFrame:
-        """(p): phrases that texts hold and whose first words are a phrase of ``trie``, or any known word; only those that may be frequent,
-        because the bucket that the phrase's hash shares with others is."""
-        shared = self.spark.sparkContext.broadcast(trie)
-
-        def places(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            """For every place where a phrase goes on: the phrase's row (or the word), a hash of it, and the next word; some ``PLACES`` at a time."""
-            trie = shared.value
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                which, after = (np.concatenate(x) for x in zip(*held, strict=True))
-                held.clear()
-                return which, which if trie is None else hashes[which], after
-
-            if trie is not None:
-                hashes = trie.phrases[:, 0].astype(np.uint64)
-                for k in range(1, trie.length):
-                    hashes = _mixed(hashes, trie.phrases[:, k])
+    def _bitmap(self, phrases: DataFrame) -> np.ndarray:
+        """A bit for each bucket of words' hashes; those of the frequent ``phrases`` are 1."""
+        buckets = LEAST_BUCKETS
+        while buckets < min(PHRASE_BUCKETS * phrases.count(), MOST_BUCKETS):
+            buckets *= 2
+
+        def places(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                ids = _joined(part["tokens"])
-                if trie is None:
-                    at = np.flatnonzero(ids)
-                    which = ids[at]
-                else:
-                    at, which = trie.walk(ids)
-                after = np.r_[ids, 0][at + (1 if trie is None else trie.length)]
-                if not (after > 0).any():
-                    continue
-                held.append((which[after > 0], after[after > 0]))
-                if sum(len(x) for x, _ in held) >= PLACES:
-                    yield joined()
-            if held:
-                yield joined()
-
-        def buckets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Rows of buckets that are not 0, each in the order of its row, and their counts, which stop at ``MOST``."""
-            for _, h, after in places(parts):
-                found, n = np.unique(_bucket(h, after), return_counts=True)
-                row, start = np.unique(found // ROW_BUCKETS, return_index=True)
-                place, n = np.split((found % ROW_BUCKETS).astype(np.uint16), start[1:]), np.split(np.minimum(n, MOST).astype(np.uint16), start[1:])
-                yield pd.DataFrame({"row": row.astype(np.int32), "place": [x.tobytes() for x in place], "n": [x.tobytes() for x in n]})
-
-        least = min(self.min_count, MOST)
+                if len(part):
+                    found = np.unique(_bucket(list(np.stack(part["p"]).T), buckets))
+                    row, start = np.unique(found // ROW_BUCKETS, return_index=True)
+                    yield pd.DataFrame({"row": row.astype(np.int32), "place": [x.tobytes() for x in np.split((found % ROW_BUCKETS).astype(np.uint16), start[1:])]})
 
         def bits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Sums of the rows of one task, held as numbers whatever comes in."""
-            sums: dict[int, np.ndarray] = {}
+            rows: dict[int, np.ndarray] = {}
             for part in parts:
-                for row, place, n in zip(part["row"], part["place"], part["n"], strict=True):
-                    held = sums.setdefault(row, np.zeros(ROW_BUCKETS, np.int64))
-                    held[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint16)
-            for row, held in sums.items():
-                yield pd.DataFrame({"row": [row], "bits": [np.packbits(held >= least).tobytes()]})
-
-        rows = self._over_texts(buckets, "row int, place binary, n binary").repartition("row").mapInPandas(bits, "row int, bits binary")
-        bitmap = np.zeros(BUCKETS // 8, np.uint8)
-        for r in rows.collect():  # BUCKETS bits at most
+                for row, place in zip(part["row"], part["place"], strict=True):
+                    rows.setdefault(row, np.zeros(ROW_BUCKETS, bool))[np.frombuffer(place, np.uint16)] = True
+            for row, held in rows.items():
+                yield pd.DataFrame({"row": [row], "bits": [np.packbits(held).tobytes()]})
+
+        with _small_batches(self.spark, 10_000):
+            rows = phrases.select("p").mapInPandas(places, "row int, place binary").repartition("row").mapInPandas(bits, "row int, bits binary").collect()
+        bitmap = np.zeros(buckets // 8, np.uint8)
+        for r in rows:  # MOST_BUCKETS bits at most
             bitmap[r["row"] * ROW_BUCKETS // 8 : (r["row"] + 1) * ROW_BUCKETS // 8] = np.frombuffer(r["bits"], np.uint8)
-        kept = self.spark.sparkContext.broadcast(bitmap)
+        return bitmap
 
+    def _grown(self, tries: list[Broadcast], kept: Broadcast | None) -> DataFrame:
+        """(p, n): the frequent ones among the phrases that are a phrase of ``tries``, or any known word if there is none, and one word more. All
+        are counted as they are met; left out before are those whose last words are surely not frequent, by the bitmap ``kept``."""
         shares = max(256, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-
-        def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Distinct (phrase's row, next word) as packed numbers, a row for each share of them."""
-            bitmap = kept.value
-            for which, h, after in places(parts):
-                b = _bucket(h, after)
+        least = self.min_count
+
+        def extended(ids: np.ndarray) -> Iterator[np.ndarray]:
+            """For every place where a phrase goes on, the phrase's row (or the word) and the next word as one number."""
+            if kept is None:
+                at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+                yield ids[at].astype(np.int64) << 32 | ids[at + 1]
+                return
+            bitmap, first = kept.value, 0
+            for trie in (t.value for t in tries):
+                at, which = trie.walk(ids)
+                after = ids[at + trie.length]  # a text ends with 0
+                ok = after > 0
+                at, which, after = at[ok], which[ok], after[ok]
+                b = _bucket([ids[at + d] for d in range(1, trie.length + 1)], 8 * len(bitmap))
                 ok = (bitmap[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
-                if not ok.any():
-                    continue
-                one = np.unique(which[ok].astype(np.int64) << 32 | after[ok].astype(np.int64))
+                yield which[ok].astype(np.int64) + first << 32 | after[ok]
+                first += len(trie.phrases)
+
+        def places(parts: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+            """These of some ``PLACES`` places at a time."""
+            held, size = [], 0
+            for part in parts:
+                for packed in extended(_joined(part["tokens"])):
+                    held.append(packed)
+                    size += len(packed)
+                if size >= PLACES:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+            if size:
+                yield np.concatenate(held)
+
+        def counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Different phrases of some places and their counts, a row for each share of them."""
+            for packed in places(parts):
+                one, n = np.unique(packed, return_counts=True)
                 share = (_mixed(one >> 32, one & 0xFFFFFFFF) >> np.uint64(32)).astype(np.int64) % shares
-                order = np.argsort(share, kind="stable")
+                order = np.argsort(share.astype(np.int32), kind="stable")
                 names, start = np.unique(share[order], return_index=True)
-                yield pd.DataFrame({"share": names.astype(np.int32), "packed": [x.tobytes() for x in np.split(one[order], start[1:])]})
+                parted = [[x.tobytes() for x in np.split(v[order], start[1:])] for v in (one, n.astype(np.int32))]
+                yield pd.DataFrame({"share": names.astype(np.int32), "packed": parted[0], "n": parted[1]})
+
+        def frequent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Sums over all tasks; what waits in a share is summed whenever it is as much as the sums are."""
+            sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+            def settled(share: int) -> tuple[np.ndarray, np.ndarray]:
+                held = [*([sums.pop(share)] if share in sums else []), *waiting.pop(share, [])]
+                return held[0] if len(held) == 1 else _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-        def distinct(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trie = shared.value
-            sets: dict[int, np.ndarray] = {}
             for part in parts:
-                for share, packed in zip(part["share"], part["packed"], strict=True):
-                    sets[share] = np.union1d(sets[share], np.frombuffer(packed, np.int64)) if share in sets else np.frombuffer(packed, np.int64)
-            for one in sets.values():
-                first, last = one >> 32, (one & 0xFFFFFFFF).astype(np.int32)
-                yield pd.DataFrame({"p": _lists(np.c_[first.astype(np.int32) if trie is None else trie.phrases[first], last])})
-
-        found = self._over_texts(candidates, "share int, packed binary").repartition("share").mapInPandas(distinct, "p array<int>")
-        found = materialise(found, "candidates")
-        shared.unpersist()
-        kept.unpersist()
+                for share, packed, n in zip(part["share"], part["packed"], part["n"], strict=True):
+                    own = waiting.setdefault(share, [])
+                    own.append((np.frombuffer(packed, np.int64), np.frombuffer(n, np.int32)))
+                    if sum(len(x) for x, _ in own) >= max(HELD, len(sums[share][0]) if share in sums else 0):
+                        sums[share] = settled(share)
+            phrases = np.concatenate([t.value.phrases for t in tries]) if tries else None
+            for share in sorted({*sums, *waiting}):
+                one, n = settled(share)
+                often = n >= least
+                one, n = one[often], n[often].astype(np.int64)
+                if len(one):
+                    first, last = one >> 32, (one & 0xFFFFFFFF).astype(np.int32)
+                    yield pd.DataFrame({"p": _lists(np.c_[first.astype(np.int32) if phrases is None else phrases[first], last]), "n": n})
+
+        found = self.texts.mapInPandas(counts, "share int, packed binary, n binary").repartition("share").mapInPandas(frequent, "p array<int>, n long")
+        found = materialise(found, "phrases")
+        for t in tries:
+            t.unpersist()
         return found
 
     def pairs(self) -> DataFrame:
-        """(p): candidates of two words: both are frequent."""
-        return self._grown(None)
+        """(p, n): the frequent phrases of two words."""
+        return self._grown([], None)
 
     def _tries(self, phrases: DataFrame) -> Iterator[DoubleArray]:
-        """All phrases in tries of some ``trie_phrases`` phrases each, one at a time."""
+        """All phrases in tries of some ``trie_phrases`` phrases each, one at a time. Phrases with one first word share a trie, so
+        that of all tries only one is walked from a place."""
         n = phrases.count()
         shards = -(-n // self.trie_phrases)
-        share = F.pmod(F.xxhash64("p"), F.lit(shards)) if shards > 1 else F.lit(0)
+        share = F.pmod(F.xxhash64(F.col("p")[0]), F.lit(shards)) if shards > 1 else F.lit(0)
         for k in range(shards):
             rows = phrases.where(share == k).select("p").toArrow()["p"].combine_chunks()  # some trie_phrases rows
             if len(rows):
                 yield DoubleArray(rows.flatten().to_numpy().reshape(len(rows), -1))
 
-    def counted(self, candidates: DataFrame) -> DataFrame:
-        """(p, n): the candidates that are frequent, counted by their tries."""
-        out, least = None, self.min_count
-        for trie in self._tries(candidates):
-            shared = self.spark.sparkContext.broadcast(trie)
-
-            slices = np.linspace(0, len(trie.phrases), SLICES + 1).astype(np.int64)
-
-            def count(parts: Iterator[pd.DataFrame], shared=shared, slices=slices) -> Iterator[pd.DataFrame]:
-                trie = shared.value
-                total = np.zeros(len(trie.phrases), np.int64)
-                for part in parts:
-                    total += np.bincount(trie.walk(_joined(part["tokens"]))[1], minlength=len(total))
-                yield pd.DataFrame({"slice": range(SLICES), "n": [x.tobytes() for x in np.split(total, slices[1:-1])]})
-
-            def summed(parts: Iterator[pd.DataFrame], shared=shared, slices=slices) -> Iterator[pd.DataFrame]:
-                sums: dict[int, np.ndarray] = {}
-                for part in parts:
-                    for k, n in zip(part["slice"], part["n"], strict=True):
-                        sums[k] = sums.get(k, 0) + np.frombuffer(n, np.int64)
-                for k, total in sums.items():
-                    often = np.flatnonzero(total >= least)
-                    yield pd.DataFrame({"p": _lists(shared.value.phrases[slices[k] + often]), "n": total[often]})
-
-            found = self._over_texts(count, "slice int, n binary").repartition("slice").mapInPandas(summed, "p array<int>, n long")
-            found = materialise(found, "phrases")
-            shared.unpersist()
-            out = found if out is None else out.unionByName(found)
-        return out if out is not None else self.spark.createDataFrame([], "p array<int>, n long")
-
     def longer(self, frequent: DataFrame) -> DataFrame:
-        """(p): candidates one word longer: both parts that lack an end are frequent."""
-        out = None
+        """(p, n): the frequent phrases of one word more than those of ``frequent``."""
+        sc = self.spark.sparkContext
+        kept, tries, found = sc.broadcast(self._bitmap(frequent)), [], self.spark.createDataFrame([], "p array<int>, n long")
         for trie in self._tries(frequent):
-            found = self._grown(trie)
-            out = found if out is None else out.unionByName(found)
-        if out is None:
-            return self.spark.createDataFrame([], "p array<int>")
-        tail = frequent.select(F.col("p").alias("tail"))
-        return materialise(out.withColumn("tail", F.slice("p", F.lit(2), F.size("p") - 1)).join(tail, "tail", "left_semi").select("p"), "candidates")
+            tries.append(sc.broadcast(trie))
+            del trie
+            if len(tries) == TRIES:
+                found, tries = found.unionByName(self._grown(tries, kept)), []
+        if tries:
+            found = found.unionByName(self._grown(tries, kept))
+        kept.unpersist()
+        return found
 
 
 def _wide(c: Column | str) -> Column:
@@ -486,9 +483,10 @@ def collocations(
     floor(scale * a / (l + r)), exactly; the lowest cut counts, the earliest of equals. A phrase is dropped if a longer one that holds its
     words has at least 80 of 100 of its count. n is the number of words of the language.
 
-    Words are numbered once, and texts stored as numbers. At each length, candidates are those phrases of the texts whose two parts
-    are frequent, as is a bucket of their hash; they are put into double-array tries of some ``trie_phrases`` phrases, broadcast
-    one at a time, and all places of the texts walk a trie together. Tasks' counts are summed.
+    Words are numbered once, and texts stored as numbers. At each length, the frequent phrases of the last are put into double-array tries of some
+    ``trie_phrases`` phrases, broadcast a few at a time; all places of the texts walk a trie together, and the words that come after its
+    phrases are counted there, if the longer phrase's last words are frequent too. Tasks' counts are summed, so candidates need no pass of
+    their own, and each place is walked in one trie only.
 
     A null text is empty and a null language ``und``; a language without frequent phrases has no rows, nor has an empty table.
     Equal scores go by count, then phrase (bytes). Repeated rows count each; other columns are not read. Words are told apart exactly.
@@ -497,9 +495,9 @@ def collocations(
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = PhraseCounts(rows, min_count, trie_phrases)
     with _small_batches(counts.spark):
-        levels = [counts.counted(counts.pairs())]
+        levels = [counts.pairs()]
         while len(levels) + 1 < max_words:
-            levels.append(counts.counted(counts.longer(levels[-1])))
+            levels.append(counts.longer(levels[-1]))
     phrases = levels[0]
     for level in levels[1:]:
         phrases = phrases.unionByName(level)

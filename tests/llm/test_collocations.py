@@ -114,3 +114,24 @@ def test_rows_of_encoded_texts_are_small(spark):
     sizes = [len(r["tokens"]) for r in counts.texts.collect()]
     assert max(sizes) <= 4 * (8192 + 502) and sum(sizes) >= 4 * 200 * 500
     assert sorted((r["word"], r["n"]) for r in counts.vocabulary.collect()) == sorted((w, 200 * words.count(w)) for w in set(words))
+
+
+def test_passes_over_texts_follow_frequent_phrases(spark, monkeypatch):
+    """Pairs are counted in one pass and longer phrases in one for three tries; before, every trie of candidates took one more."""
+    rows = corpus(3, 300)
+    written = []
+    plain = col.materialise
+
+    def noted(df, name):
+        written.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(col, "materialise", noted)
+    got = col.collocations(spark.createDataFrame(rows, DOC), min_count=8, trie_phrases=40)
+    assert sorted(tuple(r) for r in got.collect()) == mined(rows, 8, 2000)
+    counts = col.PhraseCounts(spark.createDataFrame(rows, DOC).selectExpr("coalesce(lang, 'und') lang", "coalesce(text, '') text"), 8, 40)
+    pairs = counts.pairs()
+    tries = list(counts._tries(pairs))
+    firsts = [set(t.phrases[:, 0].tolist()) for t in tries]
+    assert len(tries) > 2 and sum(map(len, firsts)) == len(set().union(*firsts)) and sum(len(t.phrases) for t in tries) == pairs.count()
+    assert written.count("phrases") <= 1 + 2 * (1 + len(tries) // 3) + 2 and "candidates" not in written
